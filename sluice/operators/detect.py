@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.contract import Contract, FieldRule
@@ -388,3 +388,60 @@ def warnings(contract: Contract, known: Knowledge) -> list[tuple[str, str | None
 
 
 
+
+
+EXAMPLE_LIMIT = 10
+SAMPLE_LIMIT = 20
+
+
+def samples(found: DataFrame, limit: int = SAMPLE_LIMIT) -> DataFrame:
+    """First records per finding; the rank limit is applied before the shuffle."""
+    order = Window.partitionBy("finding_id").orderBy("ordinal")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+
+def violation_summary(annotated: DataFrame, contract: Contract, known: Knowledge) -> DataFrame:
+    """(finding_id, kind, records, distinct_values, examples) of value violations.
+
+    The first ten values are taken and the sensitive-looking ones among them dropped; a withheld
+    column shows none.
+    """
+    withheld = known.withheld(contract)
+    columns = [c for c in known.columns if c in contract.fields]
+    cell = F.create_map(*[x for c in columns for x in (F.lit(f"VAL-{c}"), F.col(f"`{c}`"))])
+    bad = (
+        annotated.select(cell.alias("cells"), F.inline("claims"))
+        .filter(F.col("finding_id").startswith("VAL-") & (F.col("detail") != "unique"))
+        .select("finding_id", F.col("detail").alias("kind"), F.try_element_at("cells", F.col("finding_id")).alias("value"))
+        .groupBy("finding_id", "kind", "value")
+        .agg(F.count("*").alias("cnt"))
+    )
+    order = Window.partitionBy("finding_id", "kind").orderBy(F.desc("cnt"), F.asc("value"))
+    hidden = F.col("finding_id").isin(*[f"VAL-{c}" for c in withheld]) if withheld else F.lit(False)
+    shown = (
+        bad.withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= EXAMPLE_LIMIT)
+        .filter(~hidden & ~patterns.looks_sensitive(F.col("value")))
+        .groupBy("finding_id", "kind")
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("top"))
+        .select("finding_id", "kind", F.transform("top", lambda t: t["value"]).alias("examples"))
+    )
+    sums = bad.groupBy("finding_id", "kind").agg(F.sum("cnt").alias("records"), F.count("*").alias("distinct_values"))
+    return sums.join(shown, ["finding_id", "kind"], "left")
+
+
+def masked_rows(source: DataFrame, wanted: DataFrame, contract: Contract, known: Knowledge) -> DataFrame:
+    """A few member rows per finding with withheld columns masked."""
+    hidden = known.withheld(contract)
+    shown = [
+        patterns.mask_value(F.col(f"`{c}`")).alias(c) if c in hidden else F.col(f"`{c}`") for c in known.columns
+    ]
+    few = wanted.select("finding_id", "record_uid")  # at most SAMPLE_LIMIT per finding
+    return source.join(F.broadcast(few), "record_uid").select("finding_id", "ordinal", "record_uid", *shown)
+
+
+def presentation_order(found: DataFrame) -> DataFrame:
+    """Blocking first, then risk, then id. One run has a few findings per column at most."""
+    risk = F.array_position(F.array(F.lit("HIGH"), F.lit("MEDIUM"), F.lit("LOW")), F.col("risk_level"))
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("blocking"), risk, "finding_id")
+    return found.withColumn("position", F.row_number().over(order))

@@ -100,3 +100,14 @@ def resolve(found: DataFrame, vocab: DataFrame, ambiguity: DataFrame, proposals:
     external = usable_proposals(proposals, found, vocab, ambiguity).withColumn("resolver", F.lit("external"))
     rest = fallback.join(external.select("column").distinct(), "column", "left_anti")
     return external.unionByName(rest)
+
+
+def totals(found: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Records behind all, mapped and unmapped candidates per column."""
+    mapped = mapping.select("column", F.col("source").alias("value"), F.lit(True).alias("mapped"))
+    is_mapped = F.col("mapped").isNotNull()
+    return found.join(mapped, ["column", "value"], "left").groupBy("column").agg(
+        F.sum("cnt").alias("candidate_records"),
+        F.sum(F.when(is_mapped, F.col("cnt"))).alias("mapped_records"),
+        F.sum(F.when(~is_mapped, F.col("cnt"))).alias("unmapped_records"),
+    )

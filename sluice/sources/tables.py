@@ -43,4 +43,5 @@ def with_identity(df: DataFrame, dataset_hash: str, ordinal: str | Column) -> Da
     """Add ``ordinal`` and ``record_uid`` in front, from a unique source key."""
     key = F.col(ordinal) if isinstance(ordinal, str) else ordinal
     number = key.cast("bigint")
-    return df.select(number.alias("ordinal"), record_uid(dataset_hash, number).alias("record_uid"), "*")
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("ordinal", "record_uid")]
+    return df.select(number.alias("ordinal"), record_uid(dataset_hash, number).alias("record_uid"), *rest)
