@@ -77,12 +77,15 @@ def learn(
     withheld = known.withheld(contract)
     counts = groups.written(semantic.unlisted_counts(df, contract, withheld), "unlisted")
     found = semantic.candidates(counts)
-    for row in found.orderBy("column", "rank").collect():  # at most 30 per column
+    rows = sorted(found.collect(), key=lambda r: (r["column"], r["rank"]))  # at most 30 per column
+    for row in rows:
         known.candidates.setdefault(row["column"], []).append(row["value"])
     if known.candidates:
         for row in semantic.truncated(counts).collect():  # one row per column
             known.truncated[row["column"]] = row["truncated"]
         spark = df.sparkSession
+        listed = [(r["column"], r["value"], r["cnt"]) for r in rows]
+        found = spark.createDataFrame(listed, "column string, value string, cnt bigint")
         mapping = semantic.resolve(found, contract.vocab_table(spark), contract.ambiguity_table(spark), proposals)
         for row in mapping.collect():  # at most 30 per column
             known.mapping.setdefault(row["column"], {})[row["source"]] = row["target"]

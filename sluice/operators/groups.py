@@ -57,18 +57,19 @@ def repeated(rows: DataFrame, key: str, size: str = "group_size") -> DataFrame:
     )
 
 
-def join_back(rows: DataFrame, groups: DataFrame, key: str, spread: str) -> DataFrame:
+def join_back(rows: DataFrame, groups: DataFrame, key: str | list[str], spread: str) -> DataFrame:
     """Inner join of rows with the groups they belong to, safe against hot groups.
 
     ``groups`` has one fixed-width row per key; ``spread`` is a column of ``rows`` that varies
     inside a group.
     """
+    keys = [key] if isinstance(key, str) else key
     groups = written(groups, "groups")
     if groups.count() <= BROADCAST_GROUPS:
-        return rows.join(F.broadcast(groups), key)
+        return rows.join(F.broadcast(groups), keys)
     salted_groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted_rows = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    return salted_rows.join(salted_groups, [key, "salt"]).drop("salt")
+    return salted_rows.join(salted_groups, [*keys, "salt"]).drop("salt")
 
 
 def surplus_records(view: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -104,33 +105,40 @@ def group_totals(distinct: DataFrame, key: str | None) -> DataFrame:
     return exact.select("*", one).join(conflicts.select("*", one), "one").drop("one")
 
 
+def keyed(distinct: DataFrame, keys: list[str]) -> DataFrame:
+    """(kind, digest, ordinal): one row per distinct record and non-blank key."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("digest")) for k in keys])
+    return distinct.select(F.inline(pairs), F.col("first_ordinal").alias("ordinal")).filter("digest IS NOT NULL")
+
+
 def marks(df: DataFrame, columns: list[str], business_key: list[str], unique: list[str]) -> tuple[DataFrame, DataFrame]:
     """Marked records only: (ordinal, surplus, key_conflict, repeats) and the distinct-record table.
 
-    ``repeats`` lists the unique fields whose value the record shares.
+    ``repeats`` lists the unique fields whose value the record shares. All kinds of group go
+    through one aggregation and one join.
     """
     keys = ({"business_key": business_key} if business_key else {}) | {
         f"unique_{name}": [name] for name in unique
     }
     view = identity_view(df, columns, keys)
     distinct = written(distinct_rows(view), "distinct")
-    nothing = F.lit(None).cast("string")
-    parts = [surplus_records(view, distinct).select("ordinal", F.lit(True).alias("s"), F.lit(False).alias("k"), nothing.alias("u"))]
-    if business_key:
-        parts.append(
-            sharing_records(distinct, "business_key").select("ordinal", F.lit(False).alias("s"), F.lit(True).alias("k"), nothing.alias("u"))
-        )
-    for name in unique:
-        parts.append(
-            sharing_records(distinct, f"unique_{name}").select("ordinal", F.lit(False).alias("s"), F.lit(False).alias("k"), F.lit(name).alias("u"))
-        )
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
+    exact = distinct.filter("copies > 1").select(
+        F.lit("exact").alias("kind"), F.col("row_digest").alias("digest"), "first_ordinal"
+    )
+    records = view.select(F.lit("exact").alias("kind"), F.col("row_digest").alias("digest"), "ordinal")
+    if keys:
+        firsts = keyed(distinct, list(keys))
+        shared = firsts.groupBy("kind", "digest").agg(F.count("*").alias("n")).filter("n > 1")
+        exact = exact.unionByName(shared.select("kind", "digest", F.lit(None).cast("bigint").alias("first_ordinal")))
+        records = records.unionByName(firsts)
+    hit = join_back(records, exact, ["kind", "digest"], "ordinal").filter(
+        F.col("first_ordinal").isNull() | (F.col("ordinal") > F.col("first_ordinal"))
+    )
+    name = F.when(F.col("kind").startswith("unique_"), F.regexp_replace("kind", "^unique_", ""))
     # At most 2 + number of unique fields rows per ordinal.
-    marked = stacked.groupBy("ordinal").agg(
-        F.bool_or("s").alias("surplus"),
-        F.bool_or("k").alias("key_conflict"),
-        F.collect_set("u").alias("repeats"),
+    marked = hit.groupBy("ordinal").agg(
+        F.bool_or(F.col("kind") == "exact").alias("surplus"),
+        F.bool_or(F.col("kind") == "business_key").alias("key_conflict"),
+        F.collect_set(name).alias("repeats"),
     )
     return marked, distinct

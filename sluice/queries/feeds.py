@@ -80,29 +80,24 @@ ORDER_CONTRACT = Contract.from_dict(
 )
 
 # On the 26th every order was sent twice; on the 21st it was sent again with another total.
-COPIES = (("0", "", {}), ("1", f"WHERE {DAY} = 26", {}), ("2", f"WHERE {DAY} = 21", {"total": "'0.01'"}))
+SENT = f"CASE WHEN {DAY} = 26 THEN ARRAY(0, 1) WHEN {DAY} = 21 THEN ARRAY(0, 2) ELSE ARRAY(0) END"
+ORDER_COLUMNS["total"] = f"CASE WHEN sending = 2 THEN '0.01' ELSE {ORDER_COLUMNS['total']} END"
 
 
 def orders_feed(spark: SparkSession, folder: str) -> DataFrame:
-    orders = read_table(spark, folder, "orders")
-    parts = None
-    for offset, condition, changed in COPIES:
-        rows = orders.filter(condition.removeprefix("WHERE ")) if condition else orders
-        columns = {**ORDER_COLUMNS, **changed}
-        part = rows.selectExpr(
-            f"o_orderkey * 4 + {offset} AS ordinal", *[f"{sql} AS {name}" for name, sql in columns.items()]
-        )
-        parts = part if parts is None else parts.unionByName(part)
-    return with_identity(parts, DATASET, "ordinal").select("ordinal", "record_uid", *ORDER_NAMES)
+    sent = read_table(spark, folder, "orders").selectExpr("*", f"EXPLODE({SENT}) AS sending")
+    rows = sent.selectExpr("o_orderkey * 4 + sending AS ordinal", *[f"{sql} AS {name}" for name, sql in ORDER_COLUMNS.items()])
+    return with_identity(rows, DATASET, "ordinal").select("ordinal", "record_uid", *ORDER_NAMES)
 
 
 def feed_sql() -> str:
     """The same feed as a SQL common table expression named ``feed``."""
-    parts = []
-    for offset, condition, changed in COPIES:
-        columns = ", ".join(f"{sql} AS {name}" for name, sql in {**ORDER_COLUMNS, **changed}.items())
-        parts.append(f"SELECT o_orderkey * 4 + {offset} AS ordinal, {columns} FROM orders {condition}")
-    union = " UNION ALL ".join(parts)
+    columns = ", ".join(f"{sql} AS {name}" for name, sql in ORDER_COLUMNS.items())
+    sent = (
+        f"SELECT *, 0 AS sending FROM orders UNION ALL SELECT *, 1 FROM orders WHERE {DAY} = 26 "
+        f"UNION ALL SELECT *, 2 FROM orders WHERE {DAY} = 21"
+    )
     return (
-        f"feed AS (SELECT *, SUBSTR(SHA256('{DATASET}:' || CAST(ordinal AS STRING)), 1, 24) AS record_uid FROM ({union}))"
+        f"feed AS (SELECT *, SUBSTR(SHA256('{DATASET}:' || CAST(ordinal AS STRING)), 1, 24) AS record_uid "
+        f"FROM (SELECT o_orderkey * 4 + sending AS ordinal, {columns} FROM ({sent})))"
     )
