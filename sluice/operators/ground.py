@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluice.functions import patterns
 from sluice.functions.dates import label_to_format
 from sluice.functions.text import normalize_text, sanitize
+from sluice.operators.groups import join_back
 
 # Reason codes in the order in which they are reported, evidence facts, type table.
 MAPPING_REASONS = (
@@ -52,24 +53,27 @@ def ground_mappings(
         "request_id", F.col("finding_id").alias("r_finding"), F.col("column").alias("r_column"), F.col("input_hash").alias("r_hash")
     )
     yes = F.lit(True)
-    head = proposals.join(asked, "request_id", "left")
-    pairs = (
-        proposals.select("proposal_id", "request_id", F.explode("mapping").alias("source", "target"))
-        .join(candidates.select("request_id", F.col("value").alias("source"), "cnt"), ["request_id", "source"], "left")
-        .join(vocabulary.select("request_id", F.col("value").alias("target"), yes.alias("listed")), ["request_id", "target"], "left")
-        .join(ambiguity.select("request_id", F.col("value").alias("source"), yes.alias("ambiguous")), ["request_id", "source"], "left")
-        .groupBy("proposal_id")
-        .agg(
-            F.bool_or(F.col("cnt").isNull()).alias("unseen"),
-            F.bool_or(F.col("listed").isNull()).alias("unlisted"),
-            F.bool_or(F.coalesce("ambiguous", F.lit(False))).alias("ambiguous"),
-            F.sum("cnt").alias("cells"),
-        )
+    head = join_back(proposals, asked, "request_id", "proposal_id", "left")
+    # One request may receive a third of all proposals, so every lookup is a salted or checked join.
+    pairs = proposals.select("proposal_id", "request_id", F.explode("mapping").alias("source", "target"))
+    lookups = (
+        (candidates.select("request_id", F.col("value").alias("source"), "cnt"), "source"),
+        (vocabulary.select("request_id", F.col("value").alias("target"), yes.alias("listed")), "target"),
+        (ambiguity.select("request_id", F.col("value").alias("source"), yes.alias("ambiguous")), "source"),
     )
+    for table, column in lookups:
+        pairs = join_back(pairs, table, ["request_id", column], "proposal_id", "left")
+    pairs = pairs.groupBy("proposal_id").agg(
+        F.bool_or(F.col("cnt").isNull()).alias("unseen"),
+        F.bool_or(F.col("listed").isNull()).alias("unlisted"),
+        F.bool_or(F.coalesce("ambiguous", F.lit(False))).alias("ambiguous"),
+        F.sum("cnt").alias("cells"),
+    )
+    cited = proposals.select("proposal_id", "request_id", F.explode("evidence_refs").alias("value"))
+    supplied = evidence.select("request_id", "value", yes.alias("supplied"))
     refs = (
-        proposals.select("proposal_id", "request_id", F.explode("evidence_refs").alias("value"))
-        .join(evidence, ["request_id", "value"], "left_anti")
-        .select("proposal_id").distinct().withColumn("bad_ref", yes)
+        join_back(cited, supplied, ["request_id", "value"], "proposal_id", "left")
+        .filter("supplied IS NULL").select("proposal_id").distinct().withColumn("bad_ref", yes)
     )
     joined = head.join(pairs, "proposal_id", "left").join(refs, "proposal_id", "left")
 

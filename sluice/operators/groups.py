@@ -57,8 +57,10 @@ def repeated(rows: DataFrame, key: str, size: str = "group_size") -> DataFrame:
     )
 
 
-def join_back(rows: DataFrame, groups: DataFrame, key: str | list[str], spread: str) -> DataFrame:
-    """Inner join of rows with the groups they belong to, safe against hot groups.
+def join_back(
+    rows: DataFrame, groups: DataFrame, key: str | list[str], spread: str, how: str = "inner"
+) -> DataFrame:
+    """Join of rows with the groups they belong to (inner or left), safe against hot groups.
 
     ``groups`` has one fixed-width row per key; ``spread`` is a column of ``rows`` that varies
     inside a group.
@@ -66,10 +68,10 @@ def join_back(rows: DataFrame, groups: DataFrame, key: str | list[str], spread:
     keys = [key] if isinstance(key, str) else key
     groups = written(groups, "groups")
     if groups.count() <= BROADCAST_GROUPS:
-        return rows.join(F.broadcast(groups), keys)
+        return rows.join(F.broadcast(groups), keys, how)
     salted_groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted_rows = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    return salted_rows.join(salted_groups, [*keys, "salt"]).drop("salt")
+    return salted_rows.join(salted_groups, [*keys, "salt"], how).drop("salt")
 
 
 def surplus_records(view: DataFrame, distinct: DataFrame) -> DataFrame:

@@ -10,20 +10,22 @@ from sluice.operators.groups import join_back
 MAX_CALLS_PER_RUN = 8  # fixed value
 
 
-def sequenced(events: DataFrame, run: str, ts: str, tie: str, last: DataFrame | None = None) -> DataFrame:
+def sequenced(
+    events: DataFrame, run: str, ts: str, tie: str, last: DataFrame | None = None, bucket: str = "minute"
+) -> DataFrame:
     """Number the events of each run by time, after the stored maximum in ``last`` (run, last_seq).
 
-    A run may hold a third of all events, so rows are ranked within (run, hour) only; the hours
-    of a run are few and their running totals give the offsets.
+    A run may hold a third of all events, so rows are ranked within (run, minute) only; running
+    totals over the minutes of a run, one small row each, give the offsets.
     """
-    hourly = events.withColumn("bucket", F.date_trunc("hour", F.col(ts)))
-    sizes = hourly.groupBy(run, "bucket").agg(F.count("*").alias("n"))
+    placed = events.withColumn("bucket", F.date_trunc(bucket, F.col(ts)))
+    sizes = placed.groupBy(run, "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy(run).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(run, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     if last is not None:
         offsets = offsets.join(last, run, "left").withColumn("offset", F.col("offset") + F.coalesce("last_seq", F.lit(0))).drop("last_seq")
     within = Window.partitionBy(run, "bucket").orderBy(ts, tie)
-    ranked = hourly.withColumn("position", F.row_number().over(within))
+    ranked = placed.withColumn("position", F.row_number().over(within))
     return ranked.join(offsets, [run, "bucket"]).withColumn("seq", F.col("offset") + F.col("position")).drop("bucket", "offset", "position")
 
 
@@ -109,7 +111,7 @@ def semantic_summary(proposals: DataFrame, run: str) -> DataFrame:
 def proposals_against_calls(proposals: DataFrame, calls: DataFrame) -> DataFrame:
     """Does the call of a proposal exist, with the same finding and the same input hash?"""
     seen = calls.select("call_id", F.col("finding_id").alias("c_finding"), F.col("input_hash").alias("c_hash"))
-    return proposals.join(seen, "call_id", "left").select(
+    return join_back(proposals, seen, "call_id", "proposal_id", "left").select(
         "proposal_id",
         F.col("c_finding").isNotNull().alias("call_exists"),
         F.coalesce(F.col("finding_id") == F.col("c_finding"), F.lit(False)).alias("same_finding"),
