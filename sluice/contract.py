@@ -11,6 +11,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sluice.functions.text import fold_text
+
 # Limits, types and default score weights.
 MAX_FIELDS = 200
 MAX_ALLOWED = 200
@@ -230,14 +232,14 @@ class Contract:
 
     # -- rule tables, bounded by the limits above ------------------------------------------
     def vocab_table(self, spark: SparkSession) -> DataFrame:
-        """(column, value, target, kind, priority); targets come before aliases."""
-        rows: list[tuple[str, str, str, str, int]] = []
+        """(column, value, target, kind, priority, norm); targets come before aliases."""
+        rows: list[tuple[str, str, str, str, int, str]] = []
         for column, rule in self.fields.items():
             terms = [(t, t, "target") for t in rule.targets]
             terms += [(alias, target, "alias") for alias, target in rule.aliases.items()]
-            rows += [(column, v, t, kind, i) for i, (v, t, kind) in enumerate(terms)]
+            rows += [(column, v, t, kind, i, fold_text(v)) for i, (v, t, kind) in enumerate(terms)]
         return spark.createDataFrame(
-            rows, "column string, value string, target string, kind string, priority int"
+            rows, "column string, value string, target string, kind string, priority int, norm string"
         )
 
     def ambiguity_table(self, spark: SparkSession) -> DataFrame:

@@ -100,23 +100,19 @@ def shape_label(value: Column) -> Column:
     return F.when(starts_numeric, numeric).otherwise(worded)
 
 
+# Every class needs one of these marks, and no match is shorter than six bytes.
+MARKS_RX = r"[@:：]|\+[0-9]|[0-9]{11}|[0-9]{3}\)?[ .-][0-9]{3}"
+
+
 def sensitive_class(value: Column) -> Column:
-    """First matching class or null. Cheap tests keep most text away from the long patterns."""
-    guards = {
-        "email": value.contains("@"),
-        "cn_id": value.rlike("[0-9]{17}"),
-        "cn_mobile": value.rlike("1[3-9][0-9]{9}"),
-        "bank_card": value.rlike("[0-9]{16}"),
-        "intl_phone": value.rlike(r"\+[0-9]|[0-9]{3}\)?[ .-][0-9]{3}"),
-        "name_label": value.contains(":") | value.contains("："),
-    }
-    return reduce(
-        lambda chain, name: chain.when(
-            guards[name] & value.rlike("(?U)" + SENSITIVE_RX[name]), name
-        ),
+    """First matching class or null. One cheap scan keeps most cells away from the six patterns."""
+    suspicious = (F.octet_length(value) >= 6) & value.rlike(MARKS_RX)
+    classes = reduce(
+        lambda chain, name: chain.when(value.rlike("(?U)" + SENSITIVE_RX[name]), name),
         SENSITIVE_CLASSES,
-        F.when(value.isNull() | (value == ""), F.lit(None).cast("string")),
+        F.when(F.lit(False), F.lit(None).cast("string")),
     )
+    return F.when(suspicious, classes)
 
 
 def looks_sensitive(value: Column) -> Column:

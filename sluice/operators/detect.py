@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sluice.contract import Contract, FieldRule
 from sluice.functions import patterns, predicates
-from sluice.functions.text import is_blank
+from sluice.functions.text import fold_text, is_blank
 from sluice.operators import groups, profile, semantic
 
 
@@ -75,17 +75,18 @@ def learn(
     else:
         scan_facts(df, contract, known)
     withheld = known.withheld(contract)
-    counts = groups.written(semantic.unlisted_counts(df, contract, withheld), "unlisted")
-    found = semantic.candidates(counts)
-    rows = sorted(found.collect(), key=lambda r: (r["column"], r["rank"]))  # at most 30 per column
-    for row in rows:
-        known.candidates.setdefault(row["column"], []).append(row["value"])
+    counts = semantic.unlisted_counts(df, contract, withheld)
+    # One more than the limit tells whether there would have been more; at most 31 rows per column.
+    rows = semantic.candidates(counts, semantic.CANDIDATE_LIMIT + 1).collect()
+    for row in sorted(rows, key=lambda r: (r["column"], r["rank"])):
+        if row["rank"] > semantic.CANDIDATE_LIMIT:
+            known.truncated[row["column"]] = True
+        else:
+            known.candidates.setdefault(row["column"], []).append(row["value"])
     if known.candidates:
-        for row in semantic.truncated(counts).collect():  # one row per column
-            known.truncated[row["column"]] = row["truncated"]
         spark = df.sparkSession
-        listed = [(r["column"], r["value"], r["cnt"]) for r in rows]
-        found = spark.createDataFrame(listed, "column string, value string, cnt bigint")
+        listed = [(r["column"], r["value"], r["cnt"], fold_text(r["value"])) for r in rows if r["rank"] <= semantic.CANDIDATE_LIMIT]
+        found = spark.createDataFrame(listed, "column string, value string, cnt bigint, norm string")
         mapping = semantic.resolve(found, contract.vocab_table(spark), contract.ambiguity_table(spark), proposals)
         for row in mapping.collect():  # at most 30 per column
             known.mapping.setdefault(row["column"], {})[row["source"]] = row["target"]

@@ -34,6 +34,8 @@ RAW_LABELS = (
     patterns.MIXED,
 )
 
+FINAL_LABELS = (*[label for label in RAW_LABELS if label != patterns.SLASH_UNDECIDED], *patterns.DATE_LABELS[2:5])
+
 
 def cells(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows to (column, value)."""
@@ -139,12 +141,12 @@ def column_facts(counts: DataFrame) -> DataFrame:
     )
     facts = by_shape.groupBy("column").agg(*[agg.alias(n) for n, agg in shape_totals().items()])
     facts = facts.join(F.broadcast(extreme_texts(counts)), "column", "left")
-    facts = facts.withColumn("slash_label", slash_label())
-    facts = facts.withColumn("shapes", shape_counts())
+    facts = facts.select("*", slash_label().alias("slash_label"))
+    facts = facts.select("*", *[settled(label).alias(f"c_{label}") for label in FINAL_LABELS])
     return with_type(facts).select(
         "column", "row_count", "empty", "non_empty", "distinct_count", "max_length",
         "inferred_type", "type_match", "min_value", "max_value", "sensitive_hits", "slash_label",
-        "shapes", *[f"hits_{c}" for c in patterns.SENSITIVE_CLASSES],
+        shape_map().alias("shapes"), *[f"hits_{c}" for c in patterns.SENSITIVE_CLASSES],
     )
 
 
@@ -196,30 +198,21 @@ def extreme_texts(counts: DataFrame) -> DataFrame:
     )
 
 
-def shape_counts() -> Column:
-    """Map of final shape label to cells, with the undecided slash dates settled."""
-    entries = [
-        F.struct(
-            (F.col("slash_label") if label == patterns.SLASH_UNDECIDED else F.lit(label)).alias("label"),
-            F.col(f"`n_{label}`").alias("cells"),
-        )
-        for label in RAW_LABELS
-    ]
-    seen = F.filter(F.array(*entries), lambda e: e["label"].isNotNull() & (e["cells"] > 0))
+def settled(label: str) -> Column:
+    """Cells of a final shape: its own and, where the column decided so, the slash dates."""
+    own = F.col(f"`n_{label}`") if label in RAW_LABELS else F.lit(0)
+    if label not in (patterns.DMY_SLASH, patterns.MDY_SLASH, patterns.SLASH_AMBIGUOUS, patterns.MIXED):
+        return own
+    return own + F.when(F.col("slash_label") == label, F.col(f"`n_{patterns.SLASH_UNDECIDED}`")).otherwise(0)
 
-    def total(label: Column) -> Column:
-        return F.aggregate(
-            F.filter(seen, lambda e: e["label"] == label),
-            F.lit(0).cast("bigint"),
-            lambda acc, e: acc + e["cells"],
-        )
 
-    labels = F.array_distinct(F.transform(seen, lambda e: e["label"]))
-    return F.map_from_arrays(labels, F.transform(labels, total))
+def shape_map() -> Column:
+    pairs = [x for label in FINAL_LABELS for x in (F.lit(label), shape(label))]
+    return F.map_filter(F.create_map(*pairs), lambda _, cells: cells > 0)
 
 
 def shape(label: str) -> Column:
-    return F.coalesce(F.try_element_at(F.col("shapes"), F.lit(label)), F.lit(0))
+    return F.col(f"`c_{label}`")
 
 
 def with_type(facts: DataFrame) -> DataFrame:
@@ -238,8 +231,7 @@ def with_type(facts: DataFrame) -> DataFrame:
     match = F.when(F.col("non_empty") == 0, F.lit(0).cast("bigint"))
     for name, tally in votes:
         kind, match = kind.when(tally >= bar, name), match.when(tally >= bar, tally)
-    facts = facts.withColumn("inferred_type", kind.otherwise("string"))
-    facts = facts.withColumn("type_match", match.otherwise(F.col("non_empty")))
+    facts = facts.select("*", kind.otherwise("string").alias("inferred_type"), match.otherwise(F.col("non_empty")).alias("type_match"))
 
     def date_edge(side: str, pick) -> Column:  # noqa: ANN001
         fixed = F.array(*[F.lit(x) for x in (patterns.YMD_DASH, patterns.YMD_SLASH, patterns.YMD_COMPACT)])
@@ -259,8 +251,10 @@ def with_type(facts: DataFrame) -> DataFrame:
             .when(kind_of == "datetime", F.col(iso))
         )
 
-    return facts.withColumn("min_value", edge("num_min", "iso_min", date_edge("lo", F.least))).withColumn(
-        "max_value", edge("num_max", "iso_max", date_edge("hi", F.greatest))
+    return facts.select(
+        "*",
+        edge("num_min", "iso_min", date_edge("lo", F.least)).alias("min_value"),
+        edge("num_max", "iso_max", date_edge("hi", F.greatest)).alias("max_value"),
     )
 
 

@@ -60,15 +60,10 @@ def normalized_match(found: DataFrame, vocab: DataFrame, ambiguity: DataFrame) -
     candidate limit and the contract limits.
     """
     first = Window.partitionBy("column", "norm").orderBy("priority")
-    terms = (
-        vocab.withColumn("norm", normalize_text("value"))
-        .withColumn("pick", F.row_number().over(first))
-        .filter("pick = 1")
-        .select("column", "norm", "target")
-    )
+    terms = vocab.withColumn("pick", F.row_number().over(first)).filter("pick = 1").select("column", "norm", "target")
+    folded = found if "norm" in found.columns else found.withColumn("norm", normalize_text("value"))
     return (
-        found.withColumn("norm", normalize_text("value"))
-        .join(terms, ["column", "norm"])
+        folded.join(terms, ["column", "norm"])
         .filter(F.col("target") != F.col("value"))
         .join(ambiguity, ["column", "value"], "left_anti")
         .select("column", F.col("value").alias("source"), "target")

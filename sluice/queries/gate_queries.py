@@ -11,6 +11,7 @@ from sluice.plans import gate
 from sluice.queries import feeds, sqltext
 from sluice.queries.feeds import ORDER_CONTRACT, ORDER_NAMES
 from sluice.queries.sqltext import blank, match
+from sluice.session import written
 
 QUERIES = {}
 ORACLES = {}
@@ -38,7 +39,8 @@ def once(spark, folder, stage, build):
 
 
 def analysed(spark, folder):
-    return once(spark, folder, "analysis", lambda: gate.analyse(feeds.orders_feed(spark, folder), ORDER_CONTRACT))
+    """The feed is taken in once, as any source is, and then analysed."""
+    return once(spark, folder, "analysis", lambda: gate.analyse(written(feeds.orders_feed(spark, folder), "intake"), ORDER_CONTRACT))
 
 
 def planned(spark, folder):
@@ -265,7 +267,8 @@ def findings_in_order(spark, folder):
 def observational_findings(spark, folder):
     feed = feeds.orders_feed(spark, folder)
     other = F.col("order_date").rlike("^[0-9]{4}/|^[0-9]{8}")
-    source = feed.select("ordinal", "record_uid", "order_id", F.when(~other, F.col("order_date")).alias("order_date"), "clerk_note")
+    shown = F.when(~other, F.col("order_date")).alias("order_date")
+    source = written(feed.select("ordinal", "record_uid", "order_id", shown, "clerk_note"), "intake")
     return gate.analyse(source, Contract()).findings.select("finding_id", "affected_record_count", "blocking", "authorization_mode")
 
 
@@ -279,7 +282,7 @@ UNION ALL SELECT 'consistency', 0, 0
 UNION ALL SELECT 'uniqueness', COUNT(*) FILTER (WHERE copy_no = 1), COUNT(*) FROM copies""",
 )
 def observational_metrics(spark, folder):
-    return gate.analyse(feeds.orders_feed(spark, folder), Contract()).metrics.select("metric", "numerator", "denominator")
+    return gate.analyse(written(feeds.orders_feed(spark, folder), "intake"), Contract()).metrics.select("metric", "numerator", "denominator")
 
 
 # -- semantic candidates ---------------------------------------------------------------------
