@@ -7,8 +7,6 @@ and length) is worked out before the shuffle, so a column of 20 000-word documen
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,25 +150,25 @@ def column_facts(counts: DataFrame) -> DataFrame:
 
 def shape_totals() -> dict[str, Column]:
     """Aggregates from the per-shape rows of a column to its facts."""
-    filled = ~F.col("blank")
 
-    def cells_where(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("cells"))), F.lit(0))
-
-    return {
-        "row_count": F.sum("cells"),
-        "empty": cells_where(F.col("blank")),
-        "non_empty": cells_where(filled),
-        "distinct_count": F.coalesce(F.sum(F.when(filled, F.col("values"))), F.lit(0)),
-        "max_length": F.coalesce(F.max(F.when(filled, F.col("chars"))), F.lit(0)),
-        "sensitive_hits": cells_where(filled & F.col("pattern_class").isNotNull()),
-        **{f"n_{label}": cells_where(filled & (F.col("pattern") == label)) for label in RAW_LABELS},
-        **{f"hits_{c}": cells_where(filled & (F.col("pattern_class") == c)) for c in patterns.SENSITIVE_CLASSES},
-        **{f"lo_{family}": F.min(f"lo_{family}") for family in FAMILIES},
-        **{f"hi_{family}": F.max(f"hi_{family}") for family in FAMILIES},
-        **{name: F.bool_or(name) for name in ("day_first", "month_first")},
-        **{n: F.bool_and(n) for n in ("first_day", "second_month", "first_month", "second_day")},
+    def cells_where(condition: str) -> str:
+        return f"coalesce(sum(if({condition}, cells, 0)), 0)"
+
+    sql = {
+        "row_count": "sum(cells)",
+        "empty": cells_where("blank"),
+        "non_empty": cells_where("NOT blank"),
+        "distinct_count": "coalesce(sum(if(NOT blank, values, 0)), 0)",
+        "max_length": "coalesce(max(if(NOT blank, chars, 0)), 0)",
+        "sensitive_hits": cells_where("NOT blank AND pattern_class IS NOT NULL"),
+        **{f"n_{label}": cells_where(f"NOT blank AND pattern = '{label}'") for label in RAW_LABELS},
+        **{f"hits_{c}": cells_where(f"NOT blank AND pattern_class = '{c}'") for c in patterns.SENSITIVE_CLASSES},
+        **{f"lo_{family}": f"min(lo_{family})" for family in FAMILIES},
+        **{f"hi_{family}": f"max(hi_{family})" for family in FAMILIES},
+        **{name: f"bool_or({name})" for name in ("day_first", "month_first")},
+        **{n: f"bool_and({n})" for n in ("first_day", "second_month", "first_month", "second_day")},
     }
+    return {name: F.expr(text) for name, text in sql.items()}
 
 
 def extreme_texts(counts: DataFrame) -> DataFrame:
@@ -200,62 +198,53 @@ def extreme_texts(counts: DataFrame) -> DataFrame:
 
 def settled(label: str) -> Column:
     """Cells of a final shape: its own and, where the column decided so, the slash dates."""
-    own = F.col(f"`n_{label}`") if label in RAW_LABELS else F.lit(0)
-    if label not in (patterns.DMY_SLASH, patterns.MDY_SLASH, patterns.SLASH_AMBIGUOUS, patterns.MIXED):
-        return own
-    return own + F.when(F.col("slash_label") == label, F.col(f"`n_{patterns.SLASH_UNDECIDED}`")).otherwise(0)
+    own = f"`n_{label}`" if label in RAW_LABELS else "0"
+    if label in (patterns.DMY_SLASH, patterns.MDY_SLASH, patterns.SLASH_AMBIGUOUS, patterns.MIXED):
+        own += f" + if(slash_label <=> '{label}', `n_{patterns.SLASH_UNDECIDED}`, 0)"
+    return F.expr(own)
 
 
 def shape_map() -> Column:
-    pairs = [x for label in FINAL_LABELS for x in (F.lit(label), shape(label))]
-    return F.map_filter(F.create_map(*pairs), lambda _, cells: cells > 0)
-
-
-def shape(label: str) -> Column:
-    return F.col(f"`c_{label}`")
+    pairs = ", ".join(f"'{label}', `c_{label}`" for label in FINAL_LABELS)
+    return F.expr(f"map_filter(map({pairs}), (label, cells) -> cells > 0)")
 
 
 def with_type(facts: DataFrame) -> DataFrame:
     """The 98 % vote, and the minimum and maximum of the winning type."""
-    date_cells = reduce(lambda a, b: a + b, [shape(label) for label in patterns.DATE_LABELS])
-    numeric_cells = shape(patterns.DIGITS) + shape(patterns.DECIMAL)
-    bar = F.lit(patterns.TYPE_THRESHOLD) * F.col("non_empty")
-    votes = [
-        ("datetime", shape(patterns.ISO_DATETIME)),
-        ("date", date_cells),
-        ("integer", shape(patterns.DIGITS)),
-        ("number", numeric_cells),
-        ("boolean", shape(patterns.BOOLEAN)),
-    ]
-    kind = F.when(F.col("non_empty") == 0, "empty")
-    match = F.when(F.col("non_empty") == 0, F.lit(0).cast("bigint"))
-    for name, tally in votes:
-        kind, match = kind.when(tally >= bar, name), match.when(tally >= bar, tally)
-    facts = facts.select("*", kind.otherwise("string").alias("inferred_type"), match.otherwise(F.col("non_empty")).alias("type_match"))
-
-    def date_edge(side: str, pick) -> Column:  # noqa: ANN001
-        fixed = F.array(*[F.lit(x) for x in (patterns.YMD_DASH, patterns.YMD_SLASH, patterns.YMD_COMPACT)])
-        slash_dates = shape(patterns.DMY_SLASH) + shape(patterns.MDY_SLASH)
-        no_family = (F.size(F.array_intersect("observed", fixed)) <= 0) & (slash_dates == 0)
-        ends = [
-            F.when((shape(label) > 0) | (no_family if family == "ymd_dash" else F.lit(False)), F.col(f"{side}_{family}"))
+    votes = {
+        "datetime": f"`c_{patterns.ISO_DATETIME}`",
+        "date": " + ".join(f"`c_{label}`" for label in patterns.DATE_LABELS),
+        "integer": f"`c_{patterns.DIGITS}`",
+        "number": f"`c_{patterns.DIGITS}` + `c_{patterns.DECIMAL}`",
+        "boolean": f"`c_{patterns.BOOLEAN}`",
+    }
+    bar = f"{patterns.TYPE_THRESHOLD}D * non_empty"
+    kind = " ".join(f"WHEN {tally} >= {bar} THEN '{name}'" for name, tally in votes.items())
+    match = " ".join(f"WHEN {tally} >= {bar} THEN {tally}" for tally in votes.values())
+    facts = facts.select(
+        "*",
+        F.expr(f"CASE WHEN non_empty = 0 THEN 'empty' {kind} ELSE 'string' END").alias("inferred_type"),
+        F.expr(f"CASE WHEN non_empty = 0 THEN 0 {match} ELSE non_empty END").alias("type_match"),
+    )
+    # A column without any unambiguous date family is read as ISO dates.
+    fixed = ", ".join(f"'{label}'" for label in (patterns.YMD_DASH, patterns.YMD_SLASH, patterns.YMD_COMPACT))
+    none_seen = (
+        f"size(array_intersect(observed, array({fixed}))) <= 0 "
+        f"AND `c_{patterns.DMY_SLASH}` + `c_{patterns.MDY_SLASH}` = 0"
+    )
+
+    def edge(side: str, name: str, pick: str) -> Column:
+        ends = ", ".join(
+            f"if(`c_{label}` > 0{f' OR ({none_seen})' if family == 'ymd_dash' else ''}, {side}_{family}, NULL)"
             for family, label in FAMILIES.items()
-        ]
-        return F.date_format(pick(*ends), "yyyy-MM-dd")
-
-    def edge(number: str, iso: str, date: Column) -> Column:
-        kind_of = F.col("inferred_type")
-        return (
-            F.when(kind_of.isin("integer", "number"), F.col(number))
-            .when(kind_of == "date", date)
-            .when(kind_of == "datetime", F.col(iso))
         )
+        return F.expr(
+            f"CASE WHEN inferred_type IN ('integer', 'number') THEN num_{name} "
+            f"WHEN inferred_type = 'date' THEN date_format({pick}({ends}), 'yyyy-MM-dd') "
+            f"WHEN inferred_type = 'datetime' THEN iso_{name} END"
+        ).alias(f"{name}_value")
 
-    return facts.select(
-        "*",
-        edge("num_min", "iso_min", date_edge("lo", F.least)).alias("min_value"),
-        edge("num_max", "iso_max", date_edge("hi", F.greatest)).alias("max_value"),
-    )
+    return facts.select("*", edge("lo", "min", "least"), edge("hi", "max", "greatest"))
 
 
 def top_values(counts: DataFrame, k: int = TOP_VALUES) -> DataFrame:
