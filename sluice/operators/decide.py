@@ -12,6 +12,7 @@ from sluice.contract import Contract
 from sluice.functions import dates
 from sluice.operators import detect
 from sluice.operators.detect import Knowledge
+from sluice.session import together
 
 # Order of preference of a default decision, and the disposition per outcome.
 DEFAULT_PRIORITY = (detect.APPROVE, detect.EXCLUDE, detect.QUARANTINE, detect.FLAG, detect.REJECT)
@@ -160,16 +161,20 @@ def change_set(
     found: DataFrame, decisions: DataFrame, contract: Contract, known: Knowledge, claim_counts: DataFrame, revision: int = 1
 ) -> ChangeSet:
     """Build the change set, or refuse. Findings are bounded by the number of columns."""
-    double = [row["finding_id"] for row in duplicate_decisions(decisions).collect()]
+    double, decided, seen_formats = together(
+        lambda: [row["finding_id"] for row in duplicate_decisions(decisions).collect()],
+        lambda: dispositions(found, decisions, revision).collect(),
+        lambda: claim_counts.filter(F.col("finding_id").startswith("FMT-")).collect(),
+    )
     if double:
         raise GovernanceError("OUTCOME_NOT_ALLOWED", double, "one decision per finding")
-    rows = dispositions(found, decisions, revision).orderBy("detector_rank", "column_rank").collect()
+    rows = sorted(decided, key=lambda row: (row["detector_rank"], row["column_rank"]))
     for code in ("DECISION_REVISION_MISMATCH", "OUTCOME_NOT_ALLOWED", "UNRESOLVED_FINDINGS"):
         refused = [row["finding_id"] for row in rows if row["refusal"] == code]
         if refused:
             raise GovernanceError(code, refused, [])
     formats: dict[str, list[str]] = {}
-    for row in claim_counts.filter(F.col("finding_id").startswith("FMT-")).collect():
+    for row in seen_formats:
         formats.setdefault(row["finding_id"], []).append(row["detail"])
     actions: list[Action] = []
     for row in rows:

@@ -251,17 +251,20 @@ def claims_column(found: list[Claim]) -> Column:
     return F.array_compact(F.array(*entries))
 
 
-def annotate(df: DataFrame, contract: Contract, known: Knowledge) -> tuple[DataFrame, DataFrame]:
-    """Rows with their ``claims``, and the distinct-record table behind the group findings."""
-    columns = known.columns
+def group_marks(df: DataFrame, contract: Contract, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Written marks of grouped records, and the distinct-record table; needs no column facts."""
     key = contract.business_key if all(k in columns for k in contract.business_key) else []
     unique = [c for c in contract.named("unique") if c in columns and c not in contract.business_key]
     marked, distinct = groups.marks(df, columns, [] if contract.observational else key, unique)
+    return groups.written(marked, "marks"), distinct
+
+
+def annotate(df: DataFrame, contract: Contract, known: Knowledge, marked: DataFrame) -> DataFrame:
+    """Rows with their ``claims``."""
     # The ordinal is unique, so this join cannot be skewed; small mark tables are broadcast by size.
-    rows = df.join(groups.written(marked, "marks"), "ordinal", "left")
+    rows = df.join(marked, "ordinal", "left")
     row_claims = observational_claims(known) if contract.observational else contract_claims(contract, known)
-    claimed = rows.select(*df.columns, claims_column(group_claims() + row_claims).alias("claims"))
-    return claimed, distinct
+    return rows.select(*df.columns, claims_column(group_claims() + row_claims).alias("claims"))
 
 
 def members(annotated: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from sluice.functions.hashing import fingerprint
 from sluice.operators import decide, detect, groups, metrics, profile, release
 from sluice.operators.decide import ChangeSet, GovernanceError
 from sluice.operators.detect import Knowledge
-from sluice.session import written
+from sluice.session import together, written
 
 CHECK_SCHEMA = "check_rank int, check_id string, passed boolean, observed string, expected string"
 
@@ -44,10 +44,14 @@ def analyse(
 ) -> Analysis:
     """Detect and score a table of text columns with ``ordinal`` and ``record_uid``."""
     active = contract or Contract()
-    if active.observational and facts is None:
-        facts = profiled(source)[1]
-    known = detect.learn(source, active, facts, proposals)
-    annotated, distinct = detect.annotate(source, active, known)
+    columns = detect.data_columns(source)
+
+    def learned() -> tuple[DataFrame | None, Knowledge]:
+        seen = profiled(source)[1] if active.observational and facts is None else facts
+        return seen, detect.learn(source, active, seen, proposals)
+
+    (facts, known), (marked, distinct) = together(learned, lambda: detect.group_marks(source, active, columns))
+    annotated = detect.annotate(source, active, known, marked)
     has_key = not active.observational and "business_key" in distinct.columns
     totals = groups.group_totals(distinct, "business_key" if has_key else None)
     sums = metrics.observed_sums(facts) if active.observational else metrics.metric_sums(source, active, known)
@@ -134,26 +138,26 @@ def dry_run(analysis: Analysis, decisions: DataFrame, revision: int = 1) -> DryR
     The annotated rows are written once: totals, outputs, ledger and checks all read them again,
     and reading a column of the written table is cheaper than matching the rules once more.
     """
-    analysis = replace(analysis, annotated=written(analysis.annotated, "annotated"), findings=written(analysis.findings, "findings"))
-    claim_counts = written(detect.claim_counts(analysis.annotated), "claim-counts")
-    changes = decide.change_set(
-        analysis.findings, decisions, analysis.contract, analysis.known, claim_counts, revision
+    annotated, found, decisions, seal, seen_scope = together(
+        lambda: written(analysis.annotated, "annotated"),
+        lambda: written(analysis.findings, "findings"),
+        lambda given=decisions: written(given, "decisions"),
+        lambda: sealed(analysis.source, ["record_uid", *analysis.columns])["fingerprint"],
+        lambda: scope(analysis.source)["fingerprint"],
     )
-    rows = release.applied(analysis.annotated, changes, analysis.known)
+    analysis = replace(analysis, annotated=annotated, findings=found)
+    claim_counts = written(detect.claim_counts(annotated), "claim-counts")
+    changes, prints, decided, conflicts = together(
+        lambda: decide.change_set(found, decisions, analysis.contract, analysis.known, claim_counts, revision),
+        lambda: action_prints(annotated),
+        lambda: decision_set_hash(decisions),
+        lambda: claim_counts.filter(F.col("finding_id").endswith("-CONFLICT")).agg(F.sum("records")).first()[0],
+    )
+    rows = release.applied(annotated, changes, analysis.known)
     totals = release.totals(rows, changes, analysis.contract, analysis.known).first().asDict()
-    whole = sealed(analysis.source, ["record_uid", *analysis.columns])["fingerprint"]
-    scope_print = scope(analysis.source)["fingerprint"]
-    conflicts = claim_counts.filter(F.col("finding_id").endswith("-CONFLICT")).agg(F.sum("records")).first()[0]
+    evaluated = evaluation_hash(seen_scope, analysis.contract, analysis.columns)
     return DryRun(
-        analysis,
-        changes,
-        whole,
-        scope_print,
-        evaluation_hash(scope_print, analysis.contract, analysis.columns),
-        action_set_hash(changes, action_prints(analysis.annotated)),
-        decision_set_hash(decisions),
-        totals,
-        int(conflicts or 0),
+        analysis, changes, seal, seen_scope, evaluated, action_set_hash(changes, prints), decided, totals, int(conflicts or 0)
     )
 
 
@@ -222,50 +226,53 @@ def execute(plan: DryRun, source: DataFrame | None = None) -> Release:
             raise GovernanceError("SOURCE_ARTIFACT_CHANGED", detect.data_columns(source), known.columns)
         claims = analysis.annotated.select("ordinal", "claims")
         rows = release.applied(source.join(claims, "ordinal", "left").withColumn("claims", F.coalesce("claims", F.array().cast(detect.CLAIM_SCHEMA))), changes, known)
-    seal, now_scope = sealed(current, ["record_uid", *known.columns]), scope(current)
+    whole = ["record_uid", *known.columns]
+    kept = ["record_uid", *[c for c in known.columns if c not in changes.excluded_columns]]
+    now_scope = scope(current)
     if now_scope["members"] != plan.totals["records"]:
         raise GovernanceError("SOURCE_ARTIFACT_CHANGED", now_scope["members"], plan.totals["records"])
-    candidate = written(release.candidate(rows, changes, known), "candidate")
-    kept = [c for c in known.columns if c not in changes.excluded_columns]
-    table = written(release.release_table(rows, changes, known), "release")
-    entries = written(release.ledger(rows, changes, contract, known), "ledger")
-    seen = release.totals(rows, changes, contract, known).first().asDict()
-    prints = {
-        "candidate": sealed(candidate, ["record_uid", *known.columns])["fingerprint"],
-        "release": sealed(table, ["record_uid", *kept])["fingerprint"],
-        "ledger": sealed(entries, LEDGER_COLUMNS)["fingerprint"],
-    }
-    # The written outputs are read back; the same outputs computed again must seal to the same prints.
-    again = {
-        "candidate": sealed(release.candidate(rows, changes, known), ["record_uid", *known.columns])["fingerprint"],
-        "release": sealed(release.release_table(rows, changes, known), ["record_uid", *kept])["fingerprint"],
-        "ledger": sealed(release.ledger(rows, changes, contract, known), LEDGER_COLUMNS)["fingerprint"],
+    made = {
+        "candidate": (release.candidate(rows, changes, known), whole),
+        "release": (release.release_table(rows, changes, known), kept),
+        "ledger": (release.ledger(rows, changes, contract, known), LEDGER_COLUMNS),
     }
+    candidate, table, entries = together(*[lambda n=name, d=df: written(d, n) for name, (df, _) in made.items()])
     removed = rows.filter(release.is_removed()).select("record_uid", "membership")
-    leaked = {
-        row["membership"]: row["n"]
-        for row in removed.join(table.select("record_uid"), "record_uid", "left_semi")
-        .groupBy("membership").agg(F.count("*").alias("n")).collect()
-    }
-    listed = {
-        row["kind"]: row["n"]
-        for row in entries.groupBy(F.when(F.col("column").isNotNull(), "cells").otherwise("memberships").alias("kind"))
-        .agg(F.count("*").alias("n")).collect()
-    }
+    still_there = removed.join(table.select("record_uid"), "record_uid", "left_semi").groupBy("membership")
+    entry_kind = F.when(F.col("column").isNotNull(), "cells").otherwise("memberships").alias("kind")
+    # The written outputs are read back; computed once more they must seal to the same fingerprints.
+    (
+        seal, stored_candidate, stored_release, stored_ledger, again_candidate, again_release, again_ledger,
+        seen, leaked_rows, listed_rows, released, scope_hash, prints_now,
+    ) = together(
+        lambda: sealed(current, whole)["fingerprint"],
+        lambda: sealed(candidate, whole)["fingerprint"],
+        lambda: sealed(table, kept)["fingerprint"],
+        lambda: sealed(entries, LEDGER_COLUMNS)["fingerprint"],
+        *[lambda d=df, c=columns: sealed(d, c)["fingerprint"] for df, columns in made.values()],
+        lambda: release.totals(rows, changes, contract, known).first().asDict(),
+        lambda: still_there.agg(F.count("*").alias("n")).collect(),
+        lambda: entries.groupBy(entry_kind).agg(F.count("*").alias("n")).collect(),
+        lambda: table.count(),
+        lambda: scope(candidate)["fingerprint"],
+        lambda: action_prints(analysis.annotated),
+    )
+    prints = {"candidate": stored_candidate, "release": stored_release, "ledger": stored_ledger}
+    again = {"candidate": again_candidate, "release": again_release, "ledger": again_ledger}
+    leaked = {row["membership"]: row["n"] for row in leaked_rows}
+    listed = {row["kind"]: row["n"] for row in listed_rows}
     found_ids = {row["finding_id"] for row in analysis.findings.select("finding_id").collect()}
     memberships = seen["planned_quarantined"] + seen["planned_excluded"] + seen["planned_flagged"]
-    released = table.count()
-    scope_hash = scope(candidate)["fingerprint"]
     ledger_seen = {"cells": listed.get("cells", 0), "memberships": listed.get("memberships", 0)}
     ledger_due = {"cells": plan.totals["scoped_cells"], "memberships": memberships}
-    actions_now = action_set_hash(changes, action_prints(analysis.annotated))
+    actions_now = action_set_hash(changes, prints_now)
     evaluated = evaluation_hash(scope_hash, contract, known.columns)
 
     def check(name: str, observed: Any, expected: Any, extra: bool = True) -> tuple[str, bool, Any, Any]:
         return (name, observed == expected and extra, observed, expected)
 
     checks = [
-        check("SOURCE_IMMUTABLE", seal["fingerprint"], plan.source_print),
+        check("SOURCE_IMMUTABLE", seal, plan.source_print),
         check("SCOPE_STABLE", scope_hash, plan.scope_print),
         check("EVALUATION_SCOPE_STABLE", evaluated, plan.evaluation),
         check("COMPLETENESS_NOT_IMPUTED", seen["filled_after"], plan.totals["filled_before"]),
@@ -309,14 +316,17 @@ def verify(outcome: Release, source: DataFrame, decisions: DataFrame, stored: di
     plan = outcome.plan
     analysis = plan.analysis
     kept = [c for c in analysis.columns if c in outcome.table.columns]
+    actions, decided, seal, candidate, table, entries = together(
+        lambda: action_set_hash(plan.changes, action_prints(analysis.annotated)),
+        lambda: decision_set_hash(decisions),
+        lambda: sealed(source, ["record_uid", *analysis.columns])["fingerprint"],
+        lambda: sealed(outcome.candidate, ["record_uid", *analysis.columns])["fingerprint"],
+        lambda: sealed(outcome.table, ["record_uid", *kept])["fingerprint"],
+        lambda: sealed(outcome.ledger, LEDGER_COLUMNS)["fingerprint"],
+    )
     observed = {
-        "SOURCE_HASH": sealed(source, ["record_uid", *analysis.columns])["fingerprint"],
-        "CONTRACT_HASH": analysis.contract.hash,
-        "ACTION_SET_HASH": action_set_hash(plan.changes, action_prints(analysis.annotated)),
-        "DECISION_SET_HASH": decision_set_hash(decisions),
-        "CANDIDATE_HASH": sealed(outcome.candidate, ["record_uid", *analysis.columns])["fingerprint"],
-        "RELEASE_HASH": sealed(outcome.table, ["record_uid", *kept])["fingerprint"],
-        "CHANGES_HASH": sealed(outcome.ledger, LEDGER_COLUMNS)["fingerprint"],
+        "SOURCE_HASH": seal, "CONTRACT_HASH": analysis.contract.hash, "ACTION_SET_HASH": actions, "DECISION_SET_HASH": decided,
+        "CANDIDATE_HASH": candidate, "RELEASE_HASH": table, "CHANGES_HASH": entries,
     }
     try:
         again = execute(plan, source)

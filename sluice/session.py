@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +54,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def together(*actions: Callable[[], Any]) -> list[Any]:
+    """Submit independent Spark actions at the same time; short jobs then share the executors."""
+    with ThreadPoolExecutor(max_workers=len(actions)) as pool:
+        return [future.result() for future in [pool.submit(action) for action in actions]]
