@@ -18,7 +18,7 @@ def between(first, last):
 
 CLINICAL = Contract.from_dict(
     {
-        "id": "clinical-nlp",
+        "id": "clinical",
         "version": "1.2.0",
         "business_key": ["record_id"],
         "fields": {
@@ -69,7 +69,7 @@ def clinical(spark):
 
 ECOMMERCE = Contract.from_dict(
     {
-        "id": "ecommerce-orders",
+        "id": "ecommerce",
         "version": "1.0.0",
         "business_key": ["order_id"],
         "fields": {
@@ -121,7 +121,7 @@ def ecommerce(spark):
 
 HR = Contract.from_dict(
     {
-        "id": "hr-roster",
+        "id": "hr",
         "version": "1.0.0",
         "business_key": ["employee_id"],
         "fields": {

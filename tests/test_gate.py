@@ -91,6 +91,15 @@ def test_refusals(spark, clinical):
         gate.dry_run(clinical, wrong)
 
 
+def test_stale_change_set(clinical):
+    plan = gate.dry_run(clinical, decide.default_decisions(clinical.findings))
+    gate.require_current(plan, plan.action_hash, 1)
+    with pytest.raises(decide.GovernanceError, match="ACTION_SET_CHANGED"):
+        gate.require_current(plan, "0" * 64, 1)
+    with pytest.raises(decide.GovernanceError, match="STALE_DRY_RUN"):
+        gate.require_current(plan, plan.action_hash, 2)
+
+
 def test_clinical_without_contract(clinical):
     seen = gate.analyse(clinical.source)
     assert counts(seen) == {"DUP-EXACT": 43, "FMT-encounter_date": 72, "PHI-free_text_note": 3}
