@@ -61,10 +61,14 @@ def run_available(spark: SparkSession, folder: str, glob: str, schema, columns:
         spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", 1).parquet(folder)
     )
     events = source.select(*[F.expr(sql).alias(name) for name, sql in columns.items()])
+    # State stores are fixed at the first start: one per core, however many shuffle partitions batches use.
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(partitions), spark.sparkContext.defaultParallelism)))
     query = (
         admission(events, limit, window).writeStream.format("parquet")
         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
         .trigger(availableNow=True).start()
     )
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
     query.awaitTermination()
     return spark.read.schema(OUTPUT).parquet(f"{base}/out")
