@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, decontaminate, licenses, sharding, urls
+from sluice.llm import bpe, decontaminate, licenses, quality, sharding, urls, winnow
 from sluice.llm.common import table
 
 
@@ -14,6 +14,10 @@ def vocabulary_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return winnow.against_edits(table(spark, folder, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -27,6 +31,10 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(table(spark, folder, "documents"), vocabulary_file())
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shards(table(spark, folder, "documents"))
 
@@ -36,9 +44,11 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_winnowing": op3_winnowing,
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op6_bpe": op6_bpe,
+    "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
     "op9_license_scan": op9_license_scan,
 }
