@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.common import Remembered
+
 # Fixed value: the public pre-token pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 400_000  # pre-tokens or fragments kept in a worker's memory
-REMEMBERED_CHARS = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -35,22 +35,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
-class Remembered(dict):
-    """Results of ``make`` by key, emptied when full."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[key] = value
-        return value
-
-
 class Vocabulary:
     """Merges, ids and forced boundaries of a byte-level BPE file given as text."""
 

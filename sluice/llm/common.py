@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from sluice.session import written
 
+REMEMBERED = 400_000  # results kept in a worker's memory
+REMEMBERED_CHARS = 64
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -17,6 +20,22 @@ ALNUM_TABLE = bytes(
 )
 
 
+class Remembered(dict):
+    """Results of ``make`` by key, emptied when full."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = value
+        return value
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

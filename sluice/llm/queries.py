@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, decontaminate, licenses, quality, sharding, urls, winnow
+from sluice.llm import bpe, decontaminate, licenses, lines, ngram_join, quality, sharding, urls, winnow
 from sluice.llm.common import table
 
 
@@ -14,6 +14,10 @@ def vocabulary_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.report(table(spark, folder, "documents"))
+
+
 def op3_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnow.against_edits(table(spark, folder, "documents"))
 
@@ -43,7 +47,12 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents")).drop("spans")
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.report(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_winnowing": op3_winnowing,
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
@@ -51,12 +60,27 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
     "op9_license_scan": op9_license_scan,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+PLAIN = r"[^\x20\x09-\x0D]+"
+
 ORACLES = {
+    "op1_ngram_join": f"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{PLAIN}') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g
+  FROM doc, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS t(i) WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach(doc_id, other) AS (SELECT a, b FROM link UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON r.other = l.a),
+comp AS (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id
+FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN comp USING (doc_id)""",
     "op4_decontaminate": f"""
 WITH item AS (SELECT item_id, regexp_extract_all({LOWERED}, '{ALNUM}') AS w FROM benchmark),
 doc AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{ALNUM}') AS w FROM documents),
