@@ -7,9 +7,10 @@ shingles (64-bit hashes), or its whole word sequence if it has fewer words. Two
 1. One pass takes every document's set size and class (equal sets are one class) and counts shingles
    in a fixed number of cells; the counts are broadcast (1 MB) and order shingles from rare to frequent.
 2. Linked sets share one of their first floor(n / 5) + 1 shingles in that order, so classes meet in
-   the buckets of these. Every class is first held against its bucket's smallest member and against the one
-   before it; near copies become one component by that, without a pair for every two of them.
-3. Buckets that still hold several components get a signature tree: leaves of some 32 classes of like size
+   the buckets of these. Every class is first held against its bucket's smallest member and against the two
+   before it; near copies become one component by that, without a pair for every two of them. A bucket falls
+   into runs where a size exceeds the one before by more than a quarter; runs of three are done with.
+3. Longer runs that still hold several components get a signature tree: leaves of some 32 classes of like size
    with the OR of their token bitmaps, the range of their sizes and their largest number of colliding
    tokens; above them one node per bucket and size level. Pairs of nodes are walked from the top, and a pair is
    left out when its largest possible overlap (common bits, plus the fewer colliding tokens) can't
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import Remembered, components, plain_words
+from sluice.llm.common import components, plain_words
 from sluice.llm.lines import keyed
 from sluice.session import written
 
@@ -44,7 +45,6 @@ LEVEL = 1.26  # sizes of linked sets differ by 1.25 at most, so their levels by
 # Odd multipliers of the words of a shingle, and of the mixing steps.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
-WORD_HASH = Remembered(xxhash.xxh64_intdigest)
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -53,7 +53,7 @@ def shingle_set(text: bytes) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, n)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
     k = min(n, WORDS)
     total = np.full(n - k + 1, k, np.uint64) * MIX
     for i in range(k):
@@ -61,7 +61,8 @@ def shingle_set(text: bytes) -> np.ndarray:
     total ^= total >> np.uint64(31)
     total *= MIX
     total ^= total >> np.uint64(29)
-    return np.unique(total)
+    total.sort()
+    return total[np.concatenate(([True], total[1:] != total[:-1]))]
 
 
 def level_of(n: int) -> int:
@@ -103,12 +104,19 @@ def first_pass(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            rows = []
-            for k1, k2, doc_id, text in zip(batch["k1"], batch["k2"], batch["doc_id"], batch["text"]):
+            sizes, names_of, met = [], [], []
+            for text in batch.pop("text"):
                 found = shingle_set(text)
-                cells += np.bincount((found >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
-                rows.append((k1, k2, doc_id, len(found), np.uint64(xxhash.xxh64_intdigest(found.tobytes())).astype(np.int64), None, None))
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "cell": "Int64", "tokens": "Int64"})
+                sizes.append(len(found))
+                names_of.append(xxhash.xxh64_intdigest(found.tobytes()))
+                met.append((found >> np.uint64(64 - CELL_BITS)).astype(np.int32))
+                if sum(map(len, met[-64:])) > 1 << CELL_BITS or len(met) >= 2048:  # count many texts at once
+                    cells += np.bincount(np.concatenate(met), minlength=len(cells))
+                    met = []
+            if met:
+                cells += np.bincount(np.concatenate(met), minlength=len(cells))
+            batch["n"], batch["class"] = np.array(sizes, np.int64), np.array(names_of, np.uint64).astype(np.int64)
+            yield batch.reindex(columns=names).astype({"doc_id": "Int64", "cell": "Int64", "tokens": "Int64"})
         full = np.nonzero(cells)[0]
         yield pd.DataFrame({"cell": full, "tokens": cells[full]}).reindex(columns=names).astype({c: "Int64" for c in names})
 
@@ -159,71 +167,70 @@ def fits() -> str:
 
 
 def met_in_buckets(sets: DataFrame) -> DataFrame:
-    """(token, class, n, count, first, before) of the classes that share a prefix token with another."""
+    """(token, class, n, first, before, second, run) of the classes that share a prefix token with another.
+
+    Runs are numbered along the sizes of a bucket; a size that is too far from the one before begins the next.
+    """
     rows = sets.select("class", "n", F.explode("prefix").alias("token"))
     ordered = Window.partitionBy("token").orderBy("n", "class")
     whole = Window.partitionBy("token")
     one = F.struct("class", "n")
-    return written(
-        rows.select(
-            "token", "class", "n", F.count("*").over(whole).alias("count"),
-            F.first(one).over(ordered).alias("first"), F.lag(one).over(ordered).alias("before"),
-        ).where("count > 1"),
-        "buckets",
+    apart = F.when(F.col("before").isNull() | (4 * F.col("n") > 5 * F.col("before.n")), 1).otherwise(0)
+    met = rows.select(
+        "token", "class", "n", F.count("*").over(whole).alias("count"),
+        F.first(one).over(ordered).alias("first"), F.lag(one).over(ordered).alias("before"), F.lag(one, 2).over(ordered).alias("second"),
     )
+    return written(met.withColumn("run", F.sum(apart).over(ordered)).where("count > 1").drop("count"), "buckets")
 
 
 def star_pairs(buckets: DataFrame) -> DataFrame:
-    pairs = buckets.where("before IS NOT NULL").select("class", "n", F.explode(F.array("first", "before")).alias("o"))
+    pairs = buckets.where("before IS NOT NULL").select("class", "n", F.explode(F.array("first", "before", "second")).alias("o")).where("o IS NOT NULL")
     return pairs.select(F.col("class").alias("a"), F.col("o.class").alias("b"), F.col("n").alias("n_a"), F.col("o.n").alias("n_b")).where(fits()).distinct()
 
 
 def trees(buckets: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b, n_a, n_b) of classes of different components that the dual traversal leaves."""
-    rows = buckets.where("count > 2").select("token", "class", "n", "count").join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
+    rows = buckets.select(F.xxhash64("token", "run").alias("token"), "class", "n").join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
     rows = written(rows.withColumn("root", F.coalesce("root", "class")), "trees")
     # Buckets of several components; of those with the same members, one.
     several = rows.groupBy("token").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.first("count").alias("count"),
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("count"),
         F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"),
-    ).where("low <> high").groupBy("count", "x", "y").agg(F.min("token").alias("token"))
+    ).where("low <> high AND count > 3").groupBy("count", "x", "y").agg(F.min("token").alias("token"))
     level = F.floor(F.log("n") / F.log(F.lit(LEVEL))).cast("int")
-    member = rows.join(several.select("token"), "token").join(sets.select("class", "bitmap"), "class").withColumn("level", level)
+    member = rows.join(several.select("token", "count"), "token").join(sets.select("class", "bitmap"), "class").withColumn("level", level)
     leaf = F.pmod(F.xxhash64("class"), F.ceil(F.col("count") / LEAF)).cast("int")
 
-    def node(rows: pd.DataFrame) -> pd.DataFrame:
-        """A leaf: its members, and what bounds them. Level and width go together but for rounding: take the smaller."""
-        width = min(map(len, rows["bitmap"]))
-        maps = as_rows(list(rows["bitmap"]), width)
-        half = folded(maps, max(width // 2, 4))
-        n = rows["n"].to_numpy()
-        return pd.DataFrame({
-            "token": rows["token"].iloc[:1], "level": rows["level"].iloc[:1], "leaf": rows["leaf"].iloc[:1],
-            "least": [n.min()], "any": [np.bitwise_or.reduce(maps).tobytes()],
-            "loose": [(n - ones(maps)).max()], "loose_half": [(n - ones(half)).max()],
-            "classes": [rows["class"].to_numpy()], "sizes": [n], "roots": [rows["root"].to_numpy()], "maps": [maps.tobytes()],
-        })
-
+    def bounds(maps: np.ndarray, sizes: np.ndarray) -> tuple[bytes, int, int]:
+        half = folded(maps, max(maps.shape[1] // 2, 4))
+        return np.bitwise_or.reduce(maps).tobytes(), int((sizes - ones(maps)).max()), int((sizes - ones(half)).max())
+
+    @F.pandas_udf("any binary, loose long, loose_half long, maps binary")
+    def leaf_of(sizes: pd.Series, bitmaps: pd.Series) -> pd.DataFrame:
+        """What bounds a leaf's members. Level and width go together but for rounding: take the smaller width."""
+        rows = []
+        for n, each in zip(sizes, bitmaps):
+            maps = as_rows(list(each), min(map(len, each)))
+            rows.append((*bounds(maps, np.asarray(n)), maps.tobytes()))
+        return pd.DataFrame(rows, columns=["any", "loose", "loose_half", "maps"])
+
+    @F.pandas_udf(T.BinaryType())
+    def united(bitmaps: pd.Series) -> pd.Series:
+        return pd.Series([np.bitwise_or.reduce(as_rows(list(each), min(map(len, each)))).tobytes() for each in bitmaps], dtype=object)
+
+    # A leaf has some LEAF members whatever the bucket's size, so collecting them is bounded.
+    one = F.struct("class", "n", "root", "bitmap")
+    leaves = member.withColumn("leaf", leaf).groupBy("token", "level", "leaf").agg(F.min("n").alias("least"), F.collect_list(one).alias("m"))
+    leaves = leaves.withColumn("node", leaf_of("m.n", "m.bitmap"))
     leaves = written(
-        member.withColumn("leaf", leaf).groupBy("token", "level", "leaf").applyInPandas(
-            node, "token long, level int, leaf int, least long, any binary, loose long, loose_half long, "
-            "classes array<long>, sizes array<long>, roots array<long>, maps binary",
+        leaves.select(
+            "token", "level", "leaf", "least", "node.*", F.col("m.class").alias("classes"), F.col("m.n").alias("sizes"), F.col("m.root").alias("roots")
         ),
         "leaves",
     )
-    bounds = F.struct("least", "any", "loose", "loose_half")
-
-    def above(rows: pd.DataFrame) -> pd.DataFrame:
-        width = min(map(len, rows["any"]))
-        return pd.DataFrame({
-            "token": rows["token"].iloc[:1], "level": rows["level"].iloc[:1], "least": [rows["least"].min()],
-            "any": [np.bitwise_or.reduce(as_rows(list(rows["any"]), width)).tobytes()],
-            "loose": [rows["loose"].max()], "loose_half": [rows["loose_half"].max()],
-        })
-
-    tops = leaves.select("token", "level", "least", "any", "loose", "loose_half").groupBy("token", "level").applyInPandas(
-        above, "token long, level int, least long, any binary, loose long, loose_half long"
-    )
+    tops = leaves.groupBy("token", "level").agg(
+        F.min("least").alias("least"), F.collect_list("any").alias("any"), F.max("loose").alias("loose"), F.max("loose_half").alias("loose_half")
+    ).withColumn("any", united("any"))
 
     @F.pandas_udf(T.BooleanType())
     def open_pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
@@ -243,16 +250,22 @@ def trees(buckets: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
         return left.join(right, ["token", "level"])
 
     down = paired(tops, ["least", "any", "loose", "loose_half"]).where(open_pair("a", "b")).select("token", "level", "upper")
-    below = paired(leaves, ["leaf", "least", "any", "loose", "loose_half", "classes", "sizes", "roots", "maps"])
-    same = "upper > level OR a.leaf <= b.leaf"
-    left = below.join(down, ["token", "level", "upper"]).where(same).where(open_pair("a", "b"))
+    below = paired(leaves, ["leaf", "least", "any", "loose", "loose_half"]).join(down, ["token", "level", "upper"])
+    open_leaves = below.where("upper > level OR a.leaf <= b.leaf").where(open_pair("a", "b")).select(
+        "token", "level", "upper", F.col("a.leaf").alias("leaf_a"), F.col("b.leaf").alias("leaf_b")
+    )
+    full = F.struct("classes", "sizes", "roots", "maps")
+    left = open_leaves.join(
+        leaves.select("token", "level", F.col("leaf").alias("leaf_a"), full.alias("a")), ["token", "level", "leaf_a"]
+    ).join(leaves.select("token", F.col("level").alias("upper"), F.col("leaf").alias("leaf_b"), full.alias("b")), ["token", "upper", "leaf_b"])
 
     @F.pandas_udf("array<struct<a:long,b:long,n_a:long,n_b:long>>")
     def crossing(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
         out = []
         for x, y in zip(a.itertuples(), b.itertuples()):
-            width = min(len(x.any), len(y.any))
-            maps = [folded(np.frombuffer(r.maps, np.uint8).reshape(len(r.classes), -1), width) for r in (x, y)]
+            maps = [np.frombuffer(r.maps, np.uint8).reshape(len(r.classes), -1) for r in (x, y)]
+            width = min(m.shape[1] for m in maps)
+            maps = [folded(m, width) for m in maps]
             n = [np.asarray(r.sizes) for r in (x, y)]
             loose = [size - ones(m) for size, m in zip(n, maps)]
             size_a, size_b = n[0][:, None], n[1][None, :]
