@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, decontaminate, licenses, lines, ngram_join, quality, sharding, urls, winnow
+from sluice.llm import bpe, decontaminate, katz, licenses, lines, ngram_join, quality, sharding, urls, winnow
 from sluice.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.report(table(spark, folder, "documents"))
 
 
+def op2_katz(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.score(table(spark, folder, "documents"))
+
+
 def op3_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnow.against_edits(table(spark, folder, "documents"))
 
@@ -53,6 +57,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_katz": op2_katz,
     "op3_winnowing": op3_winnowing,
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
