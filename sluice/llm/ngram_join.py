@@ -70,8 +70,8 @@ def level_of(n: int) -> int:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A bit per token at four to eight bits a token; sets of one level have one width."""
-    width = max(64, 1 << int(np.ceil(np.log2(4 * LEVEL ** (level_of(len(hashes)) + 1)))))
+    """Token bits at a width of 1.9 to 3.8 bits a token; sets of one level have one width."""
+    width = max(64, 1 << int(np.ceil(np.log2(1.5 * LEVEL ** (level_of(len(hashes)) + 1)))))
     bits = np.zeros(width, np.uint8)
     bits[(hashes & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
