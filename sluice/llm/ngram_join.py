@@ -70,8 +70,8 @@ def level_of(n: int) -> int:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """Token bits at a width of 1.9 to 3.8 bits a token; sets of one level have one width."""
-    width = max(64, 1 << int(np.ceil(np.log2(1.5 * LEVEL ** (level_of(len(hashes)) + 1)))))
+    """A bit per token at five to ten bits a token; sets of one level have one width."""
+    width = max(64, 1 << int(np.ceil(np.log2(4 * LEVEL ** (level_of(len(hashes)) + 1)))))
     bits = np.zeros(width, np.uint8)
     bits[(hashes & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -202,6 +202,7 @@ def trees(buckets: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     leaf = F.pmod(F.xxhash64("class"), F.ceil(F.col("count") / LEAF)).cast("int")
 
     def bounds(maps: np.ndarray, sizes: np.ndarray) -> tuple[bytes, int, int]:
+        maps = folded(maps, max(maps.shape[1] // 4, 4))  # nodes are bounded at a quarter of the width
         half = folded(maps, max(maps.shape[1] // 2, 4))
         return np.bitwise_or.reduce(maps).tobytes(), int((sizes - ones(maps)).max()), int((sizes - ones(half)).max())
 
