@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.session import written
 
-REMEMBERED = 400_000  # results kept in a worker's memory
+REMEMBERED = 100_000  # results kept in a worker's memory
 REMEMBERED_CHARS = 64
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

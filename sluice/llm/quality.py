@@ -32,7 +32,7 @@ SAMPLE = 4000
 DIMENSIONS = 32
 NEIGHBOURS = 5
 POWER = 8
-BLOCK = 1024
+BLOCK = 256
 GOOD = 0.5
 
 # Term of every byte pair, by multiplicative hashing.
