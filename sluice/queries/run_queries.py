@@ -271,12 +271,23 @@ def run_search(spark, folder):
     return runs.search(listed, "view", "RUN-1").select("run_id")
 
 
-@query("sliding_admission", None)
+ADMISSION = """WITH RECURSIVE ev AS (
+  SELECT event_id, CAST(user_id AS VARCHAR) AS key, epoch(CAST(ts AS TIMESTAMP)) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+st AS (
+  SELECT key, n, event_id, true AS allowed, CAST(0 AS BIGINT) AS retry_after, [sec] AS times FROM ev WHERE n = 1
+  UNION ALL
+  SELECT key, n, event_id, len(f) < 3, CASE WHEN len(f) < 3 THEN 0 ELSE greatest(CAST(ceil(f[1] + 3600 - sec) AS BIGINT), 1) END,
+    CASE WHEN len(f) < 3 THEN list_append(f, sec) ELSE f END
+  FROM (SELECT ev.key, ev.n, ev.event_id, ev.sec, list_filter(st.times, lambda t: t > ev.sec - 3600) AS f FROM st JOIN ev ON ev.key = st.key AND ev.n = st.n + 1))
+SELECT event_id, key, allowed, retry_after FROM st"""
+
+
+@query("sliding_admission", ADMISSION)
 def sliding_admission(spark, folder):
-    """Three admitted events per user and hour, as a stateful stream over the event file."""
-    schema = read_table(spark, folder, "events").schema
-    columns = {"event_id": "event_id", "key": "CAST(user_id AS STRING)", "at": "CAST(CAST(ts AS TIMESTAMP) AS DOUBLE)"}
-    return admission.run_available(spark, folder, "events.parquet", schema, columns, 3, 3600.0)
+    """Three admitted events per user and hour."""
+    at = F.col("ts").cast("timestamp").cast("double")
+    events = read_table(spark, folder, "events").select("event_id", F.col("user_id").cast("string").alias("key"), at.alias("at"))
+    return admission.admission(events, 3, 3600.0)
 
 
 # -- proposals -------------------------------------------------------------------------------

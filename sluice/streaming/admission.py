@@ -1,74 +1,41 @@
-"""Sliding-window admission as a stateful stream.
+"""Sliding-window admission: at most ``limit`` admitted events of a key within ``window`` seconds.
 
-An event is admitted while fewer than ``limit`` *admitted* events lie in the last ``window``
-seconds. What counts is what was admitted before, so this is genuine per-key state and no plain
-range window: the state is the at most ``limit`` admission times still inside the window.
+What counts is what was admitted before, so a decision depends on earlier decisions; but a gap of a
+whole window forgets them all. The events of a key are therefore cut into sessions at such gaps, and
+each session is folded in time order over the at most ``limit`` admission times that still count. Files
+may arrive in any order: the order of events is that of their times, then of their ids.
 """
 
 from __future__ import annotations
 
-import math
-import uuid
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sluice.session import work_folder
 
-OUTPUT = "event_id bigint, key string, allowed boolean, retry_after bigint"
-STATE = "times array<double>"
+def sessions(events: DataFrame, window: float) -> DataFrame:
+    """(key, events): the events of one session in time order."""
+    in_order = Window.partitionBy("key").orderBy("at", "event_id")
+    begins = F.coalesce(F.col("at") - F.lag("at").over(in_order) >= window, F.lit(True)).cast("int")
+    numbered = events.withColumn("begins", begins).withColumn("session", F.sum("begins").over(in_order))
+    return numbered.groupBy("key", "session").agg(F.sort_array(F.collect_list(F.struct("at", "event_id"))).alias("events"))
 
 
-def admit(times: deque, now: float, limit: int, window: float) -> tuple[bool, int]:
-    """One decision; ``times`` holds earlier admissions in order and is updated in place."""
-    while times and times[0] <= now - window:
-        times.popleft()
-    if len(times) < limit:
-        times.append(now)
-        return True, 0
-    wait = window if not times else times[0] + window - now
-    return False, max(1, math.ceil(wait))
+def decide(state: Column, event: Column, limit: int, window: float) -> Column:
+    """The next state: admission times that still count, and the decisions so far."""
+    counting = F.filter(state["times"], lambda t: t > event["at"] - window)
+    free = F.size(counting) < limit
+    frees_at = F.coalesce(F.get(counting, F.lit(0)), event["at"]) + window
+    wait = F.greatest(F.ceil(frees_at - event["at"]).cast("bigint"), F.lit(1).cast("bigint"))
+    decision = F.struct(event["event_id"].alias("event_id"), free.alias("allowed"), F.when(free, F.lit(0).cast("bigint")).otherwise(wait).alias("retry_after"))
+    times = F.when(free, F.concat(counting, F.array(event["at"]))).otherwise(counting)
+    return F.struct(times.alias("times"), F.concat(state["decisions"], F.array(decision)).alias("decisions"))
 
 
 def admission(events: DataFrame, limit: int, window: float) -> DataFrame:
-    """Stream of decisions. ``events``: event_id, key, at (seconds). A micro-batch bounds the rows per key."""
-
-    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = deque(state.get[0] if state.exists else [])
-        batch = pd.concat(list(frames)).sort_values(["at", "event_id"], kind="stable")
-        results = [admit(times, at, limit, window) for at in batch["at"]]
-        state.update((list(times),))
-        yield pd.DataFrame(
-            {
-                "event_id": batch["event_id"].to_numpy(),
-                "key": key[0],
-                "allowed": [r[0] for r in results],
-                "retry_after": [r[1] for r in results],
-            }
-        )
-
-    return events.groupBy("key").applyInPandasWithState(decide, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def run_available(spark: SparkSession, folder: str, glob: str, schema, columns: dict[str, str], limit: int, window: float) -> DataFrame:  # noqa: ANN001
-    """Run the stream over the parquet files present now, one file per micro-batch, and return its output."""
-    base = f"{work_folder(spark)}/admission-{uuid.uuid4().hex}"
-    source = (
-        spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", 1).parquet(folder)
-    )
-    events = source.select(*[F.expr(sql).alias(name) for name, sql in columns.items()])
-    # State stores are fixed at the first start: one per core, however many shuffle partitions batches use.
-    partitions = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(partitions), spark.sparkContext.defaultParallelism)))
-    query = (
-        admission(events, limit, window).writeStream.format("parquet")
-        .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
-        .trigger(availableNow=True).start()
+    """Decisions (event_id, key, allowed, retry_after) on events (event_id, key, at in seconds)."""
+    start = F.struct(
+        F.array().cast("array<double>").alias("times"),
+        F.array().cast("array<struct<event_id:bigint,allowed:boolean,retry_after:bigint>>").alias("decisions"),
     )
-    spark.conf.set("spark.sql.shuffle.partitions", partitions)
-    query.awaitTermination()
-    return spark.read.schema(OUTPUT).parquet(f"{base}/out")
+    folded = F.aggregate("events", start, lambda state, event: decide(state, event, limit, window), lambda state: state["decisions"])
+    return sessions(events, window).select("key", F.inline(folded)).select("event_id", "key", "allowed", "retry_after")
