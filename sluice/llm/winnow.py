@@ -9,7 +9,7 @@ window is the rightmost of equal hashes; positions of texts over 16,777,216 word
 
 Defined results: null and empty texts have an empty fingerprint, and two empty ones are alike (1.0);
 rows that repeat (same id and text) are one document in the order of documents but keep their rows;
-rows sharing an id are ordered by a hash of their text; null ids come first; a lone document is its
+rows sharing an id are ordered by a hash of their text; null ids come first (and stand for the smallest long); a lone document is its
 own next. Only doc_id and text are read.
 """
 
@@ -125,10 +125,9 @@ def against_edits(docs: DataFrame) -> DataFrame:
     shuffled once, by their key; both joins read that shuffle.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(
-        "doc_id", text.alias("text"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text).alias("k2"),
-    )
+    no_id = F.lit(-(1 << 63))
+    # Both joins use exactly these columns, else each would have a shuffle of its own.
+    base = docs.select(text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), no_id).alias("k1"), F.xxhash64(text).alias("k2"))
     keys = base.select("k1", "k2", (F.char_length("text") / 4).cast("int").alias("quarter"))
     asks = following(keys, ["k1", "k2"]).select(
         F.col("next.k1").alias("k1"), F.col("next.k2").alias("k2"), F.struct("k1", "k2").alias("asker"), "quarter"
@@ -141,7 +140,7 @@ def against_edits(docs: DataFrame) -> DataFrame:
     n = F.char_length("text")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - int(char_length(text) / 4))"), F.col("head"))
     rows = base.join(told, ["k1", "k2"]).select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), "next_hashes",
+        F.nullif("k1", no_id).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), "next_hashes",
         F.struct(selected(F.col("text")).alias("own"), selected(edited).alias("edited")).alias("grams"),
     )
     shown = let(F.col("grams"), lambda g: let(
