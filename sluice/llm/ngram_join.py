@@ -5,7 +5,7 @@ shingles (64-bit hashes), or its whole word sequence if it has fewer words. Two
 5 * intersection >= 4 * union. The join is exact but for hash collisions:
 
 1. One pass takes every document's set size and class (equal sets are one class) and counts shingles
-   in a fixed number of cells; the counts are broadcast (1 MB) and order shingles from rare to frequent.
+   in a fixed number of cells; their levels are broadcast (0.5 MB) and order shingles from rare to frequent.
 2. Linked sets share one of their first floor(n / 5) + 1 shingles in that order, so classes meet in
    the buckets of these. Every class is first held against its bucket's smallest member and against the two
    before it; near copies become one component by that, without a pair for every two of them. A bucket falls
@@ -40,6 +40,8 @@ from sluice.session import written
 
 WORDS = 5
 CELL_BITS = 18
+STEPS = 64  # levels of a cell's count per doubling: a frequent shingle stands out of a well filled cell
+LEVEL_BITS = 12
 LEAF = 32
 LEVEL = 1.26  # sizes of linked sets differ by 1.25 at most, so their levels by 1
 # Odd multipliers of the words of a shingle, and of the mixing steps.
@@ -128,16 +130,16 @@ def first_pass(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rare_first(counts: DataFrame) -> np.ndarray:
-    """Per cell the power of two of its count: at most 2^CELL_BITS small numbers."""
+    """Per cell the level of its count, in steps of a 64th of a doubling: at most 2^CELL_BITS small numbers."""
     rows = counts.toPandas()
-    powers = np.zeros(1 << CELL_BITS, np.uint8)
-    powers[rows["cell"].to_numpy(np.int64)] = np.ceil(np.log2(rows["tokens"].to_numpy(float) + 1)).astype(np.uint8)
-    return powers
+    levels = np.zeros(1 << CELL_BITS, np.uint16)
+    levels[rows["cell"].to_numpy(np.int64)] = np.ceil(STEPS * np.log2(rows["tokens"].to_numpy(float) + 1)).astype(np.uint16)
+    return levels
 
 
-def classes(docs: DataFrame, powers: np.ndarray) -> DataFrame:
+def classes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """One row per class: class, n, key and id of its first document, prefix tokens and bitmap."""
-    shared = docs.sparkSession.sparkContext.broadcast(powers)
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     @F.pandas_udf("n long, class long, prefix array<long>, bitmap binary")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -146,7 +148,8 @@ def classes(docs: DataFrame, powers: np.ndarray) -> DataFrame:
             for text in texts:
                 found = shingle_set(text)
                 n = len(found)
-                rank = (shared.value[found >> np.uint64(64 - CELL_BITS)].astype(np.uint64) << np.uint64(58)) | (found >> np.uint64(6))
+                level = shared.value[found >> np.uint64(64 - CELL_BITS)].astype(np.uint64)
+                rank = (level << np.uint64(64 - LEVEL_BITS)) | (found >> np.uint64(LEVEL_BITS))
                 first = np.argsort(rank)[: n // 5 + 1]
                 name = np.uint64(xxhash.xxh64_intdigest(found.tobytes())).astype(np.int64)
                 rows.append((n, name, found[first].astype(np.int64), bitmap(found) if n else b""))
