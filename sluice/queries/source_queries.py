@@ -59,6 +59,15 @@ def csv_ordinals(spark, folder):
     )
 
 
+@query("csv_row_order", "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1 AS ordinal FROM orders")
+def csv_row_order(spark, folder):
+    """Orders published in key order over several files get the ordinals of that order back."""
+    path = fresh(spark, "ordered")
+    orders = read_table(spark, folder, "orders").repartitionByRange(6, "o_orderkey").sortWithinPartitions("o_orderkey")
+    logs.publish(stringify(orders), path, "csv")
+    return delimited.intake(spark, path)[0].select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "ordinal")
+
+
 @query("csv_layout", "SELECT ',' AS delimiter, 'utf-8' AS encoding, CAST(3 AS BIGINT) AS columns, MAX(contains(html, chr(10))) AS multi_line FROM pages")
 def csv_layout(spark, folder):
     path = fresh(spark, "pages")

@@ -9,19 +9,19 @@ from __future__ import annotations
 import csv
 import hashlib
 import io
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.functions.hashing import fingerprint, record_uid
+from sluice.functions.hashing import encoded, fingerprint, record_uid
 from sluice.session import written
 
 DELIMITERS = (",", "\t", ";")  # fixed values; the first wins a tie
 CORRUPT = "_corrupt"
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
-WHOLE_FILES = 10_000
+FILE, BLOCK, ROW = "__file", "__block", "__row"
 UNUSED = "￾"  # a noncharacter: keeps an empty quoted cell apart from a missing one
 
 
@@ -101,40 +101,54 @@ def read_delimited(spark: SparkSession, path: str, layout: Layout | None = None,
     return reader.schema(T.StructType(fields)).option("mode", "FAILFAST").csv(path)
 
 
-def single_column(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
-    """One column: a line of blanks is a record here, which the CSV source would skip."""
-    raw = F.decode(F.col("value").cast("binary"), layout.encoding)
-    lines = text_lines(spark, path).select("_metadata.file_path", F.regexp_replace(raw, r"\r\z", "").alias("line"))
-    quoted = F.regexp_extract("line", r'^"(.*)"\z', 1)
-    cell = F.when(F.col("line").startswith('"'), F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(F.col("line"))
-    numbered = with_ordinal(lines, "place")
-    headers = [row["place"] for row in numbered.groupBy("file_path").agg(F.min("place").alias("place")).collect()]  # one per file
-    return numbered.filter(~F.col("place").isin(*headers)).select(cell.alias(layout.columns[0]))
+def single_column(spark: SparkSession, path: str, layout: Layout, name: str | None = None) -> DataFrame:
+    """One column, with its ordinals as ``name``: a line of blanks is a record here, which the CSV source would skip."""
+    line = F.regexp_replace(F.decode(F.col("value").cast("binary"), layout.encoding), r"\r\z", "")
+    lines = located(text_lines(spark, path)).withColumn("value", line)
+    numbered = with_ordinal(lines, name or ROW, headers=True)
+    quoted = F.regexp_extract("value", r'^"(.*)"\z', 1)
+    cell = F.when(F.col("value").startswith('"'), F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(F.col("value"))
+    return numbered.select(*[name] * bool(name), cell.alias(layout.columns[0]))
 
 
-def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
-    """0-based position of each row, from per-partition sizes; no row leaves the JVM or is shuffled.
+def located(scan: DataFrame) -> DataFrame:
+    """The rows of a file scan with their file, the block of the file and a number that rises along the block."""
+    place = scan.metadataColumn("_metadata")
+    return scan.select(
+        place["file_path"].alias(FILE), place["file_block_start"].alias(BLOCK), F.monotonically_increasing_id().alias(ROW),
+        *[F.col(f"`{c}`") for c in scan.columns],
+    )
+
+
+def with_ordinal(rows: DataFrame, name: str = "ordinal", *, headers: bool = False) -> DataFrame:
+    """0-based position of each ``located`` row by file path, block and place in the block; ``headers`` leaves out each file's first row.
 
-    Must sit directly on a file scan, whose partitions are the same in both passes. The offsets
-    are one number per partition.
+    The rows are written once, so counting and numbering see the same blocks however a scan is split.
+    Offsets are running totals over one row per block.
+    """
+    columns = [F.col(f"`{c}`") for c in rows.columns if c not in (FILE, BLOCK, ROW)]
+    rows = written(rows, "located")
+    skipped = F.when(F.col(BLOCK) == 0, 1).otherwise(0) if headers else F.lit(0)
+    blocks = rows.groupBy(FILE, BLOCK).agg(F.count("*").alias("__n"), F.min(ROW).alias("__low"))
+    before = Window.orderBy(FILE, BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.col("__n") - skipped).over(before), F.lit(0))
+    offsets = written(blocks.select(FILE, BLOCK, "__low", offset.alias("__offset")), "blocks")
+    position = F.col(ROW) - F.col("__low") - skipped
+    return rows.join(offsets, [FILE, BLOCK]).where(position >= 0).select((F.col("__offset") + position).alias(name), *columns)
+
+
+def intake(spark: SparkSession, path: str, dataset_hash: str | None = None, *, seal: str = "bytes") -> tuple[DataFrame, Layout, str]:
+    """Read, number, identify and write a delimited source once; everything else reads the result.
+
+    ``seal`` says what identity means, whatever the source's size: "bytes" hashes whole files, each in
+    one task; "content" hashes the numbered cells, for files that no single task should read.
     """
-    placed = df.withColumn("__partition", F.spark_partition_id()).withColumn("__position", F.monotonically_increasing_id())
-    sizes = placed.groupBy("__partition").agg(F.count("*").alias("n")).orderBy("__partition").collect()
-    offsets, total = [], 0
-    for row in sizes:
-        offsets.append((row["__partition"], total))
-        total += row["n"]
-    table = df.sparkSession.createDataFrame(offsets or [(0, 0)], "__partition int, __offset bigint")
-    local = F.col("__position").bitwiseAND(F.lit((1 << 33) - 1))
-    joined = placed.join(F.broadcast(table), "__partition")
-    return joined.select((F.col("__offset") + local).alias(name), *df.columns)
-
-
-def intake(spark: SparkSession, path: str, dataset_hash: str | None = None) -> tuple[DataFrame, Layout, str]:
-    """Read, number, identify and write a delimited source once; everything else reads the result."""
     layout = detect_layout(spark, path)
-    numbered = with_ordinal(read_delimited(spark, path, layout))
-    digest = dataset_hash or file_set_hash(spark, path)
+    if len(layout.columns) == 1 and not layout.multi_line:
+        numbered = single_column(spark, path, layout, "ordinal")
+    else:
+        numbered = with_ordinal(located(read_delimited(spark, path, layout)))
+    digest = dataset_hash or (content_hash(numbered, layout.columns) if seal == "content" else file_set_hash(spark, path))
     identified = numbered.select("ordinal", record_uid(digest, F.col("ordinal")).alias("record_uid"), *[F.col(f"`{c}`") for c in layout.columns])
     table = written(identified, "intake")
     if table.isEmpty():
@@ -142,6 +156,13 @@ def intake(spark: SparkSession, path: str, dataset_hash: str | None = None) -> t
     return table, layout, digest
 
 
+def content_hash(numbered: DataFrame, columns: list[str]) -> str:
+    """Identity of the column names and of every row at its ordinal: constant state, the same for any split."""
+    digests = numbered.select(F.sha2(F.concat_ws("|", F.col("ordinal").cast("string"), encoded(columns)), 256).alias("digest"))
+    sealed = fingerprint(digests, "digest").first()
+    return hashlib.sha256(json.dumps([columns, sealed["fingerprint"] if sealed else ""]).encode()).hexdigest()
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) per file."""
     files = spark.read.format("binaryFile").load(path)
@@ -149,13 +170,6 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_set_hash(spark: SparkSession, path: str) -> str:
-    """Identity of the source: sha256 of the bytes of a single file, or of the sorted file hashes.
-
-    Files too large for one task, or too many for one list, are sealed line by line instead.
-    """
-    sizes = spark.read.format("binaryFile").load(path).agg(F.count("length").alias("files"), F.max("length").alias("largest")).first()
-    if sizes["largest"] > WHOLE_FILE_BYTES or sizes["files"] > WHOLE_FILES:
-        lines = text_lines(spark, path).select(F.sha2("value", 256).alias("digest"))
-        return fingerprint(lines, "digest").first()["fingerprint"]
+    """Identity of the source's bytes: sha256 of a single file, or of the sorted file hashes, at any size."""
     hashes = sorted(row["sha256"] for row in file_hashes(spark, path).select("sha256").collect())
     return hashes[0] if len(hashes) == 1 else hashlib.sha256("\n".join(hashes).encode()).hexdigest()

@@ -90,12 +90,43 @@ def test_blank_cells_in_several_files(spark, tmp_path):
     assert sorted(r["only"] for r in table.collect()) == [" ", " ", "A", "A", "only", "only"]
 
 
-def test_large_sources_are_sealed_by_line(spark, tmp_path, monkeypatch):
-    path = put(tmp_path, "a.csv", TEXT)
-    exact = delimited.file_set_hash(spark, path)
-    monkeypatch.setattr(delimited, "WHOLE_FILE_BYTES", 1)
-    sealed = delimited.file_set_hash(spark, path)
-    assert sealed != exact and sealed == delimited.file_set_hash(spark, path)
+def identities(spark, path, seal, split):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        table, _, digest = delimited.intake(spark, path, seal=seal)
+        return digest, sorted((r["n"], r["ordinal"], r["record_uid"]) for r in table.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("seal", ["bytes", "content"])
+def test_identity_is_the_same_for_every_split(spark, tmp_path, seal):
+    (tmp_path / "in").mkdir()
+    first, second = range(700), range(700, 4700)  # the shorter file comes first: splits are packed by size
+    for name, rows in (("a.csv", first), ("b.csv", second)):
+        put(tmp_path / "in", name, "n,t\n" + "".join(f"{i:05d},row {i}\n" for i in rows))
+    path = str(tmp_path / "in")
+    whole = identities(spark, path, seal, 1 << 27)
+    assert [ordinal for _, ordinal, _ in whole[1]] == list(range(4700))
+    assert whole == identities(spark, path, seal, 8000) == identities(spark, path, seal, 20_011)
+
+
+def test_content_seal_sees_order_and_names(spark, tmp_path):
+    texts = ("n,t\n1,a\n2,b\n", "n,t\n2,b\n1,a\n", "n,u\n1,a\n2,b\n", "n,t\r\n1,a\r\n2,b\r\n")
+    sealed = [delimited.intake(spark, put(tmp_path, f"{i}.csv", text), seal="content")[2] for i, text in enumerate(texts)]
+    assert len(set(sealed[:3])) == 3 and sealed[3] == sealed[0]
+
+
+def test_single_column_over_several_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, rows in (("a.csv", range(30)), ("b.csv", range(30, 3000))):
+        put(tmp_path / "in", name, "n\n" + "".join(f"{i:05d}\n" for i in rows))
+    path = str(tmp_path / "in")
+    whole = identities(spark, path, "bytes", 1 << 27)
+    assert [(int(n), ordinal) for n, ordinal, _ in whole[1]] == [(i, i) for i in range(3000)]
+    assert whole == identities(spark, path, "bytes", 997)
 
 
 def test_ordinals_over_many_splits(spark, tmp_path):
