@@ -64,7 +64,7 @@ def learn(
     columns = data_columns(df)
     known = Knowledge(columns=columns)
     if facts is None and contract.observational:
-        counts = profile.value_counts(df, columns)
+        counts = profile.cell_counts(df, columns)
         facts = profile.column_facts(groups.written(counts, "counts"))
     if facts is not None:
         for row in facts.collect():  # one row per column

@@ -1,8 +1,10 @@
 """Column profiling: one unpivot, one shuffle on (column, cell), then small aggregates.
 
-Long texts travel as digests. Everything the profile needs from a long text (its shape, class
-and length) is worked out before the shuffle, so a column of 20 000-word documents shuffles
-32 bytes per row instead of the documents.
+Where a profile needs only counts, long texts travel as a digest with the first characters of the text.
+Everything else the profile needs from a long text (its shape, class and length) is worked out
+before the shuffle, so a column of 20 000-word documents shuffles some 200 bytes per row instead of
+the documents. What is published is always the whole text: ``value_counts`` groups the texts themselves,
+``top_values`` fetches the texts of the cells that can still be among the first and ranks by them.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from sluice.contract import Contract
 from sluice.functions import dates, patterns
 from sluice.functions.predicates import as_number
 from sluice.functions.text import is_blank
+from sluice.session import written
 
 LONG_CHARS = 128
 TOP_VALUES = 5
@@ -48,9 +51,25 @@ def is_long(value: Column) -> Column:
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, is_long, cnt, blank, pattern, pattern_class, chars), one row per distinct cell.
+    """(column, value, cnt, blank, pattern, pattern_class, chars), one row per distinct cell with its whole text."""
+    value = F.col("value")
+    return cells(df, columns).groupBy("column", "value").agg(F.count("*").alias("cnt")).select(
+        "column",
+        "value",
+        "cnt",
+        is_blank(value).alias("blank"),
+        patterns.shape_label(value).alias("pattern"),
+        patterns.sensitive_class(value).alias("pattern_class"),
+        F.char_length(value).alias("chars"),
+    )
+
 
-    ``value`` is the digest of the text where ``is_long``. Blank cells keep their own rows.
+def cell_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``value_counts`` for further aggregation: also (is_long, head), and a narrow shuffle.
+
+    ``value`` is the digest of the text where ``is_long``. ``head`` orders the cells as their texts
+    do, but for ties of long texts: the text itself, of long ones the first characters. Blank cells
+    keep their own rows.
     """
     value = F.col("value")
     long = F.col("is_long")
@@ -58,20 +77,22 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
         "column",
         "is_long",
         F.when(long, F.sha2(value, 256)).otherwise(value).alias("value"),
+        F.when(long, F.substring(value, 1, LONG_CHARS)).alias("long_head"),
         F.when(long, patterns.shape_label(value)).alias("long_pattern"),
         F.when(long, patterns.sensitive_class(value)).alias("long_class"),
         F.when(long, F.char_length(value)).alias("long_chars"),
         F.when(long, is_blank(value)).alias("long_blank"),
     )
-    # Shape, class and length follow from the text, so as extra keys they change no group and
+    # Head, shape, class and length follow from the text, so as extra keys they change no group and
     # leave a plain count, which Spark aggregates by hash without sorting.
     counted = keyed.groupBy(
-        "column", "is_long", "value", "long_pattern", "long_class", "long_chars", "long_blank"
+        "column", "is_long", "value", "long_head", "long_pattern", "long_class", "long_chars", "long_blank"
     ).agg(F.count("*").alias("cnt"))
     return counted.select(
         "column",
         "value",
         "is_long",
+        F.when(long, F.col("long_head")).otherwise(value).alias("head"),
         "cnt",
         F.when(long, F.col("long_blank")).otherwise(is_blank(value)).alias("blank"),
         F.when(long, F.col("long_pattern")).otherwise(patterns.shape_label(value)).alias("pattern"),
@@ -247,17 +268,36 @@ def with_type(facts: DataFrame) -> DataFrame:
     return facts.select("*", edge("lo", "min", "least"), edge("hi", "max", "greatest"))
 
 
-def top_values(counts: DataFrame, k: int = TOP_VALUES) -> DataFrame:
-    """Most frequent cells per column. The rank filter is pushed below the shuffle by Spark."""
-    order = Window.partitionBy("column").orderBy(F.desc("cnt"), F.asc("value"))
+def top_values(df: DataFrame, counts: DataFrame, k: int = TOP_VALUES) -> DataFrame:
+    """(column, rank, value, cnt, pattern_class): the most frequent cells per column, equal counts by text.
+
+    ``counts`` are the ``cell_counts`` of ``df``. A cell behind k others by count and head is behind
+    them by count and text too, so ranking by heads leaves every cell that can be among the first;
+    Spark pushes that limit below the shuffle. Only of those left are the long texts read again.
+    """
+    by_head = Window.partitionBy("column").orderBy(F.desc("cnt"), F.asc("head"))
+    near = counts.filter(~F.col("blank")).withColumn("place", F.rank().over(by_head)).filter(F.col("place") <= k)
+    near = written(near.select("column", "value", "is_long", "cnt", "pattern_class"), "top")
+    by_text = Window.partitionBy("column").orderBy(F.desc("cnt"), F.asc("value"))
     return (
-        counts.filter(~F.col("blank"))
-        .withColumn("rank", F.row_number().over(order))
+        with_texts(df, near)
+        .withColumn("rank", F.row_number().over(by_text))
         .filter(F.col("rank") <= k)
-        .select("column", "rank", "value", "is_long", "cnt", "pattern_class")
+        .select("column", "rank", "value", "cnt", "pattern_class")
     )
 
 
+def with_texts(df: DataFrame, near: DataFrame) -> DataFrame:
+    """``near`` with texts for digests. ``near`` is written, so Spark knows its bytes when it picks the join."""
+    long = near.filter("is_long").select("column", "value")
+    columns = [row["column"] for row in long.select("column").distinct().collect()]  # bounded by the columns
+    if not columns:
+        return near
+    texts = cells(df, columns).filter(is_long(F.col("value"))).select("column", F.sha2("value", 256).alias("value"), F.col("value").alias("text"))
+    found = texts.join(long, ["column", "value"]).dropDuplicates(["column", "value"])
+    return near.join(found, ["column", "value"], "left").withColumn("value", F.coalesce("text", "value"))
+
+
 def pattern_histogram(facts: DataFrame) -> DataFrame:
     return facts.select("column", F.explode("shapes").alias("pattern", "cells"))
 
@@ -277,39 +317,13 @@ def withheld_columns(facts: DataFrame, contract: Contract) -> DataFrame:
     return facts.filter(is_declared | (F.col("sensitive_hits") > 0)).select("column")
 
 
-def long_texts(df: DataFrame, top: DataFrame) -> DataFrame:
-    """Original text of the few long top values: a narrow scan against at most k x columns digests."""
-    wanted = [row["value"] for row in top.filter("is_long").select("value").distinct().collect()]
-    columns = [row["column"] for row in top.filter("is_long").select("column").distinct().collect()]
-    schema = "column string, value string, text string"
-    if not wanted:
-        return df.sparkSession.createDataFrame([], schema)
-    digest = F.sha2("value", 256)
-    return (
-        cells(df, columns)
-        .filter(is_long(F.col("value")))
-        .select("column", digest.alias("digest"), "value")
-        .filter(F.col("digest").isin(*wanted))
-        .groupBy("column", "digest")
-        .agg(F.first("value").alias("text"))
-        .select("column", F.col("digest").alias("value"), "text")
-    )
-
-
-def column_profile(
-    df: DataFrame, counts: DataFrame, facts: DataFrame, contract: Contract, *, show_long: bool = True
-) -> DataFrame:
+def column_profile(df: DataFrame, counts: DataFrame, facts: DataFrame, contract: Contract) -> DataFrame:
     """The published profile: values are masked in withheld columns and wherever they look sensitive."""
     withheld = withheld_columns(facts, contract).withColumn("withheld", F.lit(True))
     marked = facts.join(F.broadcast(withheld), "column", "left").withColumn(
         "withheld", F.coalesce("withheld", F.lit(False))
     )
-    top = top_values(counts)
-    if show_long:
-        top = top.join(F.broadcast(long_texts(df, top)), ["column", "value"], "left").withColumn(
-            "value", F.coalesce("text", "value")
-        )
-    top = top.join(F.broadcast(marked.select("column", "withheld")), "column")
+    top = top_values(df, counts).join(F.broadcast(marked.select("column", "withheld")), "column")
     hidden = F.col("withheld") | F.col("pattern_class").isNotNull()
     shown = top.select(
         "column",

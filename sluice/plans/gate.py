@@ -61,7 +61,7 @@ def analyse(
 
 def profiled(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(value counts, column facts); the counts are written once because several reports read them."""
-    counts = written(profile.value_counts(source, detect.data_columns(source)), "counts")
+    counts = written(profile.cell_counts(source, detect.data_columns(source)), "counts")
     return counts, written(profile.column_facts(counts), "facts")
 
 

@@ -661,7 +661,7 @@ def redacted_candidates(spark, folder):
     from sluice.sources.tables import read_table, stringify
 
     df = stringify(read_table(spark, folder, "events"))
-    counts = profile.value_counts(df.select("props"), ["props"]).filter("NOT blank AND NOT is_long")
+    counts = profile.value_counts(df.select("props"), ["props"]).filter("NOT blank")
     return ground.redacted_candidates(counts).select("column", "value", "cnt")
 
 

@@ -23,7 +23,7 @@ def text_table(spark, folder, name):
 
 def counted(spark, folder, name):
     df = text_table(spark, folder, name)
-    return written(profile.value_counts(df, df.columns), "counts")
+    return written(profile.cell_counts(df, df.columns), "counts")
 
 
 def query(name, sql):
@@ -54,7 +54,7 @@ def value_counts_query(table):
 def top_values_query(table):
     def run(spark, folder):
         df = text_table(spark, folder, table)
-        return profile.top_values(profile.value_counts(df, df.columns)).select(
+        return profile.top_values(df, counted(spark, folder, table)).select(
             "column", F.col("rank").cast("bigint").alias("rank"), "value", "cnt"
         )
 
@@ -105,7 +105,7 @@ for _table in ("orders", "customer", "part", "lineitem", "events", "documents",
 
 def feed_counts(spark, folder):
     df = feeds.orders_feed(spark, folder).select(*feeds.ORDER_NAMES)
-    return df, written(profile.value_counts(df, df.columns), "counts")
+    return df, written(profile.cell_counts(df, df.columns), "counts")
 
 
 FEED_FACTS = facts_sql("feed", {name: name for name in feeds.ORDER_NAMES}, feeds.feed_sql())
@@ -216,7 +216,7 @@ def masked_cell_count(spark, folder):
 def column_profile_query(table):
     def run(spark, folder):
         df = text_table(spark, folder, table)
-        counts = written(profile.value_counts(df, df.columns), "counts")
+        counts = written(profile.cell_counts(df, df.columns), "counts")
         shown = profile.column_profile(df, counts, profile.column_facts(counts), Contract())
         top = F.transform("top_values", lambda t: F.concat_ws("=", t["value"], t["count"].cast("string")))
         return shown.select(
@@ -224,12 +224,11 @@ def column_profile_query(table):
             F.array_join(top, "; ").alias("top_values"), "sensitive_hit_count", "withheld",
         )
 
-    shown = f"CASE WHEN f.sensitive_hits > 0 OR t.cls IS NOT NULL THEN {sqltext.mask('t.cls')} ELSE t.shown END"
+    shown = f"CASE WHEN f.sensitive_hits > 0 OR t.cls IS NOT NULL THEN {sqltext.mask('t.cls')} ELSE t.value END"
     sql = (
         facts_sql(table)
-        + f""", originals AS (SELECT DISTINCT col, v FROM cells WHERE {sqltext.LONG}),
-ranked AS (SELECT c.col, c.cls, c.cnt, COALESCE(o.v, c.value) AS shown, ROW_NUMBER() OVER (PARTITION BY c.col ORDER BY c.cnt DESC, c.value) AS rank
-  FROM counts c LEFT JOIN originals o ON c.is_long AND o.col = c.col AND sha256(o.v) = c.value WHERE NOT c.blank),
+        + f""", ranked AS (SELECT col, cls, cnt, value, ROW_NUMBER() OVER (PARTITION BY col ORDER BY cnt DESC, value) AS rank
+  FROM counts WHERE NOT blank),
 tops AS (SELECT t.col, STRING_AGG({shown} || '=' || CAST(t.cnt AS STRING), '; ' ORDER BY t.rank) AS top_values
   FROM ranked t JOIN filled f ON f.col = t.col WHERE t.rank <= 5 GROUP BY t.col)
 SELECT f.col AS "column", v.inferred_type, f.empty AS null_count, f.distinct_count,
@@ -253,8 +252,8 @@ for _table in ("orders", "part", "documents", "events"):
 )
 def pattern_class_counts(spark, folder):
     df = text_table(spark, folder, "documents")
-    counts = written(profile.value_counts(df, df.columns), "counts")
-    shown = profile.column_profile(df, counts, profile.column_facts(counts), Contract(), show_long=False)
+    counts = written(profile.cell_counts(df, df.columns), "counts")
+    shown = profile.column_profile(df, counts, profile.column_facts(counts), Contract())
     return (
         shown.select("column", F.explode("top_values").alias("t"))
         .filter("t.pattern_class IS NOT NULL")

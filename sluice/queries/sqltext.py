@@ -26,7 +26,6 @@ TEXT_OF = {
     "f": "CAST(CAST({c} AS DECIMAL(38,2)) AS STRING)",
     "ts": "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')",
 }
-LONG = "(LENGTH(v) > 128 AND regexp_matches(v, '[^0-9+.eE-]'))"
 DATE_RX = r"^\d{1,4}[-/]?\d{1,2}[-/]?\d{1,4}$"
 
 
@@ -79,10 +78,9 @@ def mask(pattern_class: str) -> str:
 
 
 def counts_sql(table: str, columns: dict[str, str] | None = None) -> str:
-    """CTE chain ending in ``counts`` (col, value, is_long, cnt, blank, pattern, cls, chars)."""
+    """CTE chain ending in ``counts`` (col, value, cnt, blank, pattern, cls, chars)."""
     return f"""cells AS ({cells_sql(table, columns)}),
-counts AS (SELECT col, CASE WHEN {LONG} THEN sha256(v) ELSE v END AS value,
-  COALESCE({LONG}, FALSE) AS is_long, COUNT(*) AS cnt, ANY_VALUE({blank('v')}) AS blank,
+counts AS (SELECT col, v AS value, COUNT(*) AS cnt, ANY_VALUE({blank('v')}) AS blank,
   ANY_VALUE({shape('v')}) AS pattern, ANY_VALUE({sensitive('v')}) AS cls, ANY_VALUE(LENGTH(v)) AS chars
   FROM cells GROUP BY col, v)"""
 
@@ -122,7 +120,7 @@ EDGES = f"""parsed AS (SELECT c.col, c.value, c.cnt, c.pattern,
   CASE WHEN {match('c.value', DATE_RX)} THEN COALESCE(try_strptime(c.value, '%Y-%m-%d'), try_strptime(c.value, '%Y/%m/%d'),
     CASE WHEN s.slash_label = 'DD/MM/YYYY' THEN try_strptime(c.value, '%d/%m/%Y') WHEN s.slash_label = 'MM/DD/YYYY' THEN try_strptime(c.value, '%m/%d/%Y') END,
     CASE WHEN c.pattern = 'YYYYMMDD' THEN try_strptime(c.value, '%Y%m%d') END) END AS d
-  FROM counts c LEFT JOIN slash s ON s.col = c.col WHERE NOT c.blank AND NOT c.is_long),
+  FROM counts c LEFT JOIN slash s ON s.col = c.col WHERE NOT c.blank),
 edges AS (SELECT col,
   FIRST(value ORDER BY num, cnt DESC, value) FILTER (WHERE num IS NOT NULL) AS num_min,
   FIRST(value ORDER BY num DESC, cnt DESC, value) FILTER (WHERE num IS NOT NULL) AS num_max,

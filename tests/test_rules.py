@@ -200,10 +200,29 @@ def test_hot_groups_are_salted(spark, monkeypatch):
 def test_long_cells_travel_as_digests(spark):
     long = "word " * 400
     df = spark.createDataFrame([(long,), (long,), ("short",), ("9" * 200,)], "t string")
-    counts = profile.value_counts(df, ["t"]).collect()
+    counts = profile.cell_counts(df, ["t"]).collect()
     assert {(r["is_long"], r["cnt"], r["chars"]) for r in counts} == {(True, 2, 2000), (False, 1, 5), (False, 1, 200)}
     assert max(len(r["value"]) for r in counts) == 200
-    facts = profile.column_facts(gate.written(profile.value_counts(df, ["t"]), "c"))
+    facts = profile.column_facts(gate.written(profile.cell_counts(df, ["t"]), "c"))
     row = facts.first()
     assert (row["distinct_count"], row["max_length"], row["shapes"]) == (3, 2000, {patterns.TEXT: 3, patterns.DIGITS: 1})
     assert hashing.row_digest(["t"]) is not None
+
+
+def test_published_values_are_whole_texts(spark):
+    """Counts and top values against plain Python: no digest, ties by the whole text whatever its length."""
+    head = "x" * 128
+    texts = [head, head + " b", head + " a", head + " a", head + " c", "x" * 127, "y", None, " ", "word " * 40, "z " * 500, "z " * 500]
+    df = spark.createDataFrame([(t, "same " * 60) for t in texts], "t string, u string")
+    plain = {}
+    for t in texts:
+        plain[t] = plain.get(t, 0) + 1
+    counted = {(r["value"], r["cnt"]) for r in profile.value_counts(df, ["t"]).collect()}
+    assert counted == set(plain.items())
+    order = sorted(((-n, t) for t, n in plain.items() if t and t.strip()))
+    for k in (1, 2, 3, 4, 5, 6, 20):
+        top = profile.top_values(df, profile.cell_counts(df, ["t", "u"]), k).orderBy("column", "rank").collect()
+        assert [(r["rank"], -r["cnt"], r["value"]) for r in top if r["column"] == "t"] == [(i + 1, *o) for i, o in enumerate(order[:k])]
+        assert [(r["value"], r["cnt"]) for r in top if r["column"] == "u"] == [("same " * 60, len(texts))]
+    empty = df.limit(0)
+    assert profile.top_values(empty, profile.cell_counts(empty, ["t"])).count() == 0
