@@ -264,6 +264,35 @@ def totals(rows: DataFrame, changes: ChangeSet, contract: Contract, known: Knowl
     )
 
 
+def reconciliation(rows: DataFrame, stored: DataFrame, changes: ChangeSet, contract: Contract, known: Knowledge) -> DataFrame:
+    """What a candidate as it was stored did to the source cells: one join on the record id, one aggregate.
+
+    ``rows`` hold the source cells and the claims, ``stored`` is the candidate read back. Every cell of
+    every column is compared, so a change outside the edited columns counts as unapproved. A record
+    that is missing in ``stored`` counts as one whose cells became null.
+    """
+    names = known.columns
+    read = stored.select("record_uid", F.struct(*[F.col(f"`{c}`") for c in names]).alias("stored"))
+    done = edited_columns(changes)
+    changed = scoped = unapproved = conflicts = F.lit(0)
+    for name in names:
+        differs = ~F.col(f"`{name}`").eqNullSafe(F.col(f"stored.`{name}`"))
+        changed = changed + differs.cast("int")
+        owned = F.lit(False)
+        if name in done:
+            owned = owner([a for a in changes.edits if a.column == name], "finding_id").isNotNull()
+            scoped = scoped + owned.cast("int")
+        unapproved = unapproved + (differs & ~owned).cast("int")
+        if name in contract.fields:
+            conflicts = conflicts + (holds(f"SEM-{name}-CONFLICT") & differs).cast("int")
+    required = [c for c in contract.named("required") if c in names]
+    filled = sum([(~is_blank(F.col(f"stored.`{c}`"))).cast("int") for c in required], F.lit(0))
+    sums = {
+        "changed_cells": changed, "scoped_cells": scoped, "unapproved_cells": unapproved, "conflicts_changed": conflicts, "filled_after": filled,
+    }
+    return rows.join(read, "record_uid", "left").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()])
+
+
 def table_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     return fingerprint(df.select(row_digest(columns).alias("digest")), "digest")
 

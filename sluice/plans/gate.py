@@ -243,7 +243,7 @@ def execute(plan: DryRun, source: DataFrame | None = None) -> Release:
     # The written outputs are read back; computed once more they must seal to the same fingerprints.
     (
         seal, stored_candidate, stored_release, stored_ledger, again_candidate, again_release, again_ledger,
-        seen, leaked_rows, listed_rows, released, scope_hash, prints_now,
+        seen, kept_cells, leaked_rows, listed_rows, released, scope_hash, prints_now,
     ) = together(
         lambda: sealed(current, whole)["fingerprint"],
         lambda: sealed(candidate, whole)["fingerprint"],
@@ -251,6 +251,7 @@ def execute(plan: DryRun, source: DataFrame | None = None) -> Release:
         lambda: sealed(entries, LEDGER_COLUMNS)["fingerprint"],
         *[lambda d=df, c=columns: sealed(d, c)["fingerprint"] for df, columns in made.values()],
         lambda: release.totals(rows, changes, contract, known).first().asDict(),
+        lambda: release.reconciliation(rows, candidate, changes, contract, known).first().asDict(),
         lambda: still_there.agg(F.count("*").alias("n")).collect(),
         lambda: entries.groupBy(entry_kind).agg(F.count("*").alias("n")).collect(),
         lambda: table.count(),
@@ -275,9 +276,9 @@ def execute(plan: DryRun, source: DataFrame | None = None) -> Release:
         check("SOURCE_IMMUTABLE", seal, plan.source_print),
         check("SCOPE_STABLE", scope_hash, plan.scope_print),
         check("EVALUATION_SCOPE_STABLE", evaluated, plan.evaluation),
-        check("COMPLETENESS_NOT_IMPUTED", seen["filled_after"], plan.totals["filled_before"]),
-        check("NO_UNAPPROVED_CELL_CHANGES", seen["changed_cells"], seen["scoped_cells"], seen["unapproved_cells"] == 0),
-        check("CONFLICTS_UNCHANGED", seen["conflicts_changed"], 0),
+        check("COMPLETENESS_NOT_IMPUTED", kept_cells["filled_after"], plan.totals["filled_before"]),
+        check("NO_UNAPPROVED_CELL_CHANGES", kept_cells["changed_cells"], kept_cells["scoped_cells"], kept_cells["unapproved_cells"] == 0),
+        check("CONFLICTS_UNCHANGED", kept_cells["conflicts_changed"], 0),
         check("QUARANTINE_EXCLUDED", seen["quarantined"], plan.totals["planned_quarantined"], not leaked.get("QUARANTINED")),
         check("DUPLICATES_EXCLUDED", seen["excluded"], plan.totals["planned_excluded"], not leaked.get("EXCLUDED")),
         check("SENSITIVE_COLUMN_EXCLUDED", [c for c in changes.excluded_columns if c in table.columns], []),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sluice.contract import Contract
 from sluice.functions import patterns
+from sluice.functions.text import is_blank
 from sluice.operators import decide, detect, ground, metrics, profile, release, semantic
 from sluice.plans import gate
 from sluice.queries import feeds, sqltext
@@ -560,6 +561,43 @@ def release_validations(spark, folder):
     return checks.select("check_id", "passed", F.when(counted, F.col("observed")).alias("observed"))
 
 
+_DONE = "SELECT {0} AS altered, {1} AS imputed, CAST({2} AS BIGINT) AS unapproved, CAST({3} AS BIGINT) AS conflicts_changed FROM {4}"
+_EMPTY = f"COUNT(*) FILTER (WHERE {sqltext.blank('customer')})"
+
+
+@query(
+    "candidate_corruption",
+    APPLIED + " " + " UNION ALL ".join([
+        _DONE.format("'nothing'", "0", "0", "0", "(SELECT 1)"),
+        _DONE.format("'phase'", "0", "COUNT(*) FILTER (WHERE UPPER(phase) <> phase)", "0", "feed"),
+        _DONE.format("'customer'", _EMPTY, _EMPTY, "0", "feed"),
+        _DONE.format(
+            "'status'", "0", "COUNT(*) FILTER (WHERE status IS NOT NULL AND new_status IS NOT DISTINCT FROM status)",
+            "(SELECT COUNT(*) FROM members m JOIN edits e ON e.ordinal = m.ordinal WHERE m.finding_id = 'SEM-status-CONFLICT' AND e.status IS NOT NULL)", "edits",
+        ),
+    ]),
+)
+def candidate_corruption(spark, folder):
+    """What the comparison of source and stored candidate reports when one column of it was altered after the fact."""
+    plan = planned(spark, folder)
+    known, contract, rows = plan.analysis.known, plan.analysis.contract, plan.rows
+    candidate = release.candidate(rows, plan.changes, known)
+    altered = {
+        "nothing": candidate,
+        "phase": candidate.withColumn("phase", F.upper("phase")),
+        "customer": candidate.withColumn("customer", F.when(is_blank(F.col("customer")), "imputed").otherwise(F.col("customer"))),
+        "status": candidate.withColumn("status", F.concat("status", F.lit("!"))),
+    }
+    out = None
+    for name, stored in altered.items():
+        part = release.reconciliation(rows, stored, plan.changes, contract, known).select(
+            F.lit(name).alias("altered"), (F.col("filled_after") - F.lit(plan.totals["filled_before"])).alias("imputed"),
+            F.col("unapproved_cells").alias("unapproved"), "conflicts_changed",
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "release_manifest",
     APPLIED + _COUNTS + " SELECT r + q + x AS total_source_records, r AS eligible_record_count, q AS quarantined_record_count, x AS excluded_record_count, CAST(0 AS BIGINT) AS flagged_record_count, "
