@@ -1,15 +1,13 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame functions only.
+"""Fuzzy line deduplication by MinHash.
 
-Lines (between line feeds, white space trimmed, lower-cased) of at least ``MIN_CHARS`` characters are
-compared; shorter ones always stay. A line's characters are cut at white space and every
-``PIECE_CHARS`` characters; its shingles are the hashes of two neighbouring pieces, so a shingle spans
-up to 16 characters. The hashes are sorted: the range of hashes is divided into ``BANDS`` equal parts
-and the ``ROWS`` hashes that follow the beginning of a part (in a circle) are the minima of one more
-order of the hashes. Two lines of Jaccard similarity s agree in one band with probability s^4: at
-s = 0.8 some band of 8 agrees with 0.985, at 0.9 with 0.9998.
+Lines (between line feeds, white space trimmed, lower-cased) of at least ``SHINGLE`` characters are
+compared; shorter ones have no shingle and always stay. The shingles of a line are the hashes of every
+``SHINGLE`` neighbouring characters. Each of ``BANDS`` bands holds the minima of ``ROWS`` orders of its own,
+so bands are independent: two lines of Jaccard similarity s agree in one with probability s^4, at s = 0.8
+in some band of 8 with 0.985, at 0.9 with 0.9998. Shingles are hashed in pandas UDFs.
 
 Equal lines are one line with its first place. In each bucket of a band every line is compared with
-the bucket's first line and with the line before it in the order of set sizes, never with all; the
+the bucket's first line and with the line before it in the order of hashes, never with all; the
 exact Jaccard similarity of the shingle sets decides, and connected lines form a component. One line
 of a component stays: the one with the smallest doc_id (nulls first) and position.
 
@@ -21,40 +19,93 @@ are told apart by 64-bit hashes. Only doc_id, text and n_chars (counted anew if
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType
 
 from sluice.llm.common import components
 from sluice.llm.winnow import let
 from sluice.session import written
 
-MIN_CHARS = 20
-PIECE_CHARS = 8
+SHINGLE = 5
 BANDS = 8
 ROWS = 4
 SIMILARITY = 0.8
 BITMAPS = 256  # of 32 768 bits: 1 MB whatever the table's size
-
-
-def shingles(line: Column) -> Column:
-    """Sorted distinct hashes of neighbouring character pieces; a single piece is a shingle of its own."""
-    pieces = F.regexp_extract_all(line, F.lit(rf"\S{{1,{PIECE_CHARS}}}"), F.lit(0))
-    return let(pieces, lambda p: F.sort_array(F.array_distinct(
-        F.transform(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), lambda x, i: F.xxhash64(x, F.get(p, i + 1)))
-    )))
-
-
-def band_keys(hashes: Column) -> Column:
-    """Per part of the hash range that is not empty: a hash of the ROWS hashes from its first one on, in a circle."""
-    shift = 64 - (BANDS - 1).bit_length()
-    n = F.size(hashes)
-
-    def key(x: Column, i: Column) -> Column:
-        after = [F.get(hashes, (i + j) % n) for j in range(1, ROWS)]
-        begins = (i == 0) | (F.shiftright(x, shift) != F.shiftright(F.get(hashes, i - 1), shift))
-        return F.when(begins, F.xxhash64(F.shiftright(x, shift), x, *after))
-
-    return F.filter(F.transform(hashes, key), lambda k: k.isNotNull())
+CHUNK_CHARS = 1 << 16  # hashed at once, so that arrays stay in the processor's cache
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+ORDERS = np.random.default_rng(10).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def chunks(lines: list[str]) -> Iterator[list[str]]:
+    """The lines in runs of some CHUNK_CHARS characters."""
+    held, size = [], 0
+    for line in lines:
+        held.append(line)
+        size += len(line)
+        if size >= CHUNK_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * MIX[0]
+    return x ^ (x >> np.uint64(29))
+
+
+def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every SHINGLE neighbouring characters of the lines, one after the other, and each line's first place."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    rolled = codes[: len(codes) - SHINGLE + 1].copy()
+    for j in range(1, SHINGLE):
+        rolled *= MIX[1]
+        rolled += codes[j : len(codes) - SHINGLE + 1 + j]
+    inside = np.ones(len(codes), bool)
+    ends = np.cumsum(sizes)
+    for j in range(1, SHINGLE):
+        inside[ends - j] = False  # begins less than a shingle before the line's end
+    counts = sizes - SHINGLE + 1
+    return mixed(rolled[inside[: len(rolled)]]), np.cumsum(counts) - counts
+
+
+def keys_of(lines: list[str]) -> np.ndarray:
+    """A key per line and band: a hash of the minima in the band's orders."""
+    hashes, begins = shingles(lines)
+    ordered, out = np.empty_like(hashes), np.empty((len(lines), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(lines), band, np.uint64)
+        for order in ORDERS[band * ROWS : (band + 1) * ROWS]:
+            np.multiply(hashes, order, out=ordered)
+            key = mixed(key * MIX[1] + np.minimum.reduceat(ordered, begins))
+        out[:, band] = key
+    return out.view(np.int64)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def band_keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for lines in batches:
+        yield pd.Series([key for part in chunks(lines.tolist()) for key in keys_of(part)], dtype=object)
+
+
+@F.pandas_udf(BooleanType())
+def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Whether the shingle sets of two lines have a Jaccard similarity of at least SIMILARITY."""
+    for one, other in batches:
+        sets = {line: np.unique(shingles([line])[0]) for line in {*one, *other}}
+        told = []
+        for a, b in zip(one, other):
+            x, y = sets[a], sets[b]
+            fits = min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y))
+            both = len(np.intersect1d(x, y, assume_unique=True)) if fits else 0
+            told.append(both >= SIMILARITY * (len(x) + len(y) - both))
+        yield pd.Series(told, dtype=bool)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -69,20 +120,17 @@ def keyed(docs: DataFrame) -> DataFrame:
 def exploded(base: DataFrame) -> DataFrame:
     """Lines that are compared, with their places and hashes."""
     lines = base.select("k1", "k2", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "raw"))
-    trimmed = lines.select("k1", "k2", "pos", F.btrim("raw").alias("line")).where(F.char_length("line") >= MIN_CHARS)
+    trimmed = lines.select("k1", "k2", "pos", F.btrim("raw").alias("line")).where(F.char_length("line") >= SHINGLE)
     return trimmed.withColumn("h", F.xxhash64("line"))
 
 
 def candidates(lines: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of lines (h, n, keys) that share a bucket as said above."""
-    rows = lines.select("h", "n", F.explode("keys").alias("key"))
-    ordered = Window.partitionBy("key").orderBy("n", "h")
-    near = rows.select("h", "n", F.struct("h", "n").alias("line"), "key").select(
-        "h", "n", F.first("line").over(ordered).alias("first"), F.lag("line").over(ordered).alias("before")
-    )
-    pairs = near.where("before IS NOT NULL").select("h", "n", F.explode(F.array("first", "before")).alias("other"))
-    fits = pairs.where((F.col("other.n") >= F.lit(SIMILARITY) * F.col("n")) & (F.col("other.h") != F.col("h")))
-    return fits.select(F.greatest("h", "other.h").alias("a"), F.least("h", "other.h").alias("b")).distinct()
+    """Distinct pairs (a, b) of lines (h, keys) that share a bucket as said above."""
+    rows = lines.select("h", F.explode("keys").alias("key"))
+    ordered = Window.partitionBy("key").orderBy("h")
+    near = rows.select("h", F.first("h").over(ordered).alias("first"), F.lag("h").over(ordered).alias("before"))
+    pairs = near.where("before IS NOT NULL").select("h", F.explode(F.array("first", "before")).alias("other"))
+    return pairs.select(F.greatest("h", "other").alias("a"), F.least("h", "other").alias("b")).distinct()
 
 
 def bit_of(h: Column) -> Column:
@@ -100,29 +148,37 @@ def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.withColumn("byte", byte).withColumn("bit", bit).where(is_set).select(*rows.columns)
 
 
-def verified(pairs: DataFrame, base: DataFrame) -> DataFrame:
-    """Pairs whose shingle sets have a Jaccard similarity of at least SIMILARITY."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines")
+def texts_of(wanted: DataFrame, base: DataFrame) -> DataFrame:
+    """(h, line) of the wanted lines (h)."""
+    wanted = written(wanted.distinct(), "lines")
     texts = likely(exploded(base).select("h", "line"), wanted).groupBy("h").agg(F.first("line").alias("line"))
-    sets = written(texts.join(wanted, "h", "left_semi").select("h", shingles(F.col("line")).alias("set")), "lines")
-    met = pairs.join(sets.select(F.col("h").alias("a"), F.col("set").alias("set_a")), "a").join(
-        sets.select(F.col("h").alias("b"), F.col("set").alias("set_b")), "b"
+    return written(texts.join(wanted, "h", "left_semi"), "lines")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs whose shingle sets have a Jaccard similarity of at least SIMILARITY."""
+    met = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(
+        texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b"
     )
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return met.where(both >= F.lit(SIMILARITY) * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+    return met.where(similar("line_a", "line_b")).select("a", "b")
+
+
+def links(lines: DataFrame, base: DataFrame) -> DataFrame:
+    """(a, b): pairs of similar lines that connect all lines of a component."""
+    pairs = written(candidates(lines), "lines")
+    return verified(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("h")), base))
 
 
 def drops(docs: DataFrame) -> DataFrame:
     """(k1, k2, dropped: positions) of documents that lose lines."""
     base = keyed(docs)
     place = F.struct("k1", "k2", "pos")
-    hashed = exploded(base).withColumn("set", shingles(F.col("line")))
     lines = written(
-        hashed.select("h", place.alias("place"), F.size("set").alias("n"), band_keys(F.col("set")).alias("keys"))
-        .groupBy("h", "n").agg(F.min("place").alias("place"), F.count("*").alias("copies"), F.first("keys").alias("keys")),
+        exploded(base).select("h", place.alias("place"), band_keys("line").alias("keys"))
+        .groupBy("h").agg(F.min("place").alias("place"), F.count("*").alias("copies"), F.first("keys").alias("keys")),
         "lines",
     )
-    roots = components(verified(written(candidates(lines), "lines"), base)).select(F.col("node").alias("h"), "root")
+    roots = components(links(lines, base)).select(F.col("node").alias("h"), "root")
     grouped = lines.select("h", "place", "copies").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     stays = grouped.groupBy("root").agg(F.min("place").alias("stays"), F.sum("copies").alias("rows"), F.count("*").alias("forms"))
     repeated = stays.where("rows > 1").select("root", "stays")

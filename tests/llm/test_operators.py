@@ -235,6 +235,17 @@ def test_lines(spark):
     assert got == [(1, f"{line}\nhead\n{near}"), (2, own), (2, own), (5, "head")]
 
 
+def kept_lines(spark, rows):
+    return sorted((r["doc_id"], r["text"]) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_lines_by_character_shingles(spark):
+    words = "one changed letter in ten words of a rather plain sentence that goes on for long"
+    unspaced = "".join(chr(0x4E00 + 37 * i % 4000) for i in range(80))
+    rows = [(1, words), (2, words.replace("plain", "plaid")), (3, unspaced), (4, unspaced[:30] + "x" + unspaced[30:]), (5, "menu: home"), (6, "menu: home"), (7, "menu: work")]
+    assert kept_lines(spark, rows) == [rows[0], rows[2], rows[4], rows[6]]
+
+
 def test_lines_of_awkward_rows(awkward):
     assert lines.report(awkward).count() == len(TEXTS) and lines.dedup(awkward).columns == awkward.columns
 
