@@ -6,10 +6,12 @@ compared; shorter ones have no shingle and always stay. The shingles of a line a
 so bands are independent: two lines of Jaccard similarity s agree in one with probability s^4, at s = 0.8
 in some band of 8 with 0.985, at 0.9 with 0.9998. Shingles are hashed in pandas UDFs.
 
-Equal lines are one line with its first place. In each bucket of a band every line is compared with
-the bucket's first line and with the line before it in the order of hashes, never with all; the
-exact Jaccard similarity of the shingle sets decides, and connected lines form a component. One line
-of a component stays: the one with the smallest doc_id (nulls first) and position.
+Equal lines are one line with its first place. All lines that share a bucket of a band are linked where
+the exact Jaccard similarity of their shingle sets says so, and connected lines form a component. In
+``STARS`` rounds every line of a bucket is compared with the bucket's first one; those alike leave, the
+others meet again. Then the lines of a bucket outside its largest component are compared with all lines
+of the bucket in other components, in blocks of ``BLOCK`` lines; pairs in one component need no link. One
+line of a component stays: the one with the smallest doc_id (nulls first) and position.
 
 Defined results: null and empty texts stay as they are; a text from which nothing goes is unchanged;
 otherwise the lines that stay are joined by line feeds, and a document that loses all its text goes.
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType
 
@@ -35,6 +37,8 @@ SHINGLE = 5
 BANDS = 8
 ROWS = 4
 SIMILARITY = 0.8
+STARS = 2
+BLOCK = 1000
 BITMAPS = 256  # of 32 768 bits: 1 MB whatever the table's size
 CHUNK_CHARS = 1 << 16  # hashed at once, so that arrays stay in the processor's cache
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -124,13 +128,26 @@ def exploded(base: DataFrame) -> DataFrame:
     return trimmed.withColumn("h", F.xxhash64("line"))
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of lines (h, keys) that share a bucket as said above."""
-    rows = lines.select("h", F.explode("keys").alias("key"))
-    ordered = Window.partitionBy("key").orderBy("h")
-    near = rows.select("h", F.first("h").over(ordered).alias("first"), F.lag("h").over(ordered).alias("before"))
-    pairs = near.where("before IS NOT NULL").select("h", F.explode(F.array("first", "before")).alias("other"))
-    return pairs.select(F.greatest("h", "other").alias("a"), F.least("h", "other").alias("b")).distinct()
+def crowded(rows: DataFrame) -> DataFrame:
+    """The rows (key, h) of buckets of several lines, with the bucket's first line."""
+    shared = rows.groupBy("key").agg(F.min("h").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return written(rows.join(shared, "key").select("key", "h", "first"), "buckets")
+
+
+def apart(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of lines that share a bucket (key, h) but no component of the links."""
+    told = rows.join(components(linked).withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    counts = told.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("roots")
+    )
+    split = counts.where("roots > 1").select("key", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+    met = written(told.join(split, "key"), "buckets")
+    block = lambda side: F.pmod(F.xxhash64(side), "blocks").cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    outside = met.where("root <> main").select("key", F.col("h").alias("x"), F.col("root").alias("of_x"), block("h").alias("block"), every.alias("turn"))
+    anyone = met.select("key", F.col("h").alias("y"), F.col("root").alias("of_y"), block("h").alias("turn"), every.alias("block"))
+    pairs = outside.join(anyone, ["key", "block", "turn"]).where("of_x <> of_y")
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def bit_of(h: Column) -> Column:
@@ -165,8 +182,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def links(lines: DataFrame, base: DataFrame) -> DataFrame:
     """(a, b): pairs of similar lines that connect all lines of a component."""
-    pairs = written(candidates(lines), "lines")
-    return verified(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("h")), base))
+    met = rest = crowded(lines.select("h", F.explode("keys").alias("key")))
+    texts = texts_of(met.select("h"), base)
+    linked = tried = None
+    for _ in range(STARS):
+        star = written(rest.where("h <> first").select(F.col("h").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
+        alike = written(verified(star, texts), "links")
+        tried, linked = (star, alike) if linked is None else (tried.union(star), linked.union(alike))
+        left = rest.where("h <> first").join(alike.select(F.col("a").alias("h"), F.col("b").alias("first")), ["h", "first"], "left_anti")
+        rest = crowded(left.select("key", "h"))
+    return linked.union(verified(written(apart(met, linked).join(tried, ["a", "b"], "left_anti"), "pairs"), texts))
 
 
 def drops(docs: DataFrame) -> DataFrame:

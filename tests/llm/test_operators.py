@@ -246,6 +246,34 @@ def test_lines_by_character_shingles(spark):
     assert kept_lines(spark, rows) == [rows[0], rows[2], rows[4], rows[6]]
 
 
+def test_lines_of_crowded_buckets(spark, monkeypatch):
+    """Families of near copies in the same buckets, whatever bands they share: as many links as by brute force."""
+    draw = random.Random(7)
+    stem = [draw.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"]) + str(draw.randrange(100)) for _ in range(30)]
+    texts = set()
+    for family in range(12):
+        own = stem[:18] + [f"own{family}x{i}" for i in range(8)] + stem[18:]
+        for _ in range(12):
+            words = list(own)
+            words[draw.randrange(len(words))] = f"edit{draw.randrange(10**6)}"
+            words[draw.randrange(len(words))] = f"edit{draw.randrange(10**6)}"
+            texts.add(" ".join(words))
+    texts = sorted(texts)
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    monkeypatch.setattr(lines, "band_keys", lambda line: F.array(F.lit(1).cast("long")))
+    monkeypatch.setattr(lines, "BLOCK", 20)
+    assert kept_lines(spark, list(enumerate(texts))) == [(i, texts[i]) for i in sorted(set(root))]
+    monkeypatch.undo()
+    got = kept_lines(spark, list(enumerate(texts)))
+    assert len(got) == len(set(root)) and len(set(root)) > 1
+
+
 def test_lines_of_awkward_rows(awkward):
     assert lines.report(awkward).count() == len(TEXTS) and lines.dedup(awkward).columns == awkward.columns
 
