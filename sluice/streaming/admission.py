@@ -1,41 +1,51 @@
 """Sliding-window admission: at most ``limit`` admitted events of a key within ``window`` seconds.
 
-What counts is what was admitted before, so a decision depends on earlier decisions; but a gap of a
-whole window forgets them all. The events of a key are therefore cut into sessions at such gaps, and
-each session is folded in time order over the at most ``limit`` admission times that still count. Files
-may arrive in any order: the order of events is that of their times, then of their ids.
+What counts is what was admitted before, so a decision depends on earlier decisions. The events are dealt
+by key and sorted by key and time inside each partition; a partition is then walked once, and all that is
+carried from event to event is the key and the at most ``limit`` admission times that still count. No key
+or session is ever held whole, however long it is. Files may arrive in any order: the order of events is
+that of their times, then of their ids.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
+import math
+from collections import deque
+from collections.abc import Iterator
 
-def sessions(events: DataFrame, window: float) -> DataFrame:
-    """(key, events): the events of one session in time order."""
-    in_order = Window.partitionBy("key").orderBy("at", "event_id")
-    begins = F.coalesce(F.col("at") - F.lag("at").over(in_order) >= window, F.lit(True)).cast("int")
-    numbered = events.withColumn("begins", begins).withColumn("session", F.sum("begins").over(in_order))
-    return numbered.groupBy("key", "session").agg(F.sort_array(F.collect_list(F.struct("at", "event_id"))).alias("events"))
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def decide(state: Column, event: Column, limit: int, window: float) -> Column:
-    """The next state: admission times that still count, and the decisions so far."""
-    counting = F.filter(state["times"], lambda t: t > event["at"] - window)
-    free = F.size(counting) < limit
-    frees_at = F.coalesce(F.get(counting, F.lit(0)), event["at"]) + window
-    wait = F.greatest(F.ceil(frees_at - event["at"]).cast("bigint"), F.lit(1).cast("bigint"))
-    decision = F.struct(event["event_id"].alias("event_id"), free.alias("allowed"), F.when(free, F.lit(0).cast("bigint")).otherwise(wait).alias("retry_after"))
-    times = F.when(free, F.concat(counting, F.array(event["at"]))).otherwise(counting)
-    return F.struct(times.alias("times"), F.concat(state["decisions"], F.array(decision)).alias("decisions"))
+def walk(batches: Iterator[pa.RecordBatch], limit: int, window: float) -> Iterator[pa.RecordBatch]:
+    """Decisions on events sorted by key, time and id, batch by batch; an event without a time counts for no other."""
+    key, times = object(), deque()
+    for batch in batches:
+        allowed, waits = [], []
+        for of, at in zip(batch.column("key").to_pylist(), batch.column("at").to_pylist()):
+            if of != key:
+                key = of
+                times.clear()
+            if at is None:
+                allowed.append(limit > 0)
+                waits.append(0 if limit > 0 else 1)
+                continue
+            while times and times[0] <= at - window:
+                times.popleft()
+            free = len(times) < limit
+            frees_at = (times[0] if times else at) + window
+            allowed.append(free)
+            waits.append(0 if free else max(math.ceil(frees_at - at), 1))
+            if free:
+                times.append(at)
+        decided = [batch.column("event_id"), batch.column("key"), pa.array(allowed, pa.bool_()), pa.array(waits, pa.int64())]
+        yield pa.RecordBatch.from_arrays(decided, ["event_id", "key", "allowed", "retry_after"])
 
 
 def admission(events: DataFrame, limit: int, window: float) -> DataFrame:
     """Decisions (event_id, key, allowed, retry_after) on events (event_id, key, at in seconds)."""
-    start = F.struct(
-        F.array().cast("array<double>").alias("times"),
-        F.array().cast("array<struct<event_id:bigint,allowed:boolean,retry_after:bigint>>").alias("decisions"),
-    )
-    folded = F.aggregate("events", start, lambda state, event: decide(state, event, limit, window), lambda state: state["decisions"])
-    return sessions(events, window).select("key", F.inline(folded)).select("event_id", "key", "allowed", "retry_after")
+    types = {f.name: f.dataType.simpleString() for f in events.schema}
+    dealt = events.select("event_id", "key", F.col("at").cast("double").alias("at")).repartition("key").sortWithinPartitions("key", "at", "event_id")
+    schema = f"event_id {types['event_id']}, key {types['key']}, allowed boolean, retry_after bigint"
+    return dealt.mapInArrow(lambda batches: walk(batches, limit, window), schema)

@@ -97,6 +97,16 @@ def test_admission_waits(spark):
     assert [r["retry_after"] for r in admission.admission(events.limit(1), 0, 10.0).collect()] == [10]
 
 
+def test_admission_holds_no_session(spark):
+    """A key without any pause is one session: its events are never gathered into one row."""
+    events = spark.range(30_000).select(F.col("id").alias("event_id"), F.lit("hot").alias("key"), F.col("id").cast("double").alias("at"))
+    decided = admission.admission(events, 2, 10.0)
+    plan = decided._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Window" not in plan
+    got = {r["event_id"]: (r["allowed"], r["retry_after"]) for r in decided.collect()}
+    assert got == {i: (i % 10 < 2, 0 if i % 10 < 2 else 10 - i % 10) for i in range(30_000)}
+
+
 def test_streamed_budget_and_apply_once(spark, tmp_path):
     rows = [("k1", "2026-01-01 01:00:00"), ("k1", "2026-01-01 02:00:00"), ("k2", "2026-01-01 03:00:00"), ("k3", "2026-01-02 03:00:00"), ("k4", "2026-01-04 03:00:00")]
     spark.createDataFrame(rows, "key string, ts string").selectExpr("key", "CAST(ts AS TIMESTAMP) AS ts").coalesce(1).write.parquet(str(tmp_path / "in"))
