@@ -1,11 +1,12 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is lower-cased and cut into words at white space. Every ``GRAM`` neighbouring words are hashed
-(fewer words make one gram of all of them), and every window of ``WINDOW`` neighbouring grams (or all,
-if there are fewer) gives its smallest hash, the rightmost of equal ones, with its word position. Any
-run of ``GRAM + WINDOW - 1`` words shared by two texts therefore leaves a shared hash. A selected gram
-is one long: 40 bits of hash, then 24 bits that fall with the position, so that the minimum of a
-window is the rightmost of equal hashes; positions of texts over 16,777,216 words begin again at 0.
+A text is lower-cased and its white space dropped. Every ``GRAM`` neighbouring characters are hashed
+(fewer characters make one gram of all of them), and every window of ``WINDOW`` neighbouring grams (or all,
+if there are fewer) gives its smallest hash, the rightmost of equal ones, with its position among the
+characters that are left. Any run of ``GRAM + WINDOW - 1`` such characters shared by two texts therefore
+leaves a shared hash, in any script and with or without white space. A selected gram is one long: 40 bits
+of hash, then 24 bits that fall with the position, so that the minimum of a window is the rightmost of
+equal hashes; positions of texts over 16,777,216 characters begin again at 0.
 
 Defined results: null and empty texts have an empty fingerprint, and two empty ones are alike (1.0);
 rows that repeat (same id and text) are one document in the order of documents but keep their rows;
@@ -33,8 +34,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def grams(words: Column, k: int) -> Column:
-    """Hashes of every k neighbouring words; of all of them if there are fewer."""
+def grams(characters: Column, k: int) -> Column:
+    """Hashes of every k neighbouring characters; of all of them if there are fewer."""
 
     def rolled(hashes: Column) -> Column:
         n = F.size(hashes)
@@ -43,7 +44,7 @@ def grams(words: Column, k: int) -> Column:
             n > 0, F.array(F.xxhash64(F.to_json(hashes)))
         ).otherwise(F.array().cast("array<bigint>"))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), rolled)
+    return let(F.transform(characters, lambda c: F.xxhash64(c)), rolled)
 
 
 def minima(values: Column, w: int) -> Column:
@@ -62,13 +63,13 @@ def minima(values: Column, w: int) -> Column:
 
 def selected(text: Column, k: int = GRAM, w: int = WINDOW) -> Column:
     """The winnowed grams of a text as packed longs, in the order of their positions."""
-    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    characters = F.filter(F.split(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", ""), ""), lambda x: x != "")
 
     def packed(hashes: Column) -> Column:
         mask = ~POSITIONS
         return F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(POSITIONS) - i.cast("long").bitwiseAND(F.lit(POSITIONS))))
 
-    return let(grams(words, k), lambda g: let(packed(g), lambda v: F.array_distinct(minima(v, w))))
+    return let(grams(characters, k), lambda g: let(packed(g), lambda v: F.array_distinct(minima(v, w))))
 
 
 def hash_of(packed: Column) -> Column:
@@ -98,7 +99,7 @@ def likeness(one: Column, other: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
-    """``doc_id`` and the selected grams with their word positions."""
+    """``doc_id`` and the selected grams with their character positions."""
     text = F.coalesce(F.col("text"), F.lit(""))
     pairs = F.transform(selected(text, k, w), lambda v: F.struct(hash_of(v).alias("hash"), position_of(v).alias("position")))
     return docs.select("doc_id", pairs.alias("fingerprint"))

@@ -125,6 +125,17 @@ def test_edits(spark):
     assert got[5]["edited_sha256"] == hashlib.sha256("漢字x".encode()).hexdigest() and got[5]["near_edited"] == 1.0
 
 
+def test_edits_by_characters(spark):
+    unspaced = "".join(chr(0x4E00 + 37 * i % 4000) for i in range(80))
+    words = [f"plain{i}" for i in range(40)]
+    scattered = " ".join("x" if i % 4 == 3 else w for i, w in enumerate(words))
+    rows = [(1, "five words are all here"), (2, unspaced), (3, " ".join(words)), (4, scattered)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_text(winnow.against_edits(docs))
+    assert got[1]["near_edited"] > 0.3 and got[2]["near_edited"] > 0.4
+    assert got[3]["near_next"] > 0.4  # every fourth word is another
+
+
 def test_edits_of_awkward_rows(awkward):
     assert winnow.against_edits(awkward).count() == len(TEXTS)
 
