@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, decontaminate, katz, licenses, lines, ngram_join, quality, sharding, urls, winnow
+from sluice.llm import bpe, decontaminate, divergence, katz, licenses, lines, ngram_join, quality, sharding, urls, winnow
 from sluice.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.report(table(spark, folder, "documents"))
 
 
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_katz": op2_katz,
@@ -66,11 +70,13 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op13_divergence": op13_divergence,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 PLAIN = r"[^\x20\x09-\x0D]+"
 
 ORACLES = {
@@ -102,4 +108,21 @@ ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS i
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+    "op13_divergence": f"""
+WITH doc AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWERED}, '{TERM}') AS w FROM documents),
+tok AS (SELECT r, lang, source, unnest(w) AS term FROM doc),
+kept AS (SELECT lang, term, count(*) AS n FROM tok GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+v AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY lang),
+cnt AS (SELECT g.lang, g.source, k.term, count(t.term)::HUGEINT AS n
+        FROM grp g JOIN kept k USING (lang) LEFT JOIN (SELECT lang, source, term FROM tok) t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term GROUP BY ALL),
+tot AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM cnt GROUP BY ALL),
+p AS (SELECT c.lang, c.source, c.term, c.n, 1 + (1000000000::HUGEINT * (c.n + 5)) // (t.total + 5 * v.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 5)) // (v.n + 5 * v.v) AS q
+      FROM cnt c JOIN tot t USING (lang, source) JOIN v USING (lang) JOIN kept k USING (lang, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+         FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pair UNION ALL FROM term))
+WHERE part = 'pair' OR rank <= 50""",
 }
