@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, decontaminate, divergence, katz, licenses, lines, ngram_join, quality, sharding, urls, winnow
+from sluice.llm import bpe, decontaminate, divergence, katz, licenses, lines, ngram_join, quality, sharding, urls, whitening, winnow
 from sluice.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.report(table(spark, folder, "documents"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op11_whitening": op11_whitening,
     "op13_divergence": op13_divergence,
 }
 
