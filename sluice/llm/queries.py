@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluice.llm import bpe, decontaminate, divergence, katz, licenses, lines, ngram_join, quality, sharding, urls, whitening, winnow
+from sluice.llm import bpe, decontaminate, divergence, katz, licenses, lines, ngram_join, quality, sharding, suffix_dedup, urls, whitening, winnow
 from sluice.llm.common import table
 
 
@@ -59,6 +60,11 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = suffix_dedup.cut(table(spark, folder, "documents"))
+    return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
 
@@ -75,6 +81,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
     "op11_whitening": op11_whitening,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_divergence": op13_divergence,
 }
 
