@@ -23,19 +23,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.llm.common import utf8
 from sluice.session import written
 
 MIN_DOCS = 30
 SMOOTHING = 5
 SCALE = 1_000_000_000
 TOP_TERMS = 50
-LEVELS = 8
-SIDE = 1 << LEVELS
-HELD_ENTRIES = 200_000  # counts that a task holds before it hands them on
-FRONTIER = 1 << 17  # quadrant pairs that are opened at once
+LEVELS = 6
+LEAF = 4
+SIDE = LEAF << LEVELS
+HELD_ENTRIES = 600_000  # counts that a task holds before it hands them on
+ONE_DOC = 1 << 40
+FRONTIER = 1 << 15  # quadrant pairs that are opened at once
 
 # Bytes of a term of [^\x00-\x40\x5B-\x60\x7B-\x7F]+ after A-Z is lower-cased; all others become spaces.
 LETTER_TABLE = bytes(
@@ -47,24 +51,27 @@ COUNTS = "lang string, source string, term string, n long, docs long"
 PARTS = "lang string, a int, b int, value long, terms long"
 
 
-def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per group and term: occurrences and documents, added up as far as a task holds them."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-    def flush() -> pd.DataFrame:
-        rows = [(lang, source, term.decode(), n, docs[term]) for (lang, source), (all_, docs) in held.items() for term, n in all_.items()]
+    held: dict[tuple[str, str], dict[bytes, int]] = {}  # occurrences + ONE_DOC * documents
+    fields = ("lang", "source", "term", "n", "docs")
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (lang, source), terms in held.items():
+            both = np.fromiter(terms.values(), np.int64, len(terms))
+            words = pa.array(list(terms), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(terms)), pa.repeat(source, len(terms)), words, pa.array(both % ONE_DOC), pa.array(both // ONE_DOC)], fields)
         held.clear()
-        return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
-        for lang, source, text in zip(batch["lang"], batch["source"], batch["text"]):
-            terms = Counter(text.encode().translate(LETTER_TABLE).split())
-            all_, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            all_.update(terms)
-            docs.update(terms.keys())
-        if sum(len(all_) for all_, _ in held.values()) > HELD_ENTRIES:
-            yield flush()
-    yield flush()
+        for lang, source, text in zip(*(batch.column(name).to_pylist() for name in ("lang", "source", "text"))):
+            terms = held.setdefault((lang, source), {})
+            have = terms.get
+            for term, n in Counter(text.translate(LETTER_TABLE).split()).items():
+                terms[term] = have(term, 0) + n + ONE_DOC
+        if sum(map(len, held.values())) > HELD_ENTRIES:
+            yield from flush()
+    yield from flush()
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -75,8 +82,8 @@ def share(n: Column, total: Column, terms: Column) -> Column:
 
 
 def quadtree(filled: np.ndarray) -> list[np.ndarray]:
-    """Bitmaps from the root (one bit) to the cells: a bit says whether its quadrant holds a count."""
-    levels = [filled]
+    """Bitmaps from the root (one bit) to leaves of LEAF x LEAF cells: a bit says whether its quadrant holds a count."""
+    levels = [filled.reshape(SIDE // LEAF, LEAF, SIDE // LEAF, LEAF).any(axis=(1, 3))]
     while len(levels[0]) > 1:
         half = len(levels[0]) // 2
         levels.insert(0, levels[0].reshape(half, 2, half, 2).any(axis=(1, 3)))
@@ -86,36 +93,49 @@ def quadtree(filled: np.ndarray) -> list[np.ndarray]:
 def walk(a: np.ndarray, b: np.ndarray, floor_a: np.ndarray, floor_b: np.ndarray, width: int, same: bool) -> np.ndarray:
     """Sums over ``width`` terms of |share in a - share in b| for every row of tile ``a`` with every row of ``b``.
 
-    ``a`` and ``b`` hold shares, 0 where nothing is counted; the floors are the shares of an unseen term.
-    With ``same`` only pairs of a row with a later one are walked.
+    ``a`` and ``b`` hold shares, 0 where nothing is counted; the floors are the shares of an unseen term, -1 for
+    rows that don't exist, which come last. With ``same`` only pairs of a row with itself or a later one are walked.
     """
     left, right = quadtree(a > 0), quadtree(b > 0)
-    full_a, full_b = np.where(a > 0, a, floor_a[:, None]), np.where(b > 0, b, floor_b[:, None])
-    total = np.zeros((SIDE, SIDE), np.int64)
+    rows_a, rows_b = (int((f >= 0).sum()) for f in (floor_a, floor_b))
+    full = []
+    for tile, floor in ((a, floor_a), (b, floor_b)):
+        shares = np.where(tile > 0, tile, floor[:, None])
+        shares[:, width:] = 0
+        full.append(shares.reshape(SIDE // LEAF, LEAF, SIDE // LEAF, LEAF).transpose(0, 2, 1, 3))
+    side = SIDE // LEAF
+    total = np.zeros((side, side, LEAF, LEAF), np.int64)
     empty = [np.zeros((1 << level, 1 << level), np.int64) for level in range(LEVELS + 1)]
-    root = np.zeros((1, 3), np.int64)
-    waiting = [(0, root)]
-    steps = np.array([(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)])
+    waiting = [(0, *(np.zeros(1, np.int64) for _ in range(3)))]
+    steps = [np.array(s) for s in zip(*((i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)))]
     while waiting:
-        level, pairs = waiting.pop()
-        if len(pairs) > FRONTIER:
-            waiting += [(level, pairs[i : i + FRONTIER]) for i in range(0, len(pairs), FRONTIER)]
+        level, x, y, c = waiting.pop()
+        if len(x) > FRONTIER:
+            waiting += [(level, *(v[i : i + FRONTIER] for v in (x, y, c))) for i in range(0, len(x), FRONTIER)]
             continue
-        x, y, c = pairs.T
         some = left[level][x, c] | right[level][y, c]
         size = SIDE >> level
-        if not some.all():
-            terms = np.clip(width - c[~some] * size, 0, size)
-            np.add.at(empty[level], (x[~some], y[~some]), terms)
+        none = ~some
+        np.add.at(empty[level], (x[none], y[none]), np.clip(width - c[none] * size, 0, size))
         x, y, c = x[some], y[some], c[some]
+        if not len(x):
+            continue
         if level == LEVELS:
-            np.add.at(total, (x, y), np.abs(full_a[x, c] - full_b[y, c]))
-        elif len(x):
-            child = (2 * np.stack([x, y, c], axis=1)[:, None, :] + steps).reshape(-1, 3)
-            child = child[child[:, 2] * (size // 2) < width]
-            waiting.append((level + 1, child[child[:, 0] <= child[:, 1]] if same else child))
+            turn = np.argsort(x * side + y, kind="stable")
+            x, y, c = x[turn], y[turn], c[turn]
+            cost = np.abs(full[0][x, c][:, :, None, :] - full[1][y, c][:, None, :, :]).sum(axis=-1)
+            first = np.flatnonzero(np.diff(x * side + y, prepend=-1))
+            total[x[first], y[first]] += np.add.reduceat(cost, first, axis=0)
+        else:
+            x, y, c = ((2 * v[:, None] + s).ravel() for v, s in zip((x, y, c), steps))
+            half = size // 2
+            open_ = (x * half < rows_a) & (y * half < rows_b) & (c * half < width)
+            if same:
+                open_ &= x <= y
+            waiting.append((level + 1, x[open_], y[open_], c[open_]))
     terms = sum(np.repeat(np.repeat(e, SIDE >> level, 0), SIDE >> level, 1) for level, e in enumerate(empty))
-    return total + terms * np.abs(floor_a[:, None] - floor_b[None, :])
+    cells = total.transpose(0, 2, 1, 3).reshape(SIDE, SIDE)
+    return cells + terms * np.abs(floor_a[:, None] - floor_b[None, :])
 
 
 def tile_pair(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
@@ -141,15 +161,15 @@ def tile_pair(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS) -> DataFrame:
     """(lang, source, part, item, value, rank): every group against the other sources and the terms it has above its language."""
-    texts = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    partial = texts.mapInPandas(count_terms, COUNTS)
+    texts = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")), utf8().alias("text"))
+    partial = texts.mapInArrow(count_terms, COUNTS)
     counts = written(partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "term-counts")
 
     # Kept terms numbered by partition and place; a stripe is SIDE neighbours of one language.
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("in_docs")).where(F.col("in_docs") >= min_docs)
     placed = kept.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").withColumn("place", F.monotonically_increasing_id())
     terms = written(
-        placed.select("lang", "term", "lang_n", F.shiftright("place", LEVELS).alias("stripe"), (F.col("place") % SIDE).cast("int").alias("col")),
+        placed.select("lang", "term", "lang_n", F.expr(f"place div {SIDE}").alias("stripe"), (F.col("place") % SIDE).cast("int").alias("col")),
         "kept-terms",
     )
     # A stripe may hold the last terms of one language and the first of the next: each counts from its own first place.
