@@ -78,12 +78,12 @@ def repeated_intervals(shards: list[Shard], length: int) -> tuple[np.ndarray, np
     base = np.cumsum([0, *sizes])
     before = np.concatenate([s.before for s in shards])
     back = np.concatenate([s.back + np.int32(b) for s, b in zip(shards, base)])
-    rows = np.arange(base[-1], dtype=np.int32)
+    offset = np.concatenate([s.offset for s in shards])
+    rows = np.flatnonzero(offset >= length).astype(np.int32)  # after all rounds these stand at the strings' starts, others before them
     block = np.zeros(len(rows), np.int32)
     for _ in range(length):
         symbol = before[rows]
         turn = np.argsort(symbol, kind="stable")
-        turn = turn[np.searchsorted(symbol[turn], 1) :] if len(turn) else turn  # nothing stands before a first byte
         symbol, held = symbol[turn], block[turn]
         rows = back[rows[turn]]
         new = np.ones(len(rows), bool)
@@ -95,5 +95,4 @@ def repeated_intervals(shards: list[Shard], length: int) -> tuple[np.ndarray, np
             break
     strings = np.cumsum([0, *(int(s.owner.max()) + 1 for s in shards)])
     owner = np.concatenate([s.owner + np.int32(b) for s, b in zip(shards, strings)])
-    offset = np.concatenate([s.offset for s in shards])
     return owner[rows], offset[rows], block

@@ -35,8 +35,8 @@ LENGTH = 100
 GRAM = 32
 BLOCK = 1 << 20  # bytes hashed at once
 LONGEST_RUN = 4096
-HEAVY = 64  # runs of one hash in a batch that make it a hot hash at once
-HOT = 2000  # runs of one hash over all that make it a hot hash
+HEAVY = 500  # runs of one hash in a batch that make it a hot hash at once
+HOT = 20_000  # runs of one hash over all that make it a hot hash
 SALTS = 64
 BUCKET_BYTES = 1 << 20  # of text for each bucket
 SHARD_BYTES = 1 << 18
@@ -182,7 +182,8 @@ def divide(grams: Grams, edges: np.ndarray, piece: bytes, value: int, length: in
 
 
 def cut_pieces(length: int, gram: int, buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """The bytes of repeated runs by bucket; the earliest of equal ones in a batch carries them, the others are null."""
+    """The bytes of repeated runs by bucket. Equal ones of a batch are sent once, by the earliest; the others only say where
+    they stand (no bytes), in any bucket, because all their strings start earlier."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = Grams(gram, length)
@@ -192,6 +193,7 @@ def cut_pieces(length: int, gram: int, buckets: int) -> Callable[[Iterator[pd.Da
             seen: set[tuple[int, bytes]] = set()
             rows = []
             for has, doc, h, text, spots in zip(*(batch[c] for c in [*KEY, "text", "spots"])):
+                copied = None  # (first, stop) of starts whose bytes an earlier row of the batch carries
                 for spot in sorted(spots, key=lambda s: s["start"]):
                     start, n, value = spot["start"], spot["n"], spot["value"]
                     piece = text[start : start + n + length - 1]
@@ -202,10 +204,17 @@ def cut_pieces(length: int, gram: int, buckets: int) -> Callable[[Iterator[pd.Da
                         else:
                             bucket = int.from_bytes(hashlib.blake2b(shared, digest_size=7).digest()) % buckets
                             own = piece[first : first + count + length - 1]
-                        known = (bucket, own) in seen
-                        if not known:
+                        if (bucket, own) not in seen:
                             seen.add((bucket, own))
-                        rows.append((bucket, has, doc, h, start + first, count, None if known else own))
+                            rows.append((bucket, has, doc, h, start + first, count, own))
+                        elif copied and copied[1] == start + first:
+                            copied = (copied[0], start + first + count)
+                        else:
+                            if copied:
+                                rows.append((h % buckets, has, doc, h, copied[0], copied[1] - copied[0], None))
+                            copied = (start + first, start + first + count)
+                if copied:
+                    rows.append((h % buckets, has, doc, h, copied[0], copied[1] - copied[0], None))
             if rows:
                 yield pd.DataFrame(rows, columns=["bucket", *KEY, "start", "n", "piece"])
 
