@@ -42,7 +42,10 @@ BUCKET_BYTES = 1 << 20  # of text for each bucket
 SHARD_BYTES = 1 << 18
 
 KEY = ["has", "doc", "h"]
-RUNS = "value long, salt int, has boolean, doc long, h long, start int, n int"
+VALUE_BITS = 48  # of a gram's hash; equal hashes of other grams cost work, not results
+TIE_BITS = 40  # of a text's hash that tell rows of one doc_id apart; rows without doc_id have all 64
+HOT_MARK, TWICE_MARK = -2, -1  # in place of a start
+RUNS = "value long, salt int, doc long, h long, at long"
 PIECES = "bucket long, has boolean, doc long, h long, start int, n int, piece binary"
 SPANS = "has boolean, doc long, h long, lo int, hi int"
 RESULT = "has boolean, doc long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -104,7 +107,7 @@ def cut_blocks(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int,
 
 def find_runs(grams: Grams, texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """(value, text, start, starts, again): maximal runs of starts with one least hash; again: it stands twice in the run."""
-    found = [[np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, bool)]]
+    found = [[np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool)]]
     for parts in cut_blocks(texts, length):
         data = np.frombuffer(b"".join(p for _, _, p in parts), np.uint8)
         h = grams.hashes(data)
@@ -134,12 +137,17 @@ def find_runs(grams: Grams, texts: list[bytes], length: int) -> tuple[np.ndarray
         part = np.searchsorted(base, first, side="right") - 1
         text = np.array([i for i, _, _ in parts])[part]
         start = first - base[part] + np.array([a for _, a, _ in parts])[part]
-        found.append([value, text, start, n, again])
+        found.append([(value >> np.uint64(64 - VALUE_BITS)).astype(np.int64), text, start, n, again])
     return tuple(np.concatenate(column) for column in zip(*found))
 
 
+def packed(start: np.ndarray, n: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """start, then 13 bits of n (LONGEST_RUN at most), then whether there is a doc_id."""
+    return (start << 14) + (n << 1) + has
+
+
 def run_rows(length: int, gram: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """The runs of all texts. Rows with a negative start say that a hash is hot (-1) or repeats inside one run (-2)."""
+    """The runs of all texts, packed as ``at``; rows with a mark in place of the start say that a hash is hot or repeats inside one run."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = Grams(gram, length)
@@ -147,16 +155,19 @@ def run_rows(length: int, gram: int) -> Callable[[Iterator[pd.DataFrame]], Itera
             value, text, start, n, again = find_runs(grams, batch["text"].tolist(), length)
             if not len(value):
                 continue
-            value = value.view(np.int64)
             distinct, which, count = np.unique(value, return_inverse=True, return_counts=True)
             heavy = count[which] >= HEAVY
-            rows = pd.DataFrame({
-                "value": value, "salt": np.where(heavy, 1 + np.arange(len(value)) % SALTS, 0), "has": batch["has"].to_numpy()[text],
-                "doc": batch["doc"].to_numpy()[text], "h": batch["h"].to_numpy()[text], "start": start, "n": n,
-            })
+            has, doc, h = (batch[c].to_numpy()[text] for c in KEY)
             marks = np.concatenate([distinct[count >= HEAVY], value[again]])
-            what = np.repeat([-1, -2], [int((count >= HEAVY).sum()), int(again.sum())])
-            yield pd.concat([rows, pd.DataFrame({"value": marks, "salt": 0, "has": False, "doc": 0, "h": 0, "start": what, "n": 0})])
+            what = np.repeat([HOT_MARK, TWICE_MARK], [int((count >= HEAVY).sum()), int(again.sum())])
+            none = np.zeros(len(marks), np.int64)
+            yield pd.DataFrame({
+                "value": np.concatenate([value, marks]),
+                "salt": np.concatenate([np.where(heavy, 1 + np.arange(len(value)) % SALTS, 0), none]),
+                "doc": np.concatenate([doc, none]),
+                "h": np.concatenate([h, none]),
+                "at": np.concatenate([packed(start, n, has), packed(what, none, none)]),
+            })
 
     return run
 
@@ -170,7 +181,7 @@ def distance_edges(window: int) -> np.ndarray:
 def divide(grams: Grams, edges: np.ndarray, piece: bytes, value: int, length: int) -> Iterator[tuple[bytes, int, int]]:
     """(shared bytes, first start, starts) of the parts of a hot run."""
     h = grams.hashes(np.frombuffer(piece, np.uint8))
-    spots = np.flatnonzero(h == np.uint64(value & ((1 << 64) - 1)))
+    spots = np.flatnonzero(h >> np.uint64(64 - VALUE_BITS) == np.uint64(value))
     starts = np.arange(len(piece) - length + 1)
     gram = spots[np.searchsorted(spots, starts)]
     step = np.searchsorted(edges, gram - starts, side="right") - 1
@@ -194,8 +205,8 @@ def cut_pieces(length: int, gram: int, buckets: int) -> Callable[[Iterator[pd.Da
             rows = []
             for has, doc, h, text, spots in zip(*(batch[c] for c in [*KEY, "text", "spots"])):
                 copied = None  # (first, stop) of starts whose bytes an earlier row of the batch carries
-                for spot in sorted(spots, key=lambda s: s["start"]):
-                    start, n, value = spot["start"], spot["n"], spot["value"]
+                for spot in sorted(spots, key=lambda s: s["at"]):
+                    start, n, value = spot["at"] >> 14, spot["at"] >> 1 & 8191, spot["value"]
                     piece = text[start : start + n + length - 1]
                     parts = [(None, 0, n)] if not spot["hot"] else divide(grams, edges, piece, value, length)
                     for shared, first, count in parts:
@@ -292,9 +303,10 @@ def cut_texts(length: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
 
 
 def keyed(docs: DataFrame) -> DataFrame:
+    hashed = F.xxhash64(utf8())
     return docs.select(
         F.col("doc_id").isNotNull().alias("has"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"),
-        F.xxhash64(utf8()).alias("h"), utf8().alias("text"),
+        F.when(F.col("doc_id").isNull(), hashed).otherwise(hashed.bitwiseAND((1 << TIE_BITS) - 1)).alias("h"), utf8().alias("text"),
     )
 
 
@@ -304,13 +316,14 @@ def spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     buckets = 1 + volume // BUCKET_BYTES
     runs = texts.where(F.octet_length("text") >= length).mapInPandas(run_rows(length, gram), RUNS)
     total: Column = F.expr("count(*) over (partition by value, salt)")
-    marked: Column = F.expr("min(start) over (partition by value, salt)")
+    marked: Column = F.expr("min(at) over (partition by value, salt)")
     repeated = (
         runs.withColumn("total", total).withColumn("marked", marked)
-        .where((F.col("start") >= 0) & ((F.col("salt") > 0) | (F.col("total") > 1)))
-        .withColumn("hot", (F.col("salt") > 0) | (F.col("total") >= HOT) | (F.col("marked") == -1))
+        .where((F.col("at") >= 0) & ((F.col("salt") > 0) | (F.col("total") > 1)))
+        .withColumn("hot", (F.col("salt") > 0) | (F.col("total") >= HOT) | (F.shiftright("marked", 14) == HOT_MARK))
+        .withColumn("has", F.col("at") % 2 == 1)
     )
-    spots = repeated.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n", "value", "hot")).alias("spots"))
+    spots = repeated.groupBy(*KEY).agg(F.collect_set(F.struct("at", "value", "hot")).alias("spots"))
     pieces = texts.join(spots.hint("merge"), KEY).mapInPandas(cut_pieces(length, gram, buckets), PIECES)
     return pieces.groupBy("bucket").applyInPandas(bucket_spans(length), SPANS)
 
