@@ -90,25 +90,25 @@ class Grams:
         return np.minimum(low[rest:], low[:-rest]) if rest else low
 
 
-def cut_blocks(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """(text, offset, bytes) in groups of about BLOCK bytes; a long text goes in blocks that share length - 1 bytes."""
+def cut_blocks(texts: list[bytes], length: int, block: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text, offset, bytes) in groups of about ``block`` bytes; a long text goes in blocks that share length - 1 bytes."""
     held, size = [], 0
     for i, text in enumerate(texts):
-        for at in range(0, max(0, len(text) - length + 1), BLOCK):
-            part = text[at : at + BLOCK + length - 1]
+        for at in range(0, max(0, len(text) - length + 1), block):
+            part = text[at : at + block + length - 1]
             held.append((i, at, part))
             size += len(part)
-            if size >= BLOCK:
+            if size >= block:
                 yield held
                 held, size = [], 0
     if held:
         yield held
 
 
-def find_runs(grams: Grams, texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+def find_runs(grams: Grams, texts: list[bytes], length: int, block: int, longest: int) -> tuple[np.ndarray, ...]:
     """(value, text, start, starts, again): maximal runs of starts with one least hash; again: it stands twice in the run."""
     found = [[np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool)]]
-    for parts in cut_blocks(texts, length):
+    for parts in cut_blocks(texts, length, block):
         data = np.frombuffer(b"".join(p for _, _, p in parts), np.uint8)
         h = grams.hashes(data)
         low = grams.least(h)
@@ -124,10 +124,10 @@ def find_runs(grams: Grams, texts: list[bytes], length: int) -> tuple[np.ndarray
         stop[: len(low)] = new | ~valid
         stops = np.flatnonzero(stop)
         n = stops[np.searchsorted(stops, first, side="right")] - first
-        if (n > LONGEST_RUN).any():
-            pieces = -(-n // LONGEST_RUN)
+        if (n > longest).any():
+            pieces = -(-n // longest)
             nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            first, n = np.repeat(first, pieces) + nth * LONGEST_RUN, np.minimum(np.repeat(n, pieces) - nth * LONGEST_RUN, LONGEST_RUN)
+            first, n = np.repeat(first, pieces) + nth * longest, np.minimum(np.repeat(n, pieces) - nth * longest, longest)
         value = low[first]
         again = np.zeros(len(first), bool)
         for i in range(0, len(first), 1 << 14):
@@ -146,20 +146,20 @@ def packed(start: np.ndarray, n: np.ndarray, has: np.ndarray) -> np.ndarray:
     return (start << 14) + (n << 1) + has
 
 
-def run_rows(length: int, gram: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def run_rows(length: int, gram: int, heavy_from: int, block: int, longest: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """The runs of all texts, packed as ``at``; rows with a mark in place of the start say that a hash is hot or repeats inside one run."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = Grams(gram, length)
         for batch in batches:
-            value, text, start, n, again = find_runs(grams, batch["text"].tolist(), length)
+            value, text, start, n, again = find_runs(grams, batch["text"].tolist(), length, block, longest)
             if not len(value):
                 continue
             distinct, which, count = np.unique(value, return_inverse=True, return_counts=True)
-            heavy = count[which] >= HEAVY
+            heavy = count[which] >= heavy_from
             has, doc, h = (batch[c].to_numpy()[text] for c in KEY)
-            marks = np.concatenate([distinct[count >= HEAVY], value[again]])
-            what = np.repeat([HOT_MARK, TWICE_MARK], [int((count >= HEAVY).sum()), int(again.sum())])
+            marks = np.concatenate([distinct[count >= heavy_from], value[again]])
+            what = np.repeat([HOT_MARK, TWICE_MARK], [int((count >= heavy_from).sum()), int(again.sum())])
             none = np.zeros(len(marks), np.int64)
             yield pd.DataFrame({
                 "value": np.concatenate([value, marks]),
@@ -232,7 +232,7 @@ def cut_pieces(length: int, gram: int, buckets: int) -> Callable[[Iterator[pd.Da
     return run
 
 
-def bucket_spans(length: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def bucket_spans(length: int, shard_bytes: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """The spans of one bucket whose strings also start earlier."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -255,7 +255,7 @@ def bucket_spans(length: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         for piece in first_of:
             held.append(piece)
             size += len(piece)
-            if size >= SHARD_BYTES:
+            if size >= shard_bytes:
                 shards.append(Shard(held))
                 held, size = [], 0
         if held:
@@ -314,7 +314,7 @@ def spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     """(has, doc, h, lo, hi): byte spans of ``keyed`` texts that also stand earlier; spans may overlap."""
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + volume // BUCKET_BYTES
-    runs = texts.where(F.octet_length("text") >= length).mapInPandas(run_rows(length, gram), RUNS)
+    runs = texts.where(F.octet_length("text") >= length).mapInPandas(run_rows(length, gram, HEAVY, BLOCK, LONGEST_RUN), RUNS)
     total: Column = F.expr("count(*) over (partition by value, salt)")
     marked: Column = F.expr("min(at) over (partition by value, salt)")
     repeated = (
@@ -325,7 +325,7 @@ def spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     )
     spots = repeated.groupBy(*KEY).agg(F.collect_set(F.struct("at", "value", "hot")).alias("spots"))
     pieces = texts.join(spots.hint("merge"), KEY).mapInPandas(cut_pieces(length, gram, buckets), PIECES)
-    return pieces.groupBy("bucket").applyInPandas(bucket_spans(length), SPANS)
+    return pieces.groupBy("bucket").applyInPandas(bucket_spans(length, SHARD_BYTES), SPANS)
 
 
 def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -31,6 +31,7 @@ STEPS = 64
 OFFSET = 1_000_000
 EPS = np.finfo(float).eps
 LONG = (1 << 63) - 1
+HALF = 10**18  # sums of products travel in two decimals
 ROWS = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
 
 
@@ -38,7 +39,7 @@ def remaining(vectors: DataFrame, key: str, column: str) -> DataFrame:
     """(vec_id, x): vectors without null or non-finite entries as arrays of integers of one length."""
     value = F.col(f"`{column}`")
     finite = ~F.exists(value, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    x = F.transform(value, lambda c: (F.floor(c.cast("double") * STEPS) + OFFSET).cast("long"))
+    x = F.transform(value, lambda c: F.least(F.floor(c.cast("double") * STEPS), F.lit(LONG - OFFSET)) + OFFSET)
     rows = vectors.where(value.isNotNull() & (F.size(value) > 0) & finite).select(F.col(f"`{key}`").alias("vec_id"), x.alias("x"))
     length = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     return rows.where(F.size("x") == (length["d"] if length else 0))
@@ -88,7 +89,8 @@ def products(middle: np.ndarray):
                 total = part if total is None else total + part
         if total is not None:
             j, k = np.triu_indices(len(total))
-            yield pd.DataFrame({"j": j, "k": k, "g": [Decimal(int(v)) for v in total[j, k]]})
+            halves = [divmod(int(v), HALF) for v in total[j, k]]
+            yield pd.DataFrame({"j": j, "k": k, "high": [Decimal(v) for v, _ in halves], "low": [Decimal(v) for _, v in halves]})
 
     return run
 
@@ -250,11 +252,12 @@ def fit(rows: DataFrame, components: int = COMPONENTS) -> Whitener | None:
     totals = [int(r["s"]) for r in firsts]
     middle = np.array([s // n for s in totals], np.int64)
     broken = np.array([s % n for s in totals], object)
-    seconds = rows.select("x").mapInPandas(products(middle), "j int, k int, g decimal(38,0)").groupBy("j", "k").agg(F.sum("g").alias("g")).collect()
+    seconds = rows.select("x").mapInPandas(products(middle), "j int, k int, high decimal(38,0), low decimal(38,0)").groupBy("j", "k").agg(F.sum("high"), F.sum("low")).collect()
     d = len(totals)
     covariance = np.zeros((d, d))
-    for j, k, g in seconds:
-        covariance[j, k] = covariance[k, j] = float(Fraction(n * int(g) - int(broken[j]) * int(broken[k]), n * n))
+    for j, k, high, low in seconds:
+        g = int(high) * HALF + int(low)
+        covariance[j, k] = covariance[k, j] = float(Fraction(n * g - int(broken[j]) * int(broken[k]), n * n))
     values, vectors = leading(covariance, components)
     return Whitener(n, middle, broken, values, vectors, float(np.trace(covariance))) if len(values) else None
 
