@@ -11,7 +11,7 @@ from sluice.operators import detect, release
 from sluice.queries import sqltext
 from sluice.queries.gate_queries import APPLIED, LEDGER, analysed, executed, planned
 from sluice.session import work_folder, written
-from sluice.sources import delimited, logs
+from sluice.sources import blocks, delimited, logs
 from sluice.sources.tables import read_table, stringify
 from sluice.streaming.logs import EVENT_SCHEMA
 
@@ -68,6 +68,51 @@ def csv_row_order(spark, folder):
     return delimited.intake(spark, path)[0].select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "ordinal")
 
 
+def tree_sql(leaf: int, fanout: int, levels: int) -> str:
+    """Hash trees of the texts in ``body`` (part, content: ASCII); levels beyond a tree's height leave its root as it is."""
+    steps = [
+        f"""n0 AS (SELECT part, length(content) AS length, CAST(ceil(length(content) / {leaf}) AS BIGINT) AS leaves, i AS node,
+  sha256(substr(content, 1 + i * {leaf}, {leaf})) AS digest FROM body, unnest(range(0, CAST(ceil(length(content) / {leaf}) AS BIGINT))) AS t(i))"""
+    ]
+    for k in range(levels):
+        steps.append(
+            f"""n{k + 1} AS (SELECT part, length, leaves, node // {fanout} AS node,
+  CASE WHEN max(wide) = 1 THEN max(digest) ELSE sha256('node:' || string_agg(digest, '' ORDER BY node)) END AS digest
+  FROM (SELECT *, count(*) OVER (PARTITION BY part) AS wide FROM n{k}) GROUP BY part, length, leaves, n{k}.node // {fanout})""".replace(f"n{k}.node", "node")
+        )
+    return ",\n".join(steps) + f"\nSELECT part, length, leaves, digest AS root FROM n{levels}"
+
+
+@query(
+    "file_trees",
+    """WITH body AS (SELECT CAST(o_orderkey // 16384 AS BIGINT) AS part, 'o_orderkey,o_custkey,o_orderstatus' || chr(10) ||
+  string_agg(o_orderkey || ',' || o_custkey || ',' || o_orderstatus || chr(10), '' ORDER BY o_orderkey) AS content FROM orders GROUP BY 1),
+"""
+    + tree_sql(4096, 4, 8),
+)
+def file_trees(spark, folder):
+    """Hash trees of the CSV files of the orders, a file for every 16 384 keys."""
+    path = fresh(spark, "tree")
+    keyed = stringify(read_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
+    parted = keyed.withColumn("key", F.col("o_orderkey").cast("bigint")).withColumn("part", F.expr("key div 16384"))
+    ordered = parted.repartition("part").sortWithinPartitions("part", "key").drop("key")
+    ordered.write.option("header", "true").partitionBy("part").csv(path)
+    trees = blocks.file_trees(spark, path, 4096, 4)
+    return trees.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint").alias("part"), "length", "leaves", "root")
+
+
+PLACES = """SELECT page_id, html, ROW_NUMBER() OVER (ORDER BY page_id) - 1 AS ordinal FROM pages"""
+
+
+@query("csv_quoted_order", PLACES)
+def csv_quoted_order(spark, folder):
+    """Pages, full of quoted line breaks, published in order over several files: text and order come back, however files are split."""
+    path = fresh(spark, "pages")
+    pages = read_table(spark, folder, "pages").select("page_id", "html").repartitionByRange(4, "page_id").sortWithinPartitions("page_id")
+    logs.publish(stringify(pages), path, "csv")
+    return delimited.intake(spark, path)[0].select(F.col("page_id").cast("bigint").alias("page_id"), "html", "ordinal")
+
+
 @query("csv_layout", "SELECT ',' AS delimiter, 'utf-8' AS encoding, CAST(3 AS BIGINT) AS columns, MAX(contains(html, chr(10))) AS multi_line FROM pages")
 def csv_layout(spark, folder):
     path = fresh(spark, "pages")

@@ -1,7 +1,7 @@
 """Delimited text of any size as an all-text table with stable record identity.
 
 One distributed pass over the lines settles encoding and quoting; the header line alone settles
-delimiter and names. Files stay splittable unless a quoted cell really contains a line break.
+delimiter and names. Files stay splittable, also where quoted cells contain line breaks.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from pyspark.sql import types as T
 
 from sluice.functions.hashing import encoded, fingerprint, record_uid
 from sluice.session import written
+from sluice.sources.blocks import BLOCK, FILE, ROW, file_trees, quoted_records
 
 DELIMITERS = (",", "\t", ";")  # fixed values; the first wins a tie
 CORRUPT = "_corrupt"
-FILE, BLOCK, ROW = "__file", "__block", "__row"
 UNUSED = "￾"  # a noncharacter: keeps an empty quoted cell apart from a missing one
 
 
@@ -88,17 +88,37 @@ def read_delimited(spark: SparkSession, path: str, layout: Layout | None = None,
     layout = layout or detect_layout(spark, path)
     if len(layout.columns) == 1 and not layout.multi_line:
         return single_column(spark, path, layout)
-    fields = [T.StructField(name, T.StringType()) for name in layout.columns]
-    reader = (
-        spark.read.option("header", "true").option("enforceSchema", str(layout.bom).lower()).option("sep", layout.delimiter)
-        .option("quote", '"').option("escape", '"').option("encoding", layout.encoding)
-        .option("multiLine", str(layout.multi_line).lower()).option("nullValue", UNUSED).option("emptyValue", "")
-        .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
-    )
-    if divert:
-        schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
-        return reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-    return reader.schema(T.StructType(fields)).option("mode", "FAILFAST").csv(path)
+    if layout.multi_line:
+        rows = parsed_records(spark, path, layout, divert=divert).where((F.col(BLOCK) > 0) | (F.col(ROW) > 0))
+        return rows.orderBy(FILE, BLOCK, ROW).drop(FILE, BLOCK, ROW)
+    schema = cell_schema(layout, divert)
+    reader = spark.read.options(**cell_options(layout, divert), header="true", enforceSchema=str(layout.bom).lower(), encoding=layout.encoding)
+    return reader.schema(schema).csv(path)
+
+
+def cell_schema(layout: Layout, divert: bool) -> T.StructType:
+    return T.StructType([T.StructField(name, T.StringType()) for name in [*layout.columns, *[CORRUPT] * divert]])
+
+
+def cell_options(layout: Layout, divert: bool) -> dict[str, str]:
+    mode = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT} if divert else {"mode": "FAILFAST"}
+    return mode | {
+        "sep": layout.delimiter, "quote": '"', "escape": '"', "nullValue": UNUSED, "emptyValue": "",
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    }
+
+
+def parsed_records(spark: SparkSession, path: str, layout: Layout, *, divert: bool = False) -> DataFrame:
+    """Cells of records with quoted line breaks, with file, block and row, headers included and compared with the layout."""
+    records = quoted_records(spark, path, layout.encoding)
+    schema = cell_schema(layout, divert)
+    cells = F.from_csv("text", ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema.fields), cell_options(layout, divert))
+    parsed = records.select(FILE, BLOCK, ROW, cells.alias("__cells"))
+    given = F.array(*[F.col("__cells")[name] for name in layout.columns])
+    header = (F.col(BLOCK) == 0) & (F.col(ROW) == 0)
+    other = header & ~given.eqNullSafe(F.array(*map(F.lit, layout.columns)))
+    first = F.when(other, F.raise_error(F.concat(F.lit("CSV_HEADER_MISMATCH: "), FILE))).otherwise(F.col(ROW))
+    return parsed.select(FILE, BLOCK, first.alias(ROW), *[F.col("__cells")[f.name].alias(f.name) for f in schema.fields])
 
 
 def single_column(spark: SparkSession, path: str, layout: Layout, name: str | None = None) -> DataFrame:
@@ -137,18 +157,21 @@ def with_ordinal(rows: DataFrame, name: str = "ordinal", *, headers: bool = Fals
     return rows.join(offsets, [FILE, BLOCK]).where(position >= 0).select((F.col("__offset") + position).alias(name), *columns)
 
 
-def intake(spark: SparkSession, path: str, dataset_hash: str | None = None, *, seal: str = "bytes") -> tuple[DataFrame, Layout, str]:
+def intake(spark: SparkSession, path: str, dataset_hash: str | None = None, *, seal: str = "tree") -> tuple[DataFrame, Layout, str]:
     """Read, number, identify and write a delimited source once; everything else reads the result.
 
-    ``seal`` says what identity means, whatever the source's size: "bytes" hashes whole files, each in
-    one task; "content" hashes the numbered cells, for files that no single task should read.
+    ``seal`` says what identity means, whatever the source's size: "tree" is the hash tree of the files'
+    bytes, "content" hashes the numbered cells, "bytes" whole files, each as one value (2 GiB at most).
     """
     layout = detect_layout(spark, path)
     if len(layout.columns) == 1 and not layout.multi_line:
         numbered = single_column(spark, path, layout, "ordinal")
+    elif layout.multi_line:
+        numbered = with_ordinal(parsed_records(spark, path, layout), headers=True)
     else:
         numbered = with_ordinal(located(read_delimited(spark, path, layout)))
-    digest = dataset_hash or (content_hash(numbered, layout.columns) if seal == "content" else file_set_hash(spark, path))
+    seals = {"tree": lambda: tree_hash(spark, path), "content": lambda: content_hash(numbered, layout.columns), "bytes": lambda: file_set_hash(spark, path)}
+    digest = dataset_hash or seals[seal]()
     identified = numbered.select("ordinal", record_uid(digest, F.col("ordinal")).alias("record_uid"), *[F.col(f"`{c}`") for c in layout.columns])
     table = written(identified, "intake")
     if table.isEmpty():
@@ -163,6 +186,14 @@ def content_hash(numbered: DataFrame, columns: list[str]) -> str:
     return hashlib.sha256(json.dumps([columns, sealed["fingerprint"] if sealed else ""]).encode()).hexdigest()
 
 
+def tree_hash(spark: SparkSession, path: str, **shape: int) -> str:
+    """Identity of the source's bytes: the root of a single file's tree, or the fingerprint of the roots of several."""
+    trees = written(file_trees(spark, path, **shape), "trees")
+    if trees.count() == 1:
+        return trees.first()["root"]
+    return fingerprint(trees, "root").first()["fingerprint"]
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) per file."""
     files = spark.read.format("binaryFile").load(path)

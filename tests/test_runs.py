@@ -1,5 +1,8 @@
 """Proposals, claims, drafts, streams and run tables against small worked cases."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +157,30 @@ def test_registry():
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names
     assert {n for n in names - set(entry.oracle_sql()) if not n.startswith("op") and n != "pipeline"} == set()
+
+
+def test_streamed_admission_equals_the_table(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, f"k{rng.choice([0, 0, 0, 1, 2])}", 1_700_000_000 + int(60 * i + rng.uniform(-500, 500))) for i in range(400)]
+    for n, first in enumerate(range(0, 400, 80)):
+        chunk = spark.createDataFrame(rows[first : first + 80], "event_id bigint, key string, sec bigint").selectExpr("event_id", "key", "timestamp_seconds(sec) AS ts")
+        chunk.coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    far = "SELECT {} AS event_id, 'k{}' AS key, timestamp_seconds({}) AS ts"
+    spark.sql(far.format(-1, 9, 1_800_000_000)).write.parquet(str(tmp_path / "in/8"))
+    spark.sql(far.format(-2, 9, 1_800_100_000) + " UNION ALL " + far.format(-3, 0, 1_700_000_000)).coalesce(1).write.parquet(str(tmp_path / "in/9"))
+    stream = spark.readStream.schema("event_id bigint, key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    decided = admission.admission_stream(stream, 3, 600.0, "30 minutes")
+    query = decided.writeStream.format("memory").queryName("admitted").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r["event_id"]: (r["allowed"], r["retry_after"]) for r in spark.table("admitted").collect() if r["event_id"] >= 0}
+    table = spark.createDataFrame(rows, "event_id bigint, key string, at bigint")
+    expected = {r["event_id"]: (r["allowed"], r["retry_after"]) for r in admission.admission(table, 3, 600.0).collect()}
+    assert got == expected and 0 < sum(a for a, _ in got.values()) < 400
+    assert admission.late_events([json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]) == 1
+
+
+def test_ring_without_times_and_limits(spark):
+    events = spark.createDataFrame([(0, None, 1.0), (1, None, 2.0), (2, "k", None), (3, "k", 5.0), (4, "k", 5.0)], "event_id bigint, key string, at double")
+    got = {r["event_id"]: (r["allowed"], r["retry_after"]) for r in admission.admission(events, 1, 10.0).collect()}
+    assert got == {0: (True, 0), 1: (False, 9), 2: (True, 0), 3: (True, 0), 4: (False, 10)}
+    assert {r["event_id"]: (r["allowed"], r["retry_after"]) for r in admission.admission(events, 0, 10.0).collect()}[2] == (False, 1)

@@ -1,14 +1,17 @@
 """Delimited intake: encodings, delimiters, refusals, ordinals; logs and sinks."""
 
+import csv
 import hashlib
+import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from sluice.contract import Contract
 from sluice.plans import gate
-from sluice.sources import delimited, logs
+from sluice.sources import blocks, delimited, logs
 from sluice.sources.delimited import IntakeError
 
 
@@ -101,7 +104,7 @@ def identities(spark, path, seal, split):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
-@pytest.mark.parametrize("seal", ["bytes", "content"])
+@pytest.mark.parametrize("seal", ["tree", "bytes", "content"])
 def test_identity_is_the_same_for_every_split(spark, tmp_path, seal):
     (tmp_path / "in").mkdir()
     first, second = range(700), range(700, 4700)  # the shorter file comes first: splits are packed by size
@@ -179,3 +182,91 @@ def test_sinks(spark, tmp_path):
     assert {(r["part"], r["payload"]) for r in bundle} == {("ledger", '{"record_uid":"u1","finding_id":"a","n":1}'), ("findings", '{"finding_id":"a"}')}
     logs.write_report(df, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 1
+
+
+def plain_tree(data, leaf, fanout):
+    """The same tree in plain Python over the whole content."""
+    digests = [hashlib.sha256(data[i : i + leaf]).hexdigest() for i in range(0, len(data), leaf)]
+    count = len(digests)
+    while len(digests) > 1:
+        digests = [hashlib.sha256(("node:" + "".join(digests[i : i + fanout])).encode()).hexdigest() for i in range(0, len(digests), fanout)]
+    return len(data), count, digests[0]
+
+
+@pytest.fixture
+def splits(spark):
+    """Sets the size of a split."""
+
+    def set_size(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+    yield set_size
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_file_trees(spark, tmp_path, splits):
+    rng = random.Random(2)
+    files = {"one.bin": b"x", "breaks.bin": b"\n\n", "line.bin": b"y" * 5000 + b"\n"}
+    for mark in (b"", b"\xef\xbb\xbf"):
+        for end in (b"", b"\n"):
+            body = b"\n".join(bytes(rng.choice(b'abc",\r\xff\x00') for _ in range(rng.choice([0, 3, 40, 700]))) for _ in range(30)) + b"z"
+            files[f"{len(mark)}{len(end)}.bin"] = mark + body + end
+    for name, content in files.items():
+        put(tmp_path, name, content)
+    for size, leaf, fanout in ((1 << 27, 64, 3), (1500, 64, 3), (1500, 1000, 2), (1 << 27, 1 << 20, 1024)):
+        splits(size)
+        got = {r["path"].rsplit("/", 1)[-1]: (r["length"], r["leaves"], r["root"]) for r in blocks.file_trees(spark, str(tmp_path), leaf, fanout).collect()}
+        assert got == {name: plain_tree(content, leaf, fanout) for name, content in files.items()}
+
+
+def test_file_beyond_the_limit_of_one_value(spark, tmp_path):
+    content = "a,b\n" + "".join(f"{i},x\n" for i in range(2000))
+    path = put(tmp_path, "a.csv", content)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        assert delimited.intake(spark, path)[2] == hashlib.sha256(content.encode()).hexdigest()  # one leaf
+        with pytest.raises(Exception, match="(?i)exceed|FAILED_READ"):
+            delimited.intake(spark, path, seal="bytes")
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_quoted_records_over_block_borders(spark, tmp_path, splits):
+    rng = random.Random(6)
+    rows = []
+    for name, quoting in (("a.csv", csv.QUOTE_ALL), ("b.csv", csv.QUOTE_MINIMAL)):
+        own = [["".join(rng.choice('ab",\n é') for _ in range(rng.choice([0, 1, 5, 60]))) for _ in range(3)] for _ in range(60)]
+        own[7][1] = "\n" * 300 + '"'  # longer than a block
+        text = io.StringIO()
+        csv.writer(text, lineterminator="\n", quoting=quoting).writerows([["a", "b", "c"], *own])
+        put(tmp_path, name, text.getvalue())
+        rows += own
+    found = []
+    for size in (1 << 27, 900, 140):
+        splits(size)
+        table, _, digest = delimited.intake(spark, str(tmp_path))
+        found.append((digest, [[r["a"] or "", r["b"] or "", r["c"] or ""] for r in table.orderBy("ordinal").collect()]))
+    assert found[0][1] == rows and found[0] == found[1] == found[2]
+
+
+def test_quoted_records_refuse_and_divert(spark, tmp_path):
+    path = put(tmp_path, "a.csv", 'a,b\n"x\ny",1\n"p\nq",2,3\n\n"open')
+    kept = delimited.read_delimited(spark, path, divert=True).collect()
+    assert [(r["a"], r["b"]) for r in kept if r[delimited.CORRUPT] is None] == [("x\ny", "1")] and len(kept) == 3
+    with pytest.raises(Exception, match="(?i)malformed"):
+        delimited.read_delimited(spark, path).collect()
+    (tmp_path / "in").mkdir()
+    put(tmp_path / "in", "a.csv", 'a,b\n"x\ny",1\n')
+    put(tmp_path / "in", "b.csv", 'a,c\n"x\ny",1\n')
+    with pytest.raises(Exception, match="CSV_HEADER_MISMATCH"):
+        delimited.intake(spark, str(tmp_path / "in"))
+
+
+def test_many_tasks_for_a_file_with_quoted_breaks(spark, tmp_path, splits):
+    path = put(tmp_path, "a.csv", "n,t\n" + "".join(f'{i},"two\nlines"\n' for i in range(3000)))
+    splits(4000)
+    assert blocks.lines(spark, path).rdd.getNumPartitions() > 5
+    table = delimited.intake(spark, path)[0]
+    assert table.filter("ordinal <> CAST(n AS BIGINT) OR t <> 'two\nlines'").count() == 0 and table.count() == 3000
