@@ -145,6 +145,15 @@ class Contract:
             raise ContractError("CONTRACT_SCHEMA_INVALID", "a contract is an object")
         return Contract.from_dict(raw)
 
+    def as_dict(self) -> dict[str, Any]:
+        """What ``from_dict`` reads back as an equal contract."""
+        return {
+            "id": self.id, "version": self.version, "business_key": self.business_key,
+            "fields": {name: rule.as_dict() for name, rule in self.fields.items()},
+            "ambiguity_registry": self.ambiguity_registry, "score": {"weights": self.weights, "version": self.score_version},
+            "auto_authorization": self.auto, **self.titles,
+        }
+
     # -- rules about rules -----------------------------------------------------------------
     def check(self) -> None:
         def need(ok: bool, code: str, message: str) -> None:

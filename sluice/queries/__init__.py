@@ -1,8 +1,8 @@
 """The registered queries and their SQL counterparts over the given tables."""
 
-from sluice.queries import gate_queries, identity_queries, profile_queries, run_queries, source_queries
+from sluice.queries import gate_queries, identity_queries, profile_queries, run_queries, source_queries, store_queries
 
-FAMILIES = (profile_queries, identity_queries, gate_queries, run_queries, source_queries)
+FAMILIES = (profile_queries, identity_queries, gate_queries, run_queries, source_queries, store_queries)
 
 
 def all_queries():

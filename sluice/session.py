@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 LOCAL_FOLDERS: dict[str, str] = {}
+SCRATCH: ContextVar[str] = ContextVar("scratch", default="")
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -53,7 +56,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     so the planner can choose a join by real size.
     """
     spark = df.sparkSession
-    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/{SCRATCH.get()}{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -61,4 +64,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def together(*actions: Callable[[], Any]) -> list[Any]:
     """Submit independent Spark actions at the same time; short jobs then share the executors."""
     with ThreadPoolExecutor(max_workers=len(actions)) as pool:
-        return [future.result() for future in [pool.submit(action) for action in actions]]
+        return [future.result() for future in [pool.submit(copy_context().run, action) for action in actions]]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables ``written`` inside the block share a folder that is deleted at its end, also after an error.
+
+    What should outlive the block has to be saved elsewhere inside it.
+    """
+    name = f"scratch-{uuid.uuid4().hex}/"
+    token = SCRATCH.set(name)
+    folder = f"{work_folder(spark)}/{name}"
+    try:
+        yield folder
+    finally:
+        SCRATCH.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
