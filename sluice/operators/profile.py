@@ -71,9 +71,24 @@ def cell_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     do, but for ties of long texts: the text itself, of long ones the first characters. Blank cells
     keep their own rows.
     """
+    return weighted_counts(cells(df, columns).withColumn("weight", F.lit(1)))
+
+
+def moved_counts(counts: DataFrame, moves: DataFrame) -> DataFrame:
+    """``cell_counts`` after cells changed: ``moves`` (column, value, weight) takes values away and adds others.
+
+    Neither the table before nor the one after is read.
+    """
+    names = [c for c in counts.columns if c != "cnt"]
+    together = counts.unionByName(weighted_counts(moves))
+    return together.groupBy(*names).agg(F.sum("cnt").alias("cnt")).filter("cnt <> 0").select(*counts.columns)
+
+
+def weighted_counts(weighed: DataFrame) -> DataFrame:
+    """Counts as sums of ``weight`` over (column, value, weight)."""
     value = F.col("value")
     long = F.col("is_long")
-    keyed = cells(df, columns).withColumn("is_long", is_long(value)).select(
+    keyed = weighed.withColumn("is_long", is_long(value)).select(
         "column",
         "is_long",
         F.when(long, F.sha2(value, 256)).otherwise(value).alias("value"),
@@ -82,12 +97,13 @@ def cell_counts(df: DataFrame, columns: list[str]) -> DataFrame:
         F.when(long, patterns.sensitive_class(value)).alias("long_class"),
         F.when(long, F.char_length(value)).alias("long_chars"),
         F.when(long, is_blank(value)).alias("long_blank"),
+        "weight",
     )
     # Head, shape, class and length follow from the text, so as extra keys they change no group and
-    # leave a plain count, which Spark aggregates by hash without sorting.
+    # leave a plain sum, which Spark aggregates by hash without sorting.
     counted = keyed.groupBy(
         "column", "is_long", "value", "long_head", "long_pattern", "long_class", "long_chars", "long_blank"
-    ).agg(F.count("*").alias("cnt"))
+    ).agg(F.sum("weight").alias("cnt"))
     return counted.select(
         "column",
         "value",

@@ -175,6 +175,27 @@ def ledger(rows: DataFrame, changes: ChangeSet, contract: Contract, known: Knowl
     )
 
 
+def ledger_moves(entries: DataFrame) -> DataFrame:
+    """(column, value, weight): what a ledger with unmasked cells takes away from the value counts and adds to them."""
+    changed = entries.filter(F.col("column").isNotNull())
+    sides = F.array(F.struct(F.col("before").alias("value"), F.lit(-1).alias("weight")), F.struct(F.col("after").alias("value"), F.lit(1).alias("weight")))
+    return changed.select("column", F.inline(sides))
+
+
+def masked_moves(rows: DataFrame, changes: ChangeSet, names: list[str]) -> DataFrame:
+    """The same for edited columns whose cells the ledger shows only masked, from the applied rows."""
+    each = F.array(*[
+        F.struct(F.lit(name).alias("column"), F.col(f"`{name}`").alias("before"), F.col(f"`{after(name)}`").alias("after")) for name in names
+    ])
+    return ledger_moves(rows.select(F.inline(each)).filter(~F.col("before").eqNullSafe(F.col("after"))))
+
+
+def removal_moves(rows: DataFrame, changes: ChangeSet, known: Knowledge) -> DataFrame:
+    """The cells of removed records, to be taken away from the candidate's counts."""
+    gone = candidate(rows.filter(is_removed()), changes, known).select(*[F.col(f"`{c}`") for c in known.columns])
+    return gone.unpivot([], known.columns, "column", "value").withColumn("weight", F.lit(-1))
+
+
 def ledger_rank() -> Column:
     """Cells first, then quarantined, excluded, flagged."""
     rank = F.when(F.col("column").isNotNull(), 0)

@@ -309,6 +309,30 @@ def candidate_metrics(outcome: Release) -> DataFrame:
     return metrics.metrics(sums, analysis.totals)
 
 
+def edited_counts(outcome: Release, counts: DataFrame, *, released: bool = False) -> DataFrame:
+    """Value counts of the candidate, or of the released records, from the source's ``counts`` and what was changed.
+
+    The ledger tells what to move, applied rows only where it masks cells or records were removed; the outputs aren't read.
+    """
+    plan = outcome.plan
+    known, changes = plan.analysis.known, plan.changes
+    hidden = known.withheld(plan.analysis.contract)
+    masked = [name for name in release.edited_columns(changes) if name in hidden]
+    entries = outcome.ledger
+    moves = release.ledger_moves(entries.filter(~F.col("column").isin(masked)) if masked else entries)
+    if masked:
+        moves = moves.unionByName(release.masked_moves(plan.rows, changes, masked))
+    if released:
+        moves = moves.unionByName(release.removal_moves(plan.rows, changes, known))
+    return written(profile.moved_counts(counts, moves), "moved-counts")
+
+
+def candidate_profile(outcome: Release, counts: DataFrame) -> DataFrame:
+    """Full column profile of the candidate without profiling it again."""
+    after = edited_counts(outcome, counts)
+    return profile.column_profile(outcome.candidate, after, written(profile.column_facts(after), "facts"), outcome.plan.analysis.contract)
+
+
 def verify(outcome: Release, source: DataFrame, decisions: DataFrame, stored: dict[str, str]) -> list[tuple[str, bool, Any, Any]]:
     """Recompute every fingerprint of a finished run and execute it again.
 

@@ -647,6 +647,38 @@ def candidate_metrics(spark, folder):
     return gate.candidate_metrics(outcome).filter("metric IN ('consistency', 'completeness')").select("metric", "numerator")
 
 
+_AFTER = {name: {"status": "new_status", "order_date": "new_date"}.get(name, name) for name in ORDER_NAMES}
+
+
+def edited_facts_sql(where: str) -> str:
+    """Facts of the edited columns and all others over the edited rows."""
+    relation = APPLIED.removeprefix("WITH ") + ", after AS (SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in _AFTER.items()) + f" FROM edits{where})"
+    return sqltext.facts_sql("after", {name: name for name in ORDER_NAMES}, relation) + f""" SELECT f.col AS "column", f.row_count, f.empty, f.n AS non_empty, f.distinct_count, f.max_length,
+  v.inferred_type, v.type_match, {sqltext.edge('min')} AS min_value, {sqltext.edge('max')} AS max_value, f.sensitive_hits
+  FROM filled f JOIN vote v ON v.col = f.col LEFT JOIN edges e ON e.col = f.col"""
+
+
+def edited_facts(spark, folder, released):
+    outcome = executed(spark, folder)
+    counts = once(spark, folder, "source-counts", lambda: gate.profiled(outcome.plan.analysis.source)[0])
+    return profile.column_facts(gate.edited_counts(outcome, counts, released=released)).select(
+        "column", "row_count", "empty", "non_empty", "distinct_count", F.col("max_length").cast("bigint").alias("max_length"),
+        "inferred_type", "type_match", "min_value", "max_value", "sensitive_hits",
+    )
+
+
+@query("candidate_facts", edited_facts_sql(""))
+def candidate_facts(spark, folder):
+    """Column facts of the candidate from the source's value counts and the ledger."""
+    return edited_facts(spark, folder, False)
+
+
+@query("released_facts", edited_facts_sql(" WHERE membership IS NULL"))
+def released_facts(spark, folder):
+    """Column facts of the released records: removed ones are taken away from the counts."""
+    return edited_facts(spark, folder, True)
+
+
 # -- redaction and drafting ------------------------------------------------------------------
 def feed_profile(spark, folder):
     source = feeds.orders_feed(spark, folder)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.contract import Contract
-from sluice.operators import decide
+from sluice.operators import decide, profile
 from sluice.operators.decide import GovernanceError
 from sluice.plans import gate, store
 from sluice.queries import feeds
@@ -131,3 +131,31 @@ def test_scratch_covers_threads_and_errors(spark):
             assert [df.count() for df in made] == [3, 2] and len(os.listdir(folder)) == 2
             raise ValueError
     assert not os.path.exists(folder)
+
+
+def test_candidate_profile_without_profiling_again(spark, outcome):
+    counts, _ = gate.profiled(outcome.plan.analysis.source)
+    fresh, facts = gate.profiled(outcome.candidate)
+    moved = gate.edited_counts(outcome, counts)
+    assert moved.exceptAll(fresh.select(*moved.columns)).isEmpty() and fresh.select(*moved.columns).exceptAll(moved).isEmpty()
+    expected = profile.column_profile(outcome.candidate, fresh, facts, feeds.ORDER_CONTRACT)
+    text = [F.to_json(F.struct("*")).alias("row")]
+    assert {r["row"] for r in gate.candidate_profile(outcome, counts).select(*text).collect()} == {r["row"] for r in expected.select(*text).collect()}
+    kept = outcome.plan.rows.filter("membership IS NULL").select("record_uid").join(outcome.candidate, "record_uid")
+    released = gate.profiled(kept.select(*outcome.candidate.columns))[0]
+    after = gate.edited_counts(outcome, counts, released=True)
+    assert after.exceptAll(released.select(*after.columns)).isEmpty() and after.count() == released.count()
+
+
+def test_masked_edits_move_counts_too(spark):
+    rows = [(i, f"u{i}", "2024/01/0" + str(1 + i % 5)) for i in range(20)]
+    source = spark.createDataFrame(rows, "ordinal long, record_uid string, day string")
+    contract = Contract.from_dict({
+        "id": "d", "version": "1", "fields": {"day": {"type": "date", "format": "%Y-%m-%d", "accept_formats": ["%Y/%m/%d"], "sensitive": True}},
+        "auto_authorization": {"date_standardization": True},
+    })
+    analysis = gate.analyse(source, contract)
+    made = gate.execute(gate.dry_run(analysis, decide.default_decisions(analysis.findings)))
+    moved = gate.edited_counts(made, gate.profiled(source)[0])
+    fresh = gate.profiled(made.candidate)[0]
+    assert moved.exceptAll(fresh.select(*moved.columns)).isEmpty() and moved.count() == fresh.count() == 5
