@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -64,22 +67,33 @@ def matched_format(value: Column, rule: FieldRule, slash_label: str | None = Non
 
 
 def regex_violated(value: Column, pattern: str) -> Column:
-    if needs_python_regex(pattern):
+    if not runs_in_jvm(pattern):
         return ~python_fullmatch(pattern)(value)
     return no(value.rlike(rf"(?U)^(?:{pattern})\z"))
 
 
-def needs_python_regex(pattern: str) -> bool:
-    """Python-only syntax that Java's engine refuses: named groups and conditionals."""
-    return re.search(r"\(\?P|\(\?\(|\\Z", pattern) is not None
+@cache
+def runs_in_jvm(pattern: str) -> bool:
+    """Does the engine's own compiler take the pattern, in the sense it has in a contract? ``\\Z`` means something else there."""
+    if re.search(r"\\Z", pattern):
+        return False
+    compiler = SparkSession.active().sparkContext._jvm.java.util.regex.Pattern
+    try:
+        compiler.compile(rf"(?U)^(?:{pattern})\z")
+    except IllegalArgumentException:
+        return False
+    return True
 
 
 def python_fullmatch(pattern: str):  # noqa: ANN201 - a pandas UDF
+    """For patterns that the engine refuses; every distinct value of a batch is matched once."""
     compiled = re.compile(pattern)
 
     @F.pandas_udf(BooleanType())
     def matches(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: v is not None and compiled.fullmatch(v) is not None).astype(bool)
+        codes, distinct = pd.factorize(values)  # null has code -1, the last entry
+        fits = np.array([*(compiled.fullmatch(v) is not None for v in distinct), False])
+        return pd.Series(fits[codes])
 
     return matches
 

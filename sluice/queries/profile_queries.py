@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.contract import Contract
-from sluice.functions import patterns
-from sluice.operators import groups, profile
+from sluice.contract import Contract, FieldRule
+from sluice.functions import patterns, predicates
+from sluice.operators import groups, profile, sketches
 from sluice.queries import feeds, sqltext
 from sluice.queries.sqltext import facts_sql
 from sluice.session import written
@@ -344,3 +344,33 @@ def repeated_unique_values(spark, folder):
     feed = feeds.orders_feed(spark, folder)
     view = groups.identity_view(feed, feeds.ORDER_NAMES, {"invoice": ["invoice"]})
     return groups.sharing_records(written(groups.distinct_rows(view), "distinct"), "invoice")
+
+
+_SKETCHED = ["event_type", "user_id", "event_id"]
+
+
+@query(
+    "distinct_sketches",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", COUNT(*) AS cells, COUNT(*) FILTER (WHERE trim(CAST({c} AS STRING)) <> '') AS filled, COUNT(DISTINCT CAST({c} AS STRING)) AS exact, TRUE AS within FROM events"""
+        for c in _SKETCHED
+    ),
+)
+def distinct_sketches(spark, folder):
+    """Distinct values from sketches kept per day and merged, next to the exact counts."""
+    events = read_table(spark, folder, "events")
+    texts = events.select(F.to_date(F.col("ts").cast("timestamp")).cast("string").alias("day"), *[F.col(c).cast("string").alias(c) for c in _SKETCHED])
+    per_day = written(sketches.summaries(texts, _SKETCHED, "day"), "sketches")
+    found = sketches.compared(texts, _SKETCHED, sketches.merged(per_day))
+    return found.select("column", "cells", "filled", "exact", "within")
+
+
+@query(
+    "python_pattern",
+    "SELECT c_nationkey, COUNT(*) FILTER (WHERE NOT regexp_full_match(c_name, 'Customer#[0-9]*[02468]')) AS violations FROM customer GROUP BY 1",
+)
+def python_pattern(spark, folder):
+    """A pattern with a scoped flag and a named group, which the engine's own compiler refuses."""
+    rule = FieldRule(pattern=r"(?a:Customer#(?P<number>\d*)[02468])")
+    bad = predicates.violations(F.col("c_name"), rule)["pattern"]
+    return read_table(spark, folder, "customer").groupBy("c_nationkey").agg(F.count_if(bad).alias("violations"))

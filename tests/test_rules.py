@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import samples
 from sluice.contract import Contract, ContractError
 from sluice.functions import dates, hashing, patterns, predicates, text
-from sluice.operators import detect, groups, profile, release
+from sluice.operators import detect, groups, profile, release, sketches
 from sluice.plans import gate
 from sluice.sources.tables import with_identity
 
@@ -104,6 +104,25 @@ def test_range_and_pattern(spark):
     assert values(spark, ["12", "x"], n=named) == [(False,), (True,)]
 
 
+def test_patterns_the_engine_refuses(spark):
+    asked = {r"[0-9]+": True, r"(?P<n>\d)": False, r"(?a:\w+)": False, r"(a)?(?(1)b|c)": False, r"x\Z": False, r"(?i)ab|c{2}": True}
+    assert {p: predicates.runs_in_jvm(p) for p in asked} == asked
+    bad = predicates.regex_violated(F.col("v"), r"(?a:\w+)")
+    assert values(spark, ["ab", "é", None, "ab", "a b", ""], b=bad) == [(False,), (True,), (True,), (False,), (True,), (True,)]
+
+
+def test_sketches_of_runs_merge(spark):
+    df = spark.range(6000).selectExpr("CAST(id % 3 AS STRING) AS run", "CAST(id % 2000 AS STRING) AS a", "IF(id % 2 = 0, ' ', 'x') AS b", "CAST(NULL AS STRING) AS c")
+    parts = sketches.summaries(df, ["a", "b", "c"], "run")
+    assert parts.count() == 9
+    whole = {r["column"]: r for r in sketches.compared(df, ["a", "b", "c"], sketches.merged(parts)).collect()}
+    assert {c: (r["cells"], r["filled"], r["exact"], r["within"]) for c, r in whole.items()} == {
+        "a": (6000, 6000, 2000, True), "b": (6000, 3000, 1, True), "c": (6000, 0, 0, True),
+    }
+    again = sketches.estimates(sketches.merged(parts.unionByName(parts))).collect()
+    assert {r["column"]: r["estimate"] for r in again} == {c: r["estimate"] for c, r in whole.items()}  # merging twice counts no value twice
+
+
 def generic(spark):
     """63 x 12: one column per inferred type, rows 5-7 repeated."""
     i = F.col("id")
