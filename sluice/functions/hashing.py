@@ -37,18 +37,25 @@ def fingerprint(df: DataFrame, digest: str, by: list[str] | None = None) -> Data
     Per bucket the digests are added up in three exact 32-bit lanes, so state is constant and
     partial aggregation absorbs any skew; then at most 4 096 bucket lines are hashed in order.
     """
-    by = by or []
+    return sealed_sums(bucket_sums(df, digest, by), by)
+
+
+def bucket_sums(df: DataFrame, digest: str, by: list[str] | None = None) -> DataFrame:
+    """Counts and lane sums per bucket: those of several parts add up to those of their union."""
     hex_text = F.col(digest)
 
     def lane(index: int) -> Column:
         piece = F.substring(hex_text, 1 + index * LANE_CHARS, LANE_CHARS)
         return F.sum(F.conv(piece, 16, 10).cast("bigint"))
 
-    buckets = (
-        df.groupBy(*by, F.substring(hex_text, 1, BUCKET_CHARS).alias("bucket"))
-        .agg(F.count("*").alias("n"), lane(0).alias("l0"), lane(1).alias("l1"), lane(2).alias("l2"))
-        .withColumn("line", F.concat_ws(":", "bucket", "n", "l0", "l1", "l2"))
+    return df.groupBy(*(by or []), F.substring(hex_text, 1, BUCKET_CHARS).alias("bucket")).agg(
+        F.count("*").alias("n"), lane(0).alias("l0"), lane(1).alias("l1"), lane(2).alias("l2")
     )
+
+
+def sealed_sums(sums: DataFrame, by: list[str] | None = None) -> DataFrame:
+    by = by or []
+    buckets = sums.withColumn("line", F.concat_ws(":", "bucket", "n", "l0", "l1", "l2"))
     lines = F.array_join(F.array_sort(F.collect_list("line")), "\n")
     return buckets.groupBy(*by).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("members"), F.sha2(lines, 256).alias("fingerprint")

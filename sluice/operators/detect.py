@@ -75,7 +75,11 @@ def learn(
     else:
         scan_facts(df, contract, known)
     withheld = known.withheld(contract)
-    counts = semantic.unlisted_counts(df, contract, withheld)
+    return learn_values(semantic.unlisted_counts(df, contract, withheld), contract, known, proposals)
+
+
+def learn_values(counts: DataFrame, contract: Contract, known: Knowledge, proposals: DataFrame | None = None) -> Knowledge:
+    """Candidate values and their mapping from the counts (column, value, cnt) of unlisted values."""
     # One more than the limit tells whether there would have been more; at most 31 rows per column.
     rows = semantic.candidates(counts, semantic.CANDIDATE_LIMIT + 1).collect()
     for row in sorted(rows, key=lambda r: (r["column"], r["rank"])):
@@ -84,7 +88,7 @@ def learn(
         else:
             known.candidates.setdefault(row["column"], []).append(row["value"])
     if known.candidates:
-        spark = df.sparkSession
+        spark = counts.sparkSession
         listed = [(r["column"], r["value"], r["cnt"], fold_text(r["value"])) for r in rows if r["rank"] <= semantic.CANDIDATE_LIMIT]
         found = spark.createDataFrame(listed, "column string, value string, cnt bigint, norm string")
         mapping = semantic.resolve(found, contract.vocab_table(spark), contract.ambiguity_table(spark), proposals)
@@ -96,23 +100,45 @@ def learn(
 
 def scan_facts(df: DataFrame, contract: Contract, known: Knowledge) -> None:
     """Sensitive hits of every column and slash-date evidence where a rule needs it, in one scan."""
+    read_scan(scan_row(df, contract, known.columns), contract, known)
+
+
+def open_dates(contract: Contract, columns: list[str]) -> list[str]:
+    return [c for c in columns if c in contract.fields and contract.fields[c].type == "date" and contract.fields[c].format is None]
+
+
+def scan_row(df: DataFrame, contract: Contract, columns: list[str]) -> DataFrame:
+    """One row (hits_<i>, slash_<i>) over the rows of ``df``."""
     aggregates: list[Column] = []
-    open_dates = [
-        c for c in known.columns
-        if c in contract.fields and contract.fields[c].type == "date" and contract.fields[c].format is None
-    ]
-    for index, name in enumerate(known.columns):
+    for index, name in enumerate(columns):
         cell = F.col(f"`{name}`")
         aggregates.append(F.count(F.when(patterns.looks_sensitive(cell) & ~is_blank(cell), 1)).alias(f"hits_{index}"))
-    for index, name in enumerate(open_dates):
+    for index, name in enumerate(open_dates(contract, columns)):
         cell = F.col(f"`{name}`")
         undecided = patterns.shape_label(cell) == patterns.SLASH_UNDECIDED
         aggregates.append(
             F.struct(*[a.alias(n) for n, a in profile.slash_evidence(cell, undecided).items()]).alias(f"slash_{index}")
         )
-    labels = [profile.slash_label(f"slash_{i}.").alias(f"label_{i}") for i in range(len(open_dates))]
-    values = df.agg(*aggregates).select("*", *labels).first()
-    for index, name in enumerate(open_dates):
+    return df.agg(*aggregates)
+
+
+def merged_scan(rows: DataFrame) -> DataFrame:
+    """The ``scan_row`` of several parts as that of all of them."""
+
+    def merge(name: str) -> Column:
+        if name.startswith("hits_"):
+            return F.sum(name).alias(name)
+        fields = rows.schema[name].dataType.fieldNames()
+        return F.struct(*[(F.bool_or if f in ("day_first", "month_first") else F.bool_and)(F.col(name)[f]).alias(f) for f in fields]).alias(name)
+
+    return rows.agg(*[merge(name) for name in rows.columns])
+
+
+def read_scan(row: DataFrame, contract: Contract, known: Knowledge) -> None:
+    dates_ = open_dates(contract, known.columns)
+    labels = [profile.slash_label(f"slash_{i}.").alias(f"label_{i}") for i in range(len(dates_))]
+    values = row.select("*", *labels).first()
+    for index, name in enumerate(dates_):
         known.slash[name] = values[f"label_{index}"]
     for index, name in enumerate(known.columns):
         known.hits[name] = values[f"hits_{index}"]
@@ -267,6 +293,21 @@ def annotate(df: DataFrame, contract: Contract, known: Knowledge, marked: DataFr
     return rows.select(*df.columns, claims_column(group_claims() + row_claims).alias("claims"))
 
 
+def row_claimed(df: DataFrame, contract: Contract, known: Knowledge) -> DataFrame:
+    """(ordinal, record_uid, claims) of the rows that a rule on the row alone claims; groups are left out."""
+    alone = df.withColumn("repeats", F.lit(None).cast("array<string>"))
+    claimed = alone.select("ordinal", "record_uid", claims_column(contract_claims(contract, known)).alias("claims"))
+    return claimed.filter(F.size("claims") > 0)
+
+
+def with_groups(claimed: DataFrame, marked: DataFrame) -> DataFrame:
+    """The claims of ``row_claimed`` rows and of ``marked`` records together, as ``annotate`` would give them."""
+    unique = F.transform(F.coalesce("repeats", F.array().cast("array<string>")), lambda name: F.struct(F.concat(F.lit("VAL-"), name).alias("finding_id"), F.lit("unique").alias("detail")))
+    groups_ = claims_column(group_claims()).cast(CLAIM_SCHEMA)
+    own = F.coalesce("claims", F.array().cast(CLAIM_SCHEMA))
+    return claimed.join(marked, "ordinal", "full").select("ordinal", "record_uid", F.concat(groups_, own, unique.cast(CLAIM_SCHEMA)).alias("claims"))
+
+
 def members(annotated: DataFrame) -> DataFrame:
     """(finding_id, ordinal, record_uid), one row per affected record."""
     ids = F.array_distinct(F.transform("claims", lambda c: c["finding_id"]))

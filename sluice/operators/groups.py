@@ -122,14 +122,19 @@ def marks(df: DataFrame, columns: list[str], business_key: list[str], unique: li
     keys = ({"business_key": business_key} if business_key else {}) | {
         f"unique_{name}": [name] for name in unique
     }
-    view = identity_view(df, columns, keys)
+    return view_marks(identity_view(df, columns, keys))
+
+
+def view_marks(view: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``marks`` from the narrow view alone, so views of several parts of a table may be put together first."""
+    keys = [c for c in view.columns if c not in ("ordinal", "record_uid", "row_digest")]
     distinct = written(distinct_rows(view), "distinct")
     exact = distinct.filter("copies > 1").select(
         F.lit("exact").alias("kind"), F.col("row_digest").alias("digest"), "first_ordinal"
     )
     records = view.select(F.lit("exact").alias("kind"), F.col("row_digest").alias("digest"), "ordinal")
     if keys:
-        firsts = keyed(distinct, list(keys))
+        firsts = keyed(distinct, keys)
         shared = firsts.groupBy("kind", "digest").agg(F.count("*").alias("n")).filter("n > 1")
         exact = exact.unionByName(shared.select("kind", "digest", F.lit(None).cast("bigint").alias("first_ordinal")))
         records = records.unionByName(firsts)
