@@ -58,8 +58,8 @@ def idempotent(requests: DataFrame, run: str, key: str, ts: str, tie: str) -> Da
     """Outcome of every apply request: the first key of a run wins, repeats replay it, others are refused."""
     order = F.struct(ts, tie)
     first = requests.groupBy(run).agg(
-        F.min_by(key, order).alias("winning_key"), F.min(tie).alias("unused"), F.min_by(tie, order).alias("winner")
-    ).drop("unused")
+        F.min_by(key, order).alias("winning_key"), F.min_by(tie, order).alias("winner")
+    )
     joined = join_back(requests, first, run, tie)
     outcome = (
         F.when(F.col(tie) == F.col("winner"), "APPLIED").when(F.col(key) == F.col("winning_key"), "REPLAYED").otherwise("REFUSED")
@@ -110,12 +110,13 @@ def semantic_summary(proposals: DataFrame, run: str) -> DataFrame:
 
 def proposals_against_calls(proposals: DataFrame, calls: DataFrame) -> DataFrame:
     """Does the call of a proposal exist, with the same finding and the same input hash?"""
-    seen = calls.select("call_id", F.col("finding_id").alias("c_finding"), F.col("input_hash").alias("c_hash"))
-    return join_back(proposals, seen, "call_id", "proposal_id", "left").select(
-        "proposal_id",
-        F.col("c_finding").isNotNull().alias("call_exists"),
-        F.coalesce(F.col("finding_id") == F.col("c_finding"), F.lit(False)).alias("same_finding"),
-        F.coalesce(F.col("input_hash") == F.col("c_hash"), F.lit(False)).alias("same_input"),
+    seen = calls.select("call_id", F.col("finding_id").alias("c_finding"), F.col("input_hash").alias("c_hash")).distinct()
+    matched = join_back(proposals, seen, "call_id", "proposal_id", "left")
+    # A call id that was used more than once must not multiply a proposal: any of its calls may answer.
+    return matched.groupBy("proposal_id").agg(
+        F.bool_or(F.col("c_finding").isNotNull()).alias("call_exists"),
+        F.bool_or(F.coalesce(F.col("finding_id") == F.col("c_finding"), F.lit(False))).alias("same_finding"),
+        F.bool_or(F.coalesce(F.col("input_hash") == F.col("c_hash"), F.lit(False))).alias("same_input"),
     )
 
 

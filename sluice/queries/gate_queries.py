@@ -774,13 +774,13 @@ def draft_business_key(spark, folder):
 
 @query(
     "draft_canonical",
-    f"WITH {feeds.feed_sql()}, tops AS (SELECT express AS value, COUNT(*) AS cnt FROM (SELECT CASE WHEN express = 'No' AND EXTRACT(DAY FROM CAST(SUBSTR(booked_at, 1, 10) AS DATE)) < 9 THEN 'NO ' WHEN express = 'No' THEN 'no' ELSE 'later ' || express END AS express FROM feed WHERE booked_at <> 'soon') GROUP BY 1 ORDER BY cnt DESC, value LIMIT 5), "
+    f"WITH {feeds.feed_sql()}, tops AS (SELECT express AS value, COUNT(*) AS cnt FROM (SELECT CASE WHEN express = 'No' AND EXTRACT(DAY FROM TRY_CAST(SUBSTR(booked_at, 1, 10) AS DATE)) < 9 THEN 'NO ' WHEN express = 'No' THEN 'no' ELSE 'later ' || express END AS express FROM feed) GROUP BY 1 ORDER BY cnt DESC, value LIMIT 5), "
     "spelled AS (SELECT *, LOWER(TRIM(value)) AS norm, ROW_NUMBER() OVER (PARTITION BY LOWER(TRIM(value)) ORDER BY cnt DESC, value) AS rank FROM tops) "
     "SELECT 'express' AS \"column\", t.value AS target, s.value AS alias FROM spelled s JOIN spelled t ON t.norm = s.norm AND t.rank = 1 WHERE s.rank > 1",
 )
 def draft_canonical(spark, folder):
-    feed = feeds.orders_feed(spark, folder).filter("booked_at <> 'soon'")
-    day = F.substring("booked_at", 9, 2).cast("int")
+    feed = feeds.orders_feed(spark, folder)
+    day = F.substring("booked_at", 9, 2).try_cast("int")
     spelled = F.when((F.col("express") == "No") & (day < 9), "NO ").when(F.col("express") == "No", "no").otherwise(F.concat(F.lit("later "), "express"))
     df = feed.select(spelled.alias("express"))
     counts, facts = gate.profiled(df)

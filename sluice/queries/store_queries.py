@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from sluice.operators import decide
 from sluice.plans import store
 from sluice.queries import feeds
-from sluice.queries.gate_queries import LEDGER, executed, once
+from sluice.queries.gate_queries import FINDINGS, LEDGER, executed, once
 from sluice.queries.identity_queries import encoded_sql
-from sluice.session import work_folder
+from sluice.session import work_folder, written
 from sluice.sources import files
+from sluice.streaming.increments import Increments
 
 QUERIES = {}
 ORACLES = {}
@@ -86,3 +87,16 @@ def stored_run_mutations(spark, folder):
     files.move(spark, aside, bucket)
     files.delete(spark, f"{run.path('ledger')}/__bucket=f")
     return store.differences(spark, run, {"release": low[:1], "ledger": "f"})
+
+
+@query(
+    "incremental_findings",
+    FINDINGS + " SELECT finding_id, finding_type, records AS affected_record_count, risk_level, blocking, authorization_mode, proposed_action FROM findings",
+)
+def incremental_findings(spark, folder):
+    """The feed arrives in four batches, one of them twice: findings from the merged summaries."""
+    feed = written(feeds.orders_feed(spark, folder), "feed")
+    parts = Increments(spark, feeds.ORDER_CONTRACT, f"{work_folder(spark)}/increments-{uuid.uuid4().hex}")
+    for batch in (0, 1, 2, 1, 3):
+        parts.take(feed.where(F.pmod(F.xxhash64("ordinal"), F.lit(4)) == batch), batch)
+    return parts.findings().select("finding_id", "finding_type", "affected_record_count", "risk_level", "blocking", "authorization_mode", "proposed_action")

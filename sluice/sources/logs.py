@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators import runs
+from sluice.session import written
+from sluice.sources import files
 
 META_SCHEMA = (
     "run_id string, name string, sample_id string, lifecycle string, created_at timestamp, run_revision int, contract_source string"
@@ -22,14 +24,12 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def append_events(spark: SparkSession, events: DataFrame, path: str, schema: str) -> None:
-    """Append events with the next sequence numbers of their runs."""
-    try:
-        last = spark.read.schema(schema).json(path).groupBy("run_id").agg(F.max("seq").alias("last_seq"))
-        last = spark.createDataFrame(last.collect(), "run_id string, last_seq bigint")  # one row per run
-    except Exception as error:  # noqa: BLE001 - the log does not exist yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        last = None
+    """Append events with the next sequence numbers of their runs; only the log's runs among the new events are looked at."""
+    last = None
+    if files.exists(spark, path):
+        new = events.select("run_id").distinct()
+        log = spark.read.schema(schema).json(path).join(new, "run_id", "left_semi")
+        last = written(log.groupBy("run_id").agg(F.max("seq").alias("last_seq")), "last-seq")  # read before the log grows
     append_log(runs.sequenced(events, "run_id", "ts", "message", last), path)
 
 

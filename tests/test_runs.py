@@ -184,3 +184,10 @@ def test_ring_without_times_and_limits(spark):
     got = {r["event_id"]: (r["allowed"], r["retry_after"]) for r in admission.admission(events, 1, 10.0).collect()}
     assert got == {0: (True, 0), 1: (False, 9), 2: (True, 0), 3: (True, 0), 4: (False, 10)}
     assert {r["event_id"]: (r["allowed"], r["retry_after"]) for r in admission.admission(events, 0, 10.0).collect()}[2] == (False, 1)
+
+
+def test_repeated_call_ids_keep_one_row_per_proposal(spark):
+    proposals = spark.createDataFrame([("p1", "c1", "F", "h"), ("p2", "c2", "F", "h"), ("p3", "c9", "F", "h")], "proposal_id string, call_id string, finding_id string, input_hash string")
+    calls = spark.createDataFrame([("c1", "F", "h"), ("c1", "G", "h"), ("c1", "F", "h"), ("c2", "G", "x")], "call_id string, finding_id string, input_hash string")
+    got = sorted(tuple(r) for r in runs.proposals_against_calls(proposals, calls).collect())
+    assert got == [("p1", True, True, True), ("p2", True, False, False), ("p3", False, False, False)]
