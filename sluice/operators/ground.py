@@ -206,6 +206,46 @@ def ground_rules(draft: DataFrame, profile: DataFrame, observed: DataFrame, form
     )
 
 
+def derived_formats(draft: DataFrame, profile: DataFrame, observed: DataFrame, formats: DataFrame) -> DataFrame:
+    """(field, format, accept_formats): accepted formats with the column's other observed formats, most frequent first."""
+    grounded = ground_rules(draft, profile, observed, formats).filter("rule = 'format' AND reason IS NULL").select("field")
+    chosen = draft.filter("rule = 'format'").select("field", F.col("value").alias("chosen")).join(grounded, "field")
+    # A column has one row per known format at most.
+    others = formats.groupBy(F.col("column").alias("field")).agg(F.array_sort(F.collect_list(F.struct("rank", "format"))).alias("found"))
+    rest = F.filter(F.transform("found", lambda f: f["format"]), lambda f: f != F.col("chosen"))
+    return chosen.join(others, "field", "left").select("field", F.col("chosen").alias("format"), F.coalesce(rest, F.array().cast("array<string>")).alias("accept_formats"))
+
+
+def ground_aliases(entries: DataFrame, observed: DataFrame) -> DataFrame:
+    """(field, position, target, aliases, status) of drafted spellings (field, position, target, aliases).
+
+    Every value of an entry has to be observed (else REJECTED). Within a field a term is either a target or an alias of
+    one target: the earlier entry has it, a later one loses the alias, and an entry that loses its target or all of
+    its aliases is SKIPPED. A field's entries are folded in their order; a draft has a bounded number of them.
+    """
+    terms = entries.select("field", "position", F.explode(F.concat(F.array("target"), "aliases")).alias("value"))
+    known = observed.select(F.col("column").alias("field"), "value").distinct().withColumn("seen", F.lit(True))
+    grounded = terms.join(known, ["field", "value"], "left").groupBy("field", "position").agg(F.bool_and(F.coalesce("seen", F.lit(False))).alias("grounded"))
+    entry = F.struct("position", "target", F.array_distinct("aliases").alias("aliases"), "grounded")
+    per_field = entries.join(grounded, ["field", "position"]).groupBy("field").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    done = "array<struct<position: int, target: string, aliases: array<string>, status: string>>"
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("targets"), none.alias("taken"), F.array().cast(done).alias("done"))
+
+    def step(state: Column, e: Column) -> Column:
+        free = F.filter(e["aliases"], lambda a: (a != e["target"]) & ~F.array_contains(state["taken"], a) & ~F.array_contains(state["targets"], a))
+        kept = e["grounded"] & (F.size(free) > 0) & ~F.array_contains(state["taken"], e["target"])
+        status = F.when(~e["grounded"], "REJECTED").when(kept, "ACCEPTED").otherwise("SKIPPED")
+        row = F.struct(e["position"].cast("int").alias("position"), e["target"].alias("target"), F.when(kept, free).otherwise(none).alias("aliases"), status.alias("status"))
+        return F.struct(
+            F.when(kept, F.array_append(state["targets"], e["target"])).otherwise(state["targets"]).alias("targets"),
+            F.when(kept, F.concat(state["taken"], free)).otherwise(state["taken"]).alias("taken"),
+            F.concat(state["done"], F.array(row).cast(done)).alias("done"),
+        )
+
+    return per_field.select("field", F.inline(F.aggregate("entries", start, step, lambda state: state["done"])))
+
+
 def ground_table_rules(draft: DataFrame, columns: DataFrame, observed: DataFrame) -> DataFrame:
     """Business key and ambiguity entries: (rule, column, value, reason). Input (rule, column, value)."""
     known = columns.select("column", F.lit(True).alias("known"))

@@ -13,6 +13,7 @@ from sluice.queries import feeds, sqltext
 from sluice.queries.feeds import ORDER_CONTRACT, ORDER_NAMES
 from sluice.queries.sqltext import blank, match
 from sluice.session import written
+from sluice.sources.tables import read_table, stringify, with_identity
 
 QUERIES = {}
 ORACLES = {}
@@ -679,6 +680,26 @@ def released_facts(spark, folder):
     return edited_facts(spark, folder, True)
 
 
+SEGMENTS = Contract.from_dict({"id": "segments", "version": "1", "fields": {"c_mktsegment": {"allowed": ["BUILDING", "Machinery "], "semantic": True}}})
+
+
+@query(
+    "semantic_spellings",
+    """SELECT 'SEM-c_mktsegment' AS finding_id, 'NORMALIZE_CATEGORY' AS proposed_action, 'machinery' AS part, COUNT(*) AS affected_record_count FROM customer WHERE c_mktsegment = 'MACHINERY'
+UNION ALL SELECT 'SEM-c_mktsegment', NULL, 'unmapped', COUNT(*) FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')""",
+)
+def semantic_spellings(spark, folder):
+    """Segments outside the vocabulary: one that a normalized match maps, and, where that one is spelled right, those that nothing maps."""
+    rows = with_identity(stringify(read_table(spark, folder, "customer").select("c_custkey", "c_mktsegment")), "customer", "c_custkey")
+    parts = {"machinery": rows, "unmapped": rows.withColumn("c_mktsegment", F.when(F.col("c_mktsegment") == "MACHINERY", "BUILDING").otherwise(F.col("c_mktsegment")))}
+    out = None
+    for name, source in parts.items():
+        found = gate.analyse(written(source, "customers"), SEGMENTS).findings.filter("finding_id = 'SEM-c_mktsegment'")
+        row = found.select("finding_id", "proposed_action", F.lit(name).alias("part"), "affected_record_count")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # -- redaction and drafting ------------------------------------------------------------------
 def feed_profile(spark, folder):
     source = feeds.orders_feed(spark, folder)

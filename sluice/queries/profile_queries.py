@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sluice.contract import Contract, FieldRule
 from sluice.functions import patterns, predicates
-from sluice.operators import groups, profile, sketches
+from sluice.operators import ground, groups, profile, sketches
 from sluice.queries import feeds, sqltext
 from sluice.queries.sqltext import facts_sql
 from sluice.session import written
@@ -149,6 +149,29 @@ def observed_formats(spark, folder):
 
 
 # -- sensitive scans -------------------------------------------------------------------------
+OBSERVED_FORMATS = FEED_FACTS + f""", formats AS (SELECT col, CASE pattern {_FORMATS} END AS format,
+  ROW_NUMBER() OVER (PARTITION BY col ORDER BY cells DESC, pattern) AS rank FROM shapes WHERE pattern IN ({', '.join(repr(x) for x in patterns.LABEL_FORMATS)}))"""
+
+
+@query(
+    "derived_accept_formats",
+    OBSERVED_FORMATS + """, ranked AS (SELECT f.*, FIRST_VALUE(format) OVER (PARTITION BY col ORDER BY rank) AS top FROM formats f)
+SELECT r.col AS field, r.top AS format, COALESCE(STRING_AGG(r.format, ',' ORDER BY rank) FILTER (WHERE r.format <> r.top), '') AS accept_formats
+FROM ranked r JOIN vote v ON v.col = r.col WHERE v.inferred_type = 'date' GROUP BY r.col, r.top""",
+)
+def derived_accept_formats(spark, folder):
+    """Every column is drafted as a date of its most frequent format: where that is grounded, the other observed formats are accepted too."""
+    df = feeds.orders_feed(spark, folder).select(*feeds.ORDER_NAMES)
+    counts = feed_counts(spark, folder)[1]
+    facts = written(profile.column_facts(counts), "facts")
+    formats = ground.observed_formats(facts)
+    shown = profile.column_profile(df, counts, facts, Contract())
+    top = formats.filter("rank = 1").select(F.col("column").alias("field"), "format")
+    each = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(None).cast("string").alias("item"), v.alias("value")) for r, v in (("type", F.lit("date")), ("format", F.col("format")))])
+    draft = top.select("field", F.inline(each))
+    return ground.derived_formats(draft, shown, ground.observed_values(shown), formats).withColumn("accept_formats", F.array_join("accept_formats", ","))
+
+
 def sensitive_scan_query(table):
     def run(spark, folder):
         return profile.sensitive_hits(profile.column_facts(counted(spark, folder, table)))

@@ -419,6 +419,36 @@ def rule_grounding(spark, folder):
     return ground.ground_rules(draft, shown, ground.observed_values(shown), formats)
 
 
+# Drafted spellings of the market segments, the same for every nation: what a nation doesn't show is refused there.
+SPELLINGS = (
+    (0, "BUILDING", ["MACHINERY", "BUILDING", "MACHINERY"]), (1, "MACHINERY", ["AUTOMOBILE"]), (2, "FURNITURE", ["MACHINERY", "HOUSEHOLD"]),
+    (3, "AUTOMOBILE", ["BUILDING"]), (4, "AUTOMOBILE", ["FURNITURE", "HOUSEHOLD"]), (5, "HOUSEHOLD", ["UNHEARD"]),
+)
+_ENTRIES = ", ".join(f"({p}, '{t}', [{', '.join(repr(a) for a in dict.fromkeys(aliases))}])" for p, t, aliases in SPELLINGS)
+
+
+@query(
+    "alias_grounding",
+    f"""WITH RECURSIVE shown AS (SELECT c_nationkey AS field, list(DISTINCT c_mktsegment) AS vals FROM customer GROUP BY 1),
+e AS (SELECT * FROM (VALUES {_ENTRIES}) AS v(position, target, aliases)),
+st AS (
+  SELECT field, vals, -1 AS position, CAST([] AS VARCHAR[]) AS targets, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS target, CAST([] AS VARCHAR[]) AS kept, CAST(NULL AS VARCHAR) AS status FROM shown
+  UNION ALL
+  SELECT field, vals, position, CASE WHEN status = 'ACCEPTED' THEN list_append(targets, target) ELSE targets END,
+    CASE WHEN status = 'ACCEPTED' THEN list_concat(taken, free) ELSE taken END, target, CASE WHEN status = 'ACCEPTED' THEN free ELSE CAST([] AS VARCHAR[]) END, status
+  FROM (SELECT *, CASE WHEN NOT list_has_all(vals, list_append(aliases, target)) THEN 'REJECTED' WHEN len(free) > 0 AND NOT list_contains(taken, target) THEN 'ACCEPTED' ELSE 'SKIPPED' END AS status
+    FROM (SELECT st.field, st.vals, st.targets, st.taken, e.position, e.target, e.aliases,
+      list_filter(e.aliases, lambda a: a <> e.target AND NOT list_contains(st.taken, a) AND NOT list_contains(st.targets, a)) AS free FROM st JOIN e ON e.position = st.position + 1)))
+SELECT field, position, target, array_to_string(kept, ',') AS aliases, status FROM st WHERE position >= 0""",
+)
+def alias_grounding(spark, folder):
+    customers = read_table(spark, folder, "customer")
+    shown = customers.select(F.col("c_nationkey").alias("column"), F.col("c_mktsegment").alias("value")).distinct()
+    entries = spark.createDataFrame(list(SPELLINGS), "position int, target string, aliases array<string>")
+    drafted = customers.select(F.col("c_nationkey").alias("field")).distinct().join(F.broadcast(entries))
+    return ground.ground_aliases(drafted, shown).withColumn("aliases", F.array_join("aliases", ","))
+
+
 def part_profile(spark, folder):
     from sluice.contract import Contract
     from sluice.operators import profile

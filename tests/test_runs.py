@@ -191,3 +191,16 @@ def test_repeated_call_ids_keep_one_row_per_proposal(spark):
     calls = spark.createDataFrame([("c1", "F", "h"), ("c1", "G", "h"), ("c1", "F", "h"), ("c2", "G", "x")], "call_id string, finding_id string, input_hash string")
     got = sorted(tuple(r) for r in runs.proposals_against_calls(proposals, calls).collect())
     assert got == [("p1", True, True, True), ("p2", True, False, False), ("p3", False, False, False)]
+
+
+def test_alias_grounding_keeps_the_first_owner(spark):
+    shown = spark.createDataFrame([("c", v) for v in "abcdef"], "column string, value string")
+    drafted = [
+        ("c", 0, "a", ["b", "b", "a"]), ("c", 1, "b", ["c"]), ("c", 2, "d", ["b", "c"]), ("c", 3, "e", ["a", "d"]), ("c", 4, "f", ["zz"]), ("c", 5, "f", []), ("none", 0, "a", ["b"]),
+    ]
+    entries = spark.createDataFrame(drafted, "field string, position int, target string, aliases array<string>").repartition(3)
+    got = {(r["field"], r["position"]): (r["aliases"], r["status"]) for r in ground.ground_aliases(entries, shown).collect()}
+    assert got == {
+        ("c", 0): (["b"], "ACCEPTED"), ("c", 1): ([], "SKIPPED"), ("c", 2): (["c"], "ACCEPTED"), ("c", 3): ([], "SKIPPED"), ("c", 4): ([], "REJECTED"),
+        ("c", 5): ([], "SKIPPED"), ("none", 0): ([], "REJECTED"),
+    }
