@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from sluice.contract import Contract, canonical_json
 from sluice.functions.hashing import fingerprint
-from sluice.operators import decide, detect, groups, metrics, profile, release
+from sluice.operators import decide, detect, groups, metrics, profile, release, runs
 from sluice.operators.decide import ChangeSet, GovernanceError
 from sluice.operators.detect import Knowledge
 from sluice.session import together, written
@@ -224,6 +225,9 @@ def execute(plan: DryRun, source: DataFrame | None = None) -> Release:
     if source is not None:
         if detect.data_columns(source) != known.columns:
             raise GovernanceError("SOURCE_ARTIFACT_CHANGED", detect.data_columns(source), known.columns)
+        foreign = source.join(analysis.annotated.select("record_uid"), "record_uid", "left_anti").limit(5).select("record_uid").collect()
+        if foreign:  # records that the approved findings never saw
+            raise GovernanceError("FOREIGN_RECORDS", [row["record_uid"] for row in foreign], [])
         claims = analysis.annotated.select("ordinal", "claims")
         rows = release.applied(source.join(claims, "ordinal", "left").withColumn("claims", F.coalesce("claims", F.array().cast(detect.CLAIM_SCHEMA))), changes, known)
     whole = ["record_uid", *known.columns]
@@ -333,6 +337,40 @@ def candidate_profile(outcome: Release, counts: DataFrame) -> DataFrame:
     return profile.column_profile(outcome.candidate, after, written(profile.column_facts(after), "facts"), outcome.plan.analysis.contract)
 
 
+def release_facts(analysis: Analysis, outcome: Release | None = None, call_count: int | None = None) -> DataFrame:
+    """(fact_id, value): counts, statuses, identifiers and scores of a run as text, never a value of the data; null where a metric doesn't apply."""
+    contract = analysis.contract
+    spark = analysis.source.sparkSession
+
+    def risk(level: str) -> Column:
+        return F.count_if(F.col("risk_level") == level)
+
+    def scores(scored: DataFrame, prefix: str) -> list[DataFrame]:
+        each = scored.select(F.concat(F.lit(f"{prefix}metric_"), "metric").alias("fact_id"), F.when(F.col("applicable"), F.col("score")).cast("string").alias("value"))
+        return [each, runs.named_facts(metrics.overall_score(scored, contract).withColumnRenamed("overall_score", f"{prefix}overall_score"))]
+
+    found = analysis.findings.agg(
+        F.count("*").alias("finding_total"), risk("HIGH").alias("finding_high"), risk("MEDIUM").alias("finding_medium"), risk("LOW").alias("finding_low"),
+        F.count_if("blocking").alias("blocking_open"),
+    )
+    fixed = {"contract_id": contract.id, "contract_version": contract.version, "column_count": len(analysis.columns)}
+    parts = [
+        runs.named_facts(analysis.source.agg(F.count("*").alias("record_count"))), runs.named_facts(found), *scores(analysis.metrics, ""),
+    ]
+    if call_count is not None:
+        fixed["ai_call_count"] = call_count
+    if outcome is None:
+        parts.append(runs.named_facts(detect.initial_status(analysis.findings, contract).select("release_status")))
+    else:
+        totals = outcome.plan.totals
+        fixed |= {"release_status": outcome.status, "eligible_record_count": totals["eligible"], "excluded_column_count": len(outcome.plan.changes.excluded_columns)}
+        fixed |= {f"{kind}_record_count": totals[kind] for kind in ("quarantined", "excluded", "flagged")}
+        fixed |= {"validations_passed": sum(c[1] for c in outcome.checks), "validations_total": len(outcome.checks)}
+        parts += scores(candidate_metrics(outcome), "candidate_")
+    parts.append(spark.createDataFrame([(k, str(v)) for k, v in fixed.items()], "fact_id string, value string"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def verify(outcome: Release, source: DataFrame, decisions: DataFrame, stored: dict[str, str]) -> list[tuple[str, bool, Any, Any]]:
     """Recompute every fingerprint of a finished run and execute it again.
 

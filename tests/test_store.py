@@ -159,3 +159,20 @@ def test_masked_edits_move_counts_too(spark):
     moved = gate.edited_counts(made, gate.profiled(source)[0])
     fresh = gate.profiled(made.candidate)[0]
     assert moved.exceptAll(fresh.select(*moved.columns)).isEmpty() and moved.count() == fresh.count() == 5
+
+
+def test_foreign_records_are_refused(spark, outcome):
+    source = outcome.plan.analysis.source
+    other = source.withColumn("record_uid", F.when(F.col("ordinal") == 4, "f" * 24).otherwise(F.col("record_uid")))
+    with pytest.raises(GovernanceError) as error:
+        gate.execute(outcome.plan, other)
+    assert error.value.code == "FOREIGN_RECORDS"
+
+
+def test_facts_name_every_score(spark, outcome):
+    facts = {r["fact_id"]: r["value"] for r in gate.release_facts(outcome.plan.analysis, outcome, 2).collect()}
+    assert len(facts) == 28 and facts["validations_passed"] == facts["validations_total"] == "14" and facts["ai_call_count"] == "2"
+    assert {f"candidate_metric_{m}" for m in ("completeness", "validity", "consistency", "uniqueness")} <= set(facts)
+    assert float(facts["candidate_overall_score"]) >= float(facts["overall_score"])
+    before = {r["fact_id"]: r["value"] for r in gate.release_facts(outcome.plan.analysis).collect()}
+    assert before["release_status"] == "BLOCKED" and "validations_passed" not in before and len(before) == 15
