@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -145,60 +146,16 @@ class Contract:
             raise ContractError("CONTRACT_SCHEMA_INVALID", "a contract is an object")
         return Contract.from_dict(raw)
 
-    def as_dict(self) -> dict[str, Any]:
-        """What ``from_dict`` reads back as an equal contract."""
-        return {
-            "id": self.id, "version": self.version, "business_key": self.business_key,
-            "fields": {name: rule.as_dict() for name, rule in self.fields.items()},
-            "ambiguity_registry": self.ambiguity_registry, "score": {"weights": self.weights, "version": self.score_version},
-            "auto_authorization": self.auto, **self.titles,
-        }
-
     # -- rules about rules -----------------------------------------------------------------
     def check(self) -> None:
-        def need(ok: bool, code: str, message: str) -> None:
-            if not ok:
-                raise ContractError(code, message)
-
-        need(len(self.fields) <= MAX_FIELDS, "CONTRACT_TOO_MANY_FIELDS", str(len(self.fields)))
-        need(
-            set(self.weights) == set(DEFAULT_WEIGHTS)
-            and all(weight >= 0 for weight in self.weights.values()),
-            "CONTRACT_SCHEMA_INVALID",
-            "unknown or negative weight",
-        )
-        need(sum(self.weights.values()) > 0, "CONTRACT_WEIGHTS_INVALID", "weights sum to zero")
-        need(set(self.auto) <= set(AUTO_FLAGS), "CONTRACT_SCHEMA_INVALID", "unknown authorization")
-        need(all(k.strip() for k in self.business_key), "CONTRACT_SCHEMA_INVALID", "blank key column")
+        """Raise for the first rule of CONTRACT_FAULTS or FIELD_FAULTS that something breaks."""
+        for code, broken in CONTRACT_FAULTS:
+            for what in broken(self):
+                raise ContractError(code, what)
         for name, rule in self.fields.items():
-            need(bool(name.strip()), "CONTRACT_FIELD_NAME_INVALID", "blank field name")
-            need(rule.type is None or rule.type in FIELD_TYPES, "CONTRACT_SCHEMA_INVALID", f"{name}: type")
-            need(rule.max_length is None or rule.max_length >= 0, "CONTRACT_SCHEMA_INVALID", f"{name}: max_length")
-            need(len(rule.allowed or []) <= MAX_ALLOWED, "CONTRACT_TOO_MANY_ALLOWED", name)
-            listed = [(alias, target) for target, names in rule.canonical.items() for alias in names]
-            need(len(listed) <= MAX_ALIASES, "CONTRACT_TOO_MANY_ALIASES", name)
-            for alias, target in listed:
-                need(rule.aliases[alias] == target, "CONTRACT_ALIAS_CONFLICT", f"{name}: {alias}")
-                need(
-                    alias == target or alias not in rule.canonical,
-                    "CONTRACT_ALIAS_CONFLICT",
-                    f"{name}: {alias} is also a target",
-                )
-            if rule.pattern is not None:
-                try:
-                    re.compile(rule.pattern)
-                except re.error as error:
-                    raise ContractError("CONTRACT_PATTERN_INVALID", f"{name}: {error}") from error
-            formats = [*([rule.format] if rule.format is not None else []), *rule.accept_formats]
-            need(all("%" in fmt for fmt in formats), "CONTRACT_FORMAT_INVALID", f"{name}: not strptime")
-            need(not formats or rule.is_date, "CONTRACT_FORMAT_INVALID", f"{name}: format without date type")
-            if rule.min is not None and rule.max is not None:
-                need(rule.min <= rule.max, "CONTRACT_RANGE_INVALID", name)
-            if rule.consistent_with is not None:
-                need(rule.consistent_with.get("column") != name, "CONTRACT_CONSISTENCY_INVALID", name)
-                need(bool(rule.canonical), "CONTRACT_CONSISTENCY_INVALID", f"{name}: needs canonical")
-        for column, tokens in self.ambiguity_registry.items():
-            need(len(tokens) <= MAX_AMBIGUITY, "CONTRACT_TOO_MANY_AMBIGUITY_TOKENS", column)
+            for code, faulty in FIELD_FAULTS:
+                if faulty(name, rule):
+                    raise ContractError(code, name)
 
     # -- reading rules ---------------------------------------------------------------------
     @property
@@ -276,3 +233,46 @@ class Contract:
             "column string, required boolean, unique boolean, sensitive boolean, semantic boolean, "
             "type string, format string, min double, max double, max_length int, pattern string",
         )
+
+
+def double_terms(rule: FieldRule) -> set[str]:
+    """Aliases with two targets, and aliases that are themselves the target of others."""
+    owners: dict[str, set[str]] = {}
+    for target, names in rule.canonical.items():
+        for name in names:
+            owners.setdefault(name, set()).add(target)
+    return {term for term, targets in owners.items() if len(targets) > 1 or targets != {term} and term in rule.canonical}
+
+
+def unreadable(pattern: str) -> bool:
+    try:
+        re.compile(pattern)
+    except re.error:
+        return True
+    return False
+
+
+def formats_of(rule: FieldRule) -> list[str]:
+    return [fmt for fmt in (rule.format, *rule.accept_formats) if fmt is not None]
+
+
+# What a contract as a whole must not have: (code, offenders).
+CONTRACT_FAULTS: tuple[tuple[str, Callable[[Contract], list[str]]], ...] = (
+    ("CONTRACT_TOO_MANY_FIELDS", lambda c: list(c.fields)[MAX_FIELDS:]),
+    ("CONTRACT_SCHEMA_INVALID", lambda c: sorted(c.weights.keys() ^ DEFAULT_WEIGHTS.keys()) + [n for n, w in c.weights.items() if not w >= 0]),
+    ("CONTRACT_WEIGHTS_INVALID", lambda c: [] if any(w > 0 for w in c.weights.values()) else ["no weight above zero"]),
+    ("CONTRACT_SCHEMA_INVALID", lambda c: sorted(c.auto.keys() - set(AUTO_FLAGS)) + [f"key column {k!r}" for k in c.business_key if not k.strip()]),
+    ("CONTRACT_TOO_MANY_AMBIGUITY_TOKENS", lambda c: [n for n, tokens in c.ambiguity_registry.items() if len(tokens) > MAX_AMBIGUITY]),
+)
+# What a field must not have: (code, whether it has).
+FIELD_FAULTS: tuple[tuple[str, Callable[[str, FieldRule], bool]], ...] = (
+    ("CONTRACT_FIELD_NAME_INVALID", lambda name, r: name.strip() == ""),
+    ("CONTRACT_SCHEMA_INVALID", lambda name, r: r.type not in (None, *FIELD_TYPES) or (r.max_length or 0) < 0),
+    ("CONTRACT_TOO_MANY_ALLOWED", lambda name, r: len(r.allowed or ()) > MAX_ALLOWED),
+    ("CONTRACT_TOO_MANY_ALIASES", lambda name, r: sum(map(len, r.canonical.values())) > MAX_ALIASES),
+    ("CONTRACT_ALIAS_CONFLICT", lambda name, r: bool(double_terms(r))),
+    ("CONTRACT_PATTERN_INVALID", lambda name, r: r.pattern is not None and unreadable(r.pattern)),
+    ("CONTRACT_FORMAT_INVALID", lambda name, r: any("%" not in f for f in formats_of(r)) or bool(formats_of(r)) and not r.is_date),
+    ("CONTRACT_RANGE_INVALID", lambda name, r: None not in (r.min, r.max) and r.min > r.max),
+    ("CONTRACT_CONSISTENCY_INVALID", lambda name, r: r.consistent_with is not None and (r.consistent_with.get("column") == name or not r.canonical)),
+)
