@@ -1,16 +1,21 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is lower-cased and its white space dropped. Every ``GRAM`` neighbouring characters are hashed
-(fewer characters make one gram of all of them), and every window of ``WINDOW`` neighbouring grams (or all,
-if there are fewer) gives its smallest hash, the rightmost of equal ones, with its position among the
-characters that are left. Any run of ``GRAM + WINDOW - 1`` such characters shared by two texts therefore
-leaves a shared hash, in any script and with or without white space. A selected gram is one long: 40 bits
-of hash, then 24 bits that fall with the position, so that the minimum of a window is the rightmost of
-equal hashes; positions of texts over 16,777,216 characters begin again at 0.
+A text loses its white space and is lower-cased (a final sigma as any other), character by character, so
+that a joined text is spelled as its parts are. The hash of every ``GRAM`` neighbouring code points is rolled
+up from its neighbours: pairs from single code points, fours from pairs, and so on, as a polynomial modulo a
+prime, mixed at the end. Fewer characters make one gram of all of them. Every window of ``WINDOW`` neighbouring
+grams (or all, if there are fewer) gives its smallest hash, the rightmost of equal ones, with its position among
+the characters that are left. Any run of ``GRAM + WINDOW - 1`` such characters shared by two texts therefore
+leaves a shared hash, in any script and with or without white space. A selected gram is one long: 33 bits of
+hash, then 31 bits that fall with the position, so that the minimum of a window is the rightmost of equal
+hashes. An array has fewer elements than 31 bits count, so positions never begin again.
+
+A text is fingerprinted once: windows inside the part that an edit leaves are the edited text's too, and only
+windows that reach over the cut are selected anew. The next document's fingerprint comes from the row after.
 
 Defined results: null and empty texts have an empty fingerprint, and two empty ones are alike (1.0);
 rows that repeat (same id and text) are one document in the order of documents but keep their rows;
-rows sharing an id are ordered by a hash of their text; null ids come first (and stand for the smallest long); a lone document is its
+rows sharing an id are ordered by a hash of their text; null ids come first; a lone document is its
 own next. Only doc_id and text are read.
 """
 
@@ -25,8 +30,11 @@ from sluice.session import written
 
 GRAM = 5
 WINDOW = 8
-POSITION_BITS = 24
+POSITION_BITS = 31
 POSITIONS = (1 << POSITION_BITS) - 1
+PRIME = (1 << 31) - 1
+BASE = 1_000_003
+KEY = ["has_id", "id", "hash"]  # the order of documents
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -34,17 +42,38 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def grams(characters: Column, k: int) -> Column:
-    """Hashes of every k neighbouring characters; of all of them if there are fewer."""
+def spelling(text: Column) -> Column:
+    """The text without white space, lower-cased character by character."""
+    return F.replace(F.lower(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")), F.lit("ς"), F.lit("σ"))
 
-    def rolled(hashes: Column) -> Column:
-        n = F.size(hashes)
-        at_gram = lambda x, i: F.xxhash64(x, *[F.get(hashes, i + j) for j in range(1, k)])
-        return F.when(n >= k, F.transform(F.slice(hashes, F.lit(1), F.greatest(n - (k - 1), F.lit(0))), at_gram)).when(
-            n > 0, F.array(F.xxhash64(F.to_json(hashes)))
-        ).otherwise(F.array().cast("array<bigint>"))
 
-    return let(F.transform(characters, lambda c: F.xxhash64(c)), rolled)
+def power(k: int) -> int:
+    return pow(BASE, k, PRIME)
+
+
+def joined(left: Column, right: Column, size: int) -> Column:
+    """The rolled value of two neighbouring runs of characters, the right one of ``size`` characters."""
+    return left * F.lit(power(size)).cast("long") % F.lit(PRIME).cast("long") + right
+
+
+def grams(codes: Column, k: int) -> Column:
+    """Rolled values of every k neighbouring code points; of all of them if there are fewer."""
+
+    def widen(level: Column, width: int) -> Column:
+        if width == k:
+            return level
+        reach = min(width, k - width)
+        if reach == width:
+            wider = lambda x, i: joined(x, F.get(level, i + width), width)
+            return let(F.transform(level, wider), lambda v: widen(v, 2 * width))
+        # what is left of k: single code points, one after the other
+        wider = lambda x, i: joined(x, F.get(codes, i + width), 1)
+        return let(F.transform(level, wider), lambda v: widen(v, width + 1))
+
+    n = F.size(codes)
+    return F.when(n >= k, F.slice(widen(codes, 1), F.lit(1), F.greatest(n - (k - 1), F.lit(0)))).when(
+        n > 0, F.array(F.reduce(codes, F.lit(0).cast("long"), lambda whole, x: joined(whole, x, 1)))
+    ).otherwise(F.array().cast("array<bigint>"))
 
 
 def minima(values: Column, w: int) -> Column:
@@ -61,15 +90,18 @@ def minima(values: Column, w: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def selected(text: Column, k: int = GRAM, w: int = WINDOW) -> Column:
-    """The winnowed grams of a text as packed longs, in the order of their positions."""
-    characters = F.filter(F.split(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", ""), ""), lambda x: x != "")
+def selected(spelled_text: Column, k: int = GRAM, w: int = WINDOW, start: Column | None = None) -> Column:
+    """The winnowed grams of a spelling as packed longs, in the order of their positions, which count from ``start``."""
+    characters = F.when(spelled_text == "", F.array().cast("array<string>")).otherwise(F.split(spelled_text, ""))
+    codes = F.transform(characters, lambda c: F.ascii(c).cast("long"))
+    first = F.lit(0) if start is None else start
 
-    def packed(hashes: Column) -> Column:
-        mask = ~POSITIONS
-        return F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(POSITIONS) - i.cast("long").bitwiseAND(F.lit(POSITIONS))))
+    def packed(values: Column) -> Column:
+        mask = F.lit(~POSITIONS).cast("long")
+        last = F.lit(POSITIONS).cast("long") - first
+        return F.transform(values, lambda v, i: F.xxhash64(v).bitwiseAND(mask) + (last - i))
 
-    return let(grams(characters, k), lambda g: let(packed(g), lambda v: F.array_distinct(minima(v, w))))
+    return let(codes, lambda c: let(grams(c, k), lambda g: let(packed(g), lambda v: F.array_distinct(minima(v, w)))))
 
 
 def hash_of(packed: Column) -> Column:
@@ -100,55 +132,79 @@ def likeness(one: Column, other: Column) -> Column:
 
 def fingerprints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
     """``doc_id`` and the selected grams with their character positions."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = spelling(F.coalesce(F.col("text"), F.lit("")))
     pairs = F.transform(selected(text, k, w), lambda v: F.struct(hash_of(v).alias("hash"), position_of(v).alias("position")))
     return docs.select("doc_id", pairs.alias("fingerprint"))
 
 
-def following(keys: DataFrame, order: list[str]) -> DataFrame:
-    """(order columns, next: struct): each distinct key with the next one, the last with the first.
+def runs(keys: DataFrame) -> DataFrame:
+    """KEY and homes: for each key the run of neighbouring keys that it belongs to, and as guest the run before.
 
-    A range shuffle of the narrow keys; only one row per partition meets in a single task.
+    A range shuffle of the narrow keys; only the first key of each run meets in a single task. The first
+    key of all is the guest of the last run.
     """
-    key = F.struct(*order)
-    ranged = written(keys.distinct().repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "following")
-    firsts = ranged.groupBy("part").agg(F.min(key).alias("first"))
-    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = firsts.select("part", F.coalesce(F.lead("first").over(Window.orderBy("part")), F.first("first").over(whole)).alias("after"))
-    inside = F.lead(key).over(Window.partitionBy("part").orderBy(*order))
-    return ranged.withColumn("inside", inside).join(firsts, "part").select(*keys.columns, F.coalesce("inside", "after").alias("next"))
+    spark = keys.sparkSession
+    count = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(keys.distinct().repartitionByRange(count, *KEY).withColumn("run", F.spark_partition_id()), "runs")
+    firsts = ranged.groupBy("run").agg(F.min(F.struct(*KEY)).alias("first"))
+    whole = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.coalesce(F.lag("run").over(Window.orderBy("run")), F.max("run").over(whole))
+    firsts = firsts.select("first.*", before.alias("before"))
+    home, guest = (F.struct(F.col(c).alias("run"), F.lit(g).alias("guest")) for c, g in (("run", False), ("before", True)))
+    homes = F.when(F.col("before").isNull(), F.array(home)).otherwise(F.array(home, guest))
+    return ranged.join(firsts, KEY, "left").select(*KEY, homes.alias("homes"))
 
 
 def against_edits(docs: DataFrame) -> DataFrame:
     """Every text's fingerprint beside that of its edited text and of the next document's text.
 
-    The edited text has its last quarter replaced by the beginning of the next document. The texts are
-    shuffled once, by their key; both joins read that shuffle.
+    The edited text has its last quarter replaced by the beginning of the next document. Repeated rows are
+    combined before the first shuffle; the second brings neighbours together, each run with the
+    first document of the next one, so that a row finds its next document beside it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    no_id = F.lit(-(1 << 63))
-    # Both joins use exactly these columns, else each would have a shuffle of its own.
-    base = docs.select(text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), no_id).alias("k1"), F.xxhash64(text).alias("k2"))
-    keys = base.select("k1", "k2", (F.char_length("text") / 4).cast("int").alias("quarter"))
-    asks = following(keys, ["k1", "k2"]).select(
-        F.col("next.k1").alias("k1"), F.col("next.k2").alias("k2"), F.struct("k1", "k2").alias("asker"), "quarter"
+    base = docs.select(
+        "doc_id", text.alias("text"), F.col("doc_id").isNotNull().alias("has_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("hash"),
     )
-    told = base.join(asks, ["k1", "k2"]).select(
-        F.col("asker.k1").alias("k1"), F.col("asker.k2").alias("k2"),
-        F.expr("substring(text, 1, quarter)").alias("head"), hashes(selected(F.col("text"))).alias("next_hashes"),
-    )
-    told = told.groupBy("k1", "k2").agg(F.first("head").alias("head"), F.first("next_hashes").alias("next_hashes"))
+    single = base.groupBy(*KEY).agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     n = F.char_length("text")
-    edited = F.concat(F.expr("substring(text, 1, char_length(text) - int(char_length(text) / 4))"), F.col("head"))
-    rows = base.join(told, ["k1", "k2"]).select(
-        F.nullif("k1", no_id).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), "next_hashes",
-        F.struct(selected(F.col("text")).alias("own"), selected(edited).alias("edited")).alias("grams"),
+    placed = single.join(runs(base.select(*KEY)), KEY).select("*", F.inline("homes")).drop("homes")
+    spelt = placed.repartition("run").select(
+        "*", spelling(F.col("text")).alias("spelled"),
+        F.char_length(spelling(F.expr("substring(text, 1, char_length(text) - int(char_length(text) / 4))"))).alias("m"),
+    )
+    # Windows that begin at or after `start` reach over the cut at m; without one before it the whole text does.
+    sure = F.col("m") >= GRAM + WINDOW - 1
+    start = F.when(sure, F.col("m") - (GRAM + WINDOW - 2)).otherwise(F.lit(0))
+    none = F.array().cast("array<bigint>")
+    parts = spelt.select(
+        "run", "guest", *KEY, "doc_id", "text", "copies", "m", start.alias("start"),
+        F.expr("substring(spelled, 1, m)").alias("stays"), F.col("spelled"),
+    ).select(
+        "run", "guest", *KEY, "doc_id", "text", "copies", "m", "start",
+        F.substring("stays", F.col("start") + 1, F.lit(GRAM + WINDOW)).alias("edge"),
+        F.when(sure, selected(F.col("stays"))).otherwise(none).alias("before"),
+        F.when(sure & (F.char_length("spelled") == F.col("m")), none).otherwise(
+            selected(F.substring("spelled", F.col("start") + 1, F.char_length("spelled")), start=F.col("start"))
+        ).alias("over"),
+    )
+    order = Window.partitionBy("run").orderBy("guest", *KEY)
+    ahead = F.lead(F.struct("text", "before", "over")).over(order)
+    rows = parts.select("*", ahead.alias("next")).where("NOT guest").select(
+        "doc_id", "text", "copies", "m", "start", "edge", "before", "over",
+        F.expr("concat(substring(text, 1, char_length(text) - int(char_length(text) / 4)), substring(next.text, 1, int(char_length(text) / 4)))").alias("edited"),
+        F.concat("edge", spelling(F.expr("substring(next.text, 1, int(char_length(text) / 4))"))).alias("beyond"),
+        F.col("next.before").alias("next_before"), F.col("next.over").alias("next_over"),
     )
-    shown = let(F.col("grams"), lambda g: let(
-        F.struct(hashes(g["own"]).alias("own"), hashes(g["edited"]).alias("edited"), F.col("next_hashes").alias("next")),
+    added = F.when(sure & (F.char_length("beyond") == F.char_length("edge")), none).otherwise(selected(F.col("beyond"), start=F.col("start")))
+    both = lambda one, other: F.array_distinct(F.concat(one, other))
+    shown = let(F.struct(both("before", "over").alias("own"), both(F.col("before"), added).alias("edited"), both("next_before", "next_over").alias("next")), lambda g: let(
+        F.struct(hashes(g["own"]).alias("own"), hashes(g["edited"]).alias("edited"), hashes(g["next"]).alias("next")),
         lambda h: F.struct(
             spelled(g["own"]).alias("fingerprint"), spelled(g["edited"]).alias("edited_fingerprint"),
             likeness(h["own"], h["edited"]).alias("near_edited"), likeness(h["own"], h["next"]).alias("near_next"),
         ),
     ))
-    return rows.select("doc_id", "n_chars", "edited_sha256", F.inline(F.array(shown)))
+    told = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "copies", F.inline(F.array(shown)))
+    return told.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")

@@ -3,11 +3,13 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from itertools import pairwise
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sluice.llm import bpe, decontaminate, katz, licenses, lines, ngram_join, quality, queries, sharding, urls, winnow
@@ -112,6 +114,59 @@ def test_fingerprints_keep_every_window(spark, awkward):
     assert got[1]["fingerprint"] == got[2]["fingerprint"] and got[4]["fingerprint"] == [] and len(got[8]["fingerprint"]) == 1
 
 
+def plain_winnow(text):
+    """(hash, position) by the definition: every window of 8 grams of 5 characters, its smallest hash, rightmost."""
+    codes = [ord(c) for c in re.sub(r"[ \t-\r]+", "", text or "").lower().replace("ς", "σ")]
+    prime, base = (1 << 31) - 1, 1_000_003
+
+    def rolled(run):
+        if len(run) == 5:  # four rolled up from pairs, then the last one
+            four = rolled(run[:2]) * pow(base, 2, prime) % prime + rolled(run[2:4])
+            return four * base % prime + run[4]
+        value = run[0] if len(run) == 2 else 0
+        for c in run[len(run) == 2 :]:
+            value = value * base % prime + c
+        return value
+
+    runs = [codes[i : i + 5] for i in range(len(codes) - 4)] if len(codes) >= 5 else [codes] if codes else []
+    hashed = [xxhash.xxh64_intdigest(rolled(r).to_bytes(8, "little", signed=True), 42) for r in runs]
+    signed = [h - (1 << 64) if h >> 63 else h for h in hashed]
+    tops = [(h >> 31, -i) for i, h in enumerate(signed)]
+    found = {min(tops[i : i + 8]) for i in range(max(1, len(tops) - 7))} if tops else set()
+    return sorted(((h % (1 << 33), -i) for h, i in found), key=lambda x: x[1])
+
+
+def plain_report(rows):
+    """What the edits give, by brute force, for distinct ids."""
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: r[0])
+    out = {}
+    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        quarter = len(text) // 4
+        edited = text[: len(text) - quarter] + after[:quarter]
+        prints = [plain_winnow(t) for t in (text, edited, after)]
+        own, changed, following = ({h for h, _ in p} for p in prints)
+        near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        spelt = [" ".join(f"{h:X}@{p}" for h, p in f) for f in prints[:2]]
+        out[i] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), *spelt, near(own, changed), near(own, following))
+    return out
+
+
+def test_fingerprints_match_brute_force(spark):
+    draw = random.Random(3)
+    letters = "ab \nΣσİ漢😀é\t"
+    rows = [(i, "".join(draw.choice(letters) for _ in range(draw.choice([0, 1, 3, 4, 5, 8, 11, 12, 13, 15, 16, 17, 20, 40, 300])))) for i in range(150)]
+    rows += [(1000, None), (1001, "x" * 500), (1002, " " * 40), (1003, "abcdefghijkl" + " " * 4), (-5, LONG[:3000])]
+    got = winnow.against_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    columns = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    assert {r["doc_id"]: tuple(r[c] for c in columns) for r in got} == plain_report(rows)
+
+
+def test_repeated_rows_are_one_document(spark):
+    rows = [(1, SAME)] * 50 + [(2, NEAR), (2, "other text of the same id"), (None, "without an id")]
+    got = winnow.against_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter(r["doc_id"] for r in got) == {1: 50, 2: 2, None: 1} and len({tuple(r) for r in got}) == 4
+
+
 def test_rightmost_of_equal_hashes(spark):
     text = " ".join(["a"] * 20)  # 16 equal grams, 9 windows of 8
     row = winnow.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
