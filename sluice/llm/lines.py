@@ -1,19 +1,20 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines (between line feeds, white space trimmed, lower-cased) of at least ``SHINGLE`` characters are
-compared; shorter ones have no shingle and always stay. The shingles of a line are the hashes of every
-``SHINGLE`` neighbouring characters. Each of ``BANDS`` bands holds the minima of ``ROWS`` orders of its own,
+Lines (between line feeds, ASCII white space trimmed at both ends, lower-cased) that aren't empty are compared.
+Equal lines of any length are one line with its first place; this needs no shingles. The shingles of a line are
+the hashes of every ``SHINGLE`` neighbouring characters; a shorter line is its own one shingle, so only equal
+lines are alike to it and it has no bands. Each of ``BANDS`` bands holds the minima of ``ROWS`` orders of its own,
 so bands are independent: two lines of Jaccard similarity s agree in one with probability s^4, at s = 0.8
 in some band of 8 with 0.985, at 0.9 with 0.9998. Shingles are hashed in pandas UDFs.
 
-Equal lines are one line with its first place. All lines that share a bucket of a band are linked where
+All lines that share a bucket of a band are linked where
 the exact Jaccard similarity of their shingle sets says so, and connected lines form a component. In
 ``STARS`` rounds every line of a bucket is compared with the bucket's first one; those alike leave, the
 others meet again. Then the lines of a bucket outside its largest component are compared with all lines
 of the bucket in other components, in blocks of ``BLOCK`` lines; pairs in one component need no link. One
 line of a component stays: the one with the smallest doc_id (nulls first) and position.
 
-Defined results: null and empty texts stay as they are; a text from which nothing goes is unchanged;
+Defined results: null and empty texts stay as they are; blank lines are never dropped; a text from which nothing goes is unchanged;
 otherwise the lines that stay are joined by line feeds, and a document that loses all its text goes.
 Rows that repeat entirely (same id and text) count as one document and keep their rows alike. Lines
 are told apart by 64-bit hashes. Only doc_id, text and n_chars (counted anew if there) are touched.
@@ -38,6 +39,7 @@ BANDS = 8
 ROWS = 4
 SIMILARITY = 0.8
 STARS = 2
+BLANKS = " \t\n\v\f\r"  # as in the rest of the subpackage: x20, x09 to x0D
 BLOCK = 1000
 BITMAPS = 256  # of 32 768 bits: 1 MB whatever the table's size
 CHUNK_CHARS = 1 << 16  # hashed at once, so that arrays stay in the processor's cache
@@ -94,8 +96,11 @@ def keys_of(lines: list[str]) -> np.ndarray:
 
 @F.pandas_udf(ArrayType(LongType()))
 def band_keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The keys of a line's bands; none for a line of fewer than SHINGLE characters."""
     for lines in batches:
-        yield pd.Series([key for part in chunks(lines.tolist()) for key in keys_of(part)], dtype=object)
+        held = [line for line in lines if len(line) >= SHINGLE]
+        keys = (key for part in chunks(held) for key in keys_of(part))
+        yield pd.Series([next(keys) if len(line) >= SHINGLE else None for line in lines], dtype=object)
 
 
 @F.pandas_udf(BooleanType())
@@ -124,7 +129,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def exploded(base: DataFrame) -> DataFrame:
     """Lines that are compared, with their places and hashes."""
     lines = base.select("k1", "k2", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "raw"))
-    trimmed = lines.select("k1", "k2", "pos", F.btrim("raw").alias("line")).where(F.char_length("line") >= SHINGLE)
+    trimmed = lines.select("k1", "k2", "pos", F.btrim("raw", F.lit(BLANKS)).alias("line")).where("line <> ''")
     return trimmed.withColumn("h", F.xxhash64("line"))
 
 
@@ -199,7 +204,7 @@ def drops(docs: DataFrame) -> DataFrame:
     base = keyed(docs)
     place = F.struct("k1", "k2", "pos")
     lines = written(
-        exploded(base).select("h", place.alias("place"), band_keys("line").alias("keys"))
+        exploded(base).select("h", place.alias("place"), band_keys("line").alias("keys"))  # no keys below SHINGLE characters
         .groupBy("h").agg(F.min("place").alias("place"), F.count("*").alias("copies"), F.first("keys").alias("keys")),
         "lines",
     )
@@ -226,13 +231,13 @@ def report(docs: DataFrame) -> DataFrame:
     return judged(docs).select(
         F.col("row.doc_id").alias("doc_id"), "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
         F.sha2(F.coalesce("stays", F.lit("")), 256).alias("kept_sha256"),
-        (F.col("dropped").isNotNull() & (F.trim("stays") == "")).alias("emptied"),
+        (F.col("dropped").isNotNull() & (F.btrim("stays", F.lit(BLANKS)) == "")).alias("emptied"),
     )
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated lines; documents left without text go."""
-    rows = judged(docs).where(F.col("dropped").isNull() | (F.trim("stays") != ""))
+    rows = judged(docs).where(F.col("dropped").isNull() | (F.btrim("stays", F.lit(BLANKS)) != ""))
     changed = {"text": F.col("stays")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("dropped").isNull(), F.col("row.n_chars")).otherwise(F.char_length("stays").cast("long"))
