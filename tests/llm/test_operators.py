@@ -372,3 +372,13 @@ def test_pipeline_stages(spark, tmp_path, awkward, labels, items):
         assert out.columns == docs.columns and out.count() <= docs.count(), name
     rows = corpus_pipeline.run(spark, folder).collect()
     assert rows and set(rows[0].asDict()) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+def test_pipeline_of_no_documents(spark, tmp_path, awkward, labels, items):
+    import corpus_pipeline
+
+    folder, before = str(tmp_path), spark.conf.get(corpus_pipeline.BATCH)
+    awkward.where("false").write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    items.write.parquet(f"{folder}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0 and spark.conf.get(corpus_pipeline.BATCH) == before
