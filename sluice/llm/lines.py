@@ -7,12 +7,14 @@ lines are alike to it and it has no bands. Each of ``BANDS`` bands holds the min
 so bands are independent: two lines of Jaccard similarity s agree in one with probability s^4, at s = 0.8
 in some band of 8 with 0.985, at 0.9 with 0.9998. Shingles are hashed in pandas UDFs.
 
-All lines that share a bucket of a band are linked where
-the exact Jaccard similarity of their shingle sets says so, and connected lines form a component. In
-``STARS`` rounds every line of a bucket is compared with the bucket's first one; those alike leave, the
-others meet again. Then the lines of a bucket outside its largest component are compared with all lines
+The minima also give a sketch: two bits of each. Lines whose sketches agree in fewer than ``AGREE`` places are
+left out (similarity 0.8 keeps a pair of a shared band with 0.997), all others are told by the exact Jaccard
+similarity of their shingle sets; connected lines form a component. Only keys that several lines share are kept.
+In ``STARS`` rounds every line of a bucket is held against the bucket's first one; those that agree leave, the
+others meet again. Then the lines of a bucket outside its largest component are held against all lines
 of the bucket in other components, in blocks of ``BLOCK`` lines; pairs in one component need no link. One
-line of a component stays: the one with the smallest doc_id (nulls first) and position.
+line of a component stays: the one with the smallest doc_id (nulls first) and position. Texts of lines are
+fetched for pairs that agree, twice in all; the tables of a run are deleted when its decisions are written.
 
 Defined results: null and empty texts stay as they are; blank lines are never dropped; a text from which nothing goes is unchanged;
 otherwise the lines that stay are joined by line feeds, and a document that loses all its text goes.
@@ -22,6 +24,7 @@ are told apart by 64-bit hashes. Only doc_id, text and n_chars (counted anew if
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +35,17 @@ from pyspark.sql.types import ArrayType, BooleanType, LongType
 
 from sluice.llm.common import components
 from sluice.llm.winnow import let
-from sluice.session import written
+from sluice.session import SCRATCH, scratch, work_folder, written
 
 SHINGLE = 5
 BANDS = 8
 ROWS = 4
 SIMILARITY = 0.8
-STARS = 2
+STARS = 3
+AGREE = 22  # of the BANDS * ROWS places of a sketch
 BLANKS = " \t\n\v\f\r"  # as in the rest of the subpackage: x20, x09 to x0D
 BLOCK = 1000
-BITMAPS = 256  # of 32 768 bits: 1 MB whatever the table's size
+BITMAP_ROWS = 1 << 18  # of 64 bits each, whatever the table's size
 CHUNK_CHARS = 1 << 16  # hashed at once, so that arrays stay in the processor's cache
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 ORDERS = np.random.default_rng(10).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,27 +86,37 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keys_of(lines: list[str]) -> np.ndarray:
-    """A key per line and band: a hash of the minima in the band's orders."""
+    """A key per line and band, a hash of the minima in the band's orders, and last the sketch: two bits of every minimum."""
     hashes, begins = shingles(lines)
-    ordered, out = np.empty_like(hashes), np.empty((len(lines), BANDS), np.uint64)
+    ordered, out = np.empty_like(hashes), np.empty((len(lines), BANDS + 1), np.uint64)
+    sketch = np.zeros(len(lines), np.uint64)
     for band in range(BANDS):
         key = np.full(len(lines), band, np.uint64)
         for order in ORDERS[band * ROWS : (band + 1) * ROWS]:
             np.multiply(hashes, order, out=ordered)
-            key = mixed(key * MIX[1] + np.minimum.reduceat(ordered, begins))
+            least = np.minimum.reduceat(ordered, begins)
+            key = mixed(key * MIX[1] + least)
+            sketch = sketch << np.uint64(2) | mixed(least) & np.uint64(3)
         out[:, band] = key
+    out[:, BANDS] = sketch
     return out.view(np.int64)
 
 
 @F.pandas_udf(ArrayType(LongType()))
 def band_keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The keys of a line's bands; none for a line of fewer than SHINGLE characters."""
+    """The keys of a line's bands and its sketch; none for a line of fewer than SHINGLE characters."""
     for lines in batches:
         held = [line for line in lines if len(line) >= SHINGLE]
         keys = (key for part in chunks(held) for key in keys_of(part))
         yield pd.Series([next(keys) if len(line) >= SHINGLE else None for line in lines], dtype=object)
 
 
+def agree(one: str, other: str) -> Column:
+    """Whether two sketches hold the same two bits in at least AGREE places; a missing one agrees with all."""
+    odd = F.expr(f"shiftrightunsigned({one} ^ {other}, 1) | ({one} ^ {other})").bitwiseAND(F.lit(0x5555555555555555))
+    return F.coalesce(F.bit_count(odd) <= BANDS * ROWS - AGREE, F.lit(True))
+
+
 @F.pandas_udf(BooleanType())
 def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Whether the shingle sets of two lines have a Jaccard similarity of at least SIMILARITY."""
@@ -133,14 +147,28 @@ def exploded(base: DataFrame) -> DataFrame:
     return trimmed.withColumn("h", F.xxhash64("line"))
 
 
+def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` may be among those of ``wanted``: a bitmap of fixed size spares the shuffle of most others."""
+    part, bit = F.col(column).bitwiseAND(F.lit(BITMAP_ROWS - 1)), F.shiftrightunsigned(column, 18).bitwiseAND(F.lit(63)).cast("int")
+    bits = wanted.select(part.alias("part"), bit.alias("bit")).groupBy("part").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    met = rows.withColumn("part", part).withColumn("bit", bit).join(F.broadcast(bits), "part")
+    return met.where(F.expr("shiftrightunsigned(bits, bit) & 1L = 1L")).select(*rows.columns)
+
+
 def crowded(rows: DataFrame) -> DataFrame:
-    """The rows (key, h) of buckets of several lines, with the bucket's first line."""
-    shared = rows.groupBy("key").agg(F.min("h").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return written(rows.join(shared, "key").select("key", "h", "first"), "buckets")
+    """The rows (key, h, sketch) of buckets of several lines."""
+    shared = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    return written(likely(rows, shared, "key").join(shared, "key"), "buckets")
+
+
+def starred(rows: DataFrame) -> DataFrame:
+    """Rows but the first of every bucket, with the bucket's first line and its sketch."""
+    first = rows.groupBy("key").agg(F.min(F.struct("h", "sketch")).alias("first"))
+    return rows.join(first, "key").select("key", "h", "sketch", F.col("first.h").alias("first"), F.col("first.sketch").alias("first_sketch")).where("h <> first")
 
 
 def apart(rows: DataFrame, linked: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of lines that share a bucket (key, h) but no component of the links."""
+    """Distinct pairs (a, b) of lines that share a bucket (key, h, sketch) and agree but are in no component of the links."""
     told = rows.join(components(linked).withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     counts = told.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("roots")
@@ -149,59 +177,47 @@ def apart(rows: DataFrame, linked: DataFrame) -> DataFrame:
     met = written(told.join(split, "key"), "buckets")
     block = lambda side: F.pmod(F.xxhash64(side), "blocks").cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    outside = met.where("root <> main").select("key", F.col("h").alias("x"), F.col("root").alias("of_x"), block("h").alias("block"), every.alias("turn"))
-    anyone = met.select("key", F.col("h").alias("y"), F.col("root").alias("of_y"), block("h").alias("turn"), every.alias("block"))
-    pairs = outside.join(anyone, ["key", "block", "turn"]).where("of_x <> of_y")
+    outside = met.where("root <> main").select("key", F.col("h").alias("x"), F.col("root").alias("of_x"), F.col("sketch").alias("sketch_x"), block("h").alias("block"), every.alias("turn"))
+    anyone = met.select("key", F.col("h").alias("y"), F.col("root").alias("of_y"), F.col("sketch").alias("sketch_y"), block("h").alias("turn"), every.alias("block"))
+    pairs = outside.join(anyone, ["key", "block", "turn"]).where((F.col("of_x") != F.col("of_y")) & agree("sketch_x", "sketch_y"))
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def bit_of(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(32_767)).cast("int")
-
-
-def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows whose h may be among the wanted: bitmaps of fixed size spare the shuffle of most others."""
-    bitmap = F.expr("bitmap_construct_agg(bit)").alias("bitmap")
-    bitmaps = wanted.select(F.pmod("h", F.lit(BITMAPS)).alias("part"), bit_of(F.col("h")).cast("long").alias("bit")).groupBy("part").agg(bitmap)
-    bit = bit_of(F.col("h"))
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.expr("shiftright(byte, bit % 8) & 1 = 1")
-    met = rows.withColumn("part", F.pmod("h", F.lit(BITMAPS))).join(F.broadcast(bitmaps), "part")
-    return met.withColumn("byte", byte).withColumn("bit", bit).where(is_set).select(*rows.columns)
-
-
 def texts_of(wanted: DataFrame, base: DataFrame) -> DataFrame:
     """(h, line) of the wanted lines (h)."""
-    wanted = written(wanted.distinct(), "lines")
-    texts = likely(exploded(base).select("h", "line"), wanted).groupBy("h").agg(F.first("line").alias("line"))
-    return written(texts.join(wanted, "h", "left_semi"), "lines")
+    texts = likely(exploded(base).select("h", "line"), wanted, "h").groupBy("h").agg(F.first("line").alias("line"))
+    return written(texts.join(wanted, "h", "left_semi"), "texts")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs whose shingle sets have a Jaccard similarity of at least SIMILARITY."""
+def verified(pairs: DataFrame, base: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose shingle sets have a Jaccard similarity of at least SIMILARITY."""
+    pairs = written(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    texts = texts_of(written(pairs.select("a").union(pairs.select("b")).distinct().toDF("h"), "wanted"), base)
     met = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(
         texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b"
     )
-    return met.where(similar("line_a", "line_b")).select("a", "b")
+    return written(met.where(similar("line_a", "line_b")).select("a", "b"), "links")
 
 
 def links(lines: DataFrame, base: DataFrame) -> DataFrame:
     """(a, b): pairs of similar lines that connect all lines of a component."""
-    met = rest = crowded(lines.select("h", F.explode("keys").alias("key")))
-    texts = texts_of(met.select("h"), base)
-    linked = tried = None
+    keyed_lines = lines.where("keys IS NOT NULL").select("h", F.get("keys", F.lit(BANDS)).alias("sketch"), F.explode(F.slice("keys", 1, BANDS)).alias("key"))
+    met = rest = crowded(keyed_lines)
+    tried = None
     for _ in range(STARS):
-        star = written(rest.where("h <> first").select(F.col("h").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
-        alike = written(verified(star, texts), "links")
-        tried, linked = (star, alike) if linked is None else (tried.union(star), linked.union(alike))
-        left = rest.where("h <> first").join(alike.select(F.col("a").alias("h"), F.col("b").alias("first")), ["h", "first"], "left_anti")
-        rest = crowded(left.select("key", "h"))
-    return linked.union(verified(written(apart(met, linked).join(tried, ["a", "b"], "left_anti"), "pairs"), texts))
+        star = written(starred(rest), "stars")
+        alike = star.where(agree("sketch", "first_sketch")).select(F.col("h").alias("a"), F.col("first").alias("b"))
+        tried = alike if tried is None else tried.union(alike)
+        rest = star.where(~agree("sketch", "first_sketch")).select("key", "h", "sketch")
+    tried = written(tried.distinct(), "pairs")
+    linked = verified(tried, base)
+    return linked.union(verified(apart(met, linked).join(tried, ["a", "b"], "left_anti"), base))
 
 
-def drops(docs: DataFrame) -> DataFrame:
-    """(k1, k2, dropped: positions) of documents that lose lines."""
-    base = keyed(docs)
+def stays_of(base: DataFrame) -> DataFrame:
+    """(h, stays: place) of lines that stand several times or are similar to others."""
     place = F.struct("k1", "k2", "pos")
     lines = written(
         exploded(base).select("h", place.alias("place"), band_keys("line").alias("keys"))  # no keys below SHINGLE characters
@@ -210,9 +226,19 @@ def drops(docs: DataFrame) -> DataFrame:
     )
     roots = components(links(lines, base)).select(F.col("node").alias("h"), "root")
     grouped = lines.select("h", "place", "copies").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    stays = grouped.groupBy("root").agg(F.min("place").alias("stays"), F.sum("copies").alias("rows"), F.count("*").alias("forms"))
-    repeated = stays.where("rows > 1").select("root", "stays")
-    told = written(grouped.select("h", "root").join(repeated, "root").select("h", "stays"), "lines")
+    first = grouped.groupBy("root").agg(F.min("place").alias("stays"), F.sum("copies").alias("rows"))
+    return grouped.select("h", "root").join(first.where("rows > 1").select("root", "stays"), "root").select("h", "stays")
+
+
+def drops(docs: DataFrame) -> DataFrame:
+    """(k1, k2, dropped: positions) of documents that lose lines."""
+    base = keyed(docs)
+    path = f"{work_folder(docs.sparkSession)}/{SCRATCH.get()}stays-{uuid.uuid4().hex}"
+    with scratch(docs.sparkSession):
+        told = stays_of(base)
+        told.write.parquet(path)
+    told = docs.sparkSession.read.schema(told.schema).parquet(path)
+    place = F.struct("k1", "k2", "pos")
     goes = exploded(base).select("h", place.alias("place")).join(told, "h").where("place <> stays")
     return goes.groupBy("place.k1", "place.k2").agg(F.sort_array(F.collect_set("place.pos")).alias("dropped"))
 
