@@ -6,8 +6,9 @@ import random
 import re
 import zlib
 from collections import Counter
-from itertools import pairwise
+from itertools import combinations, pairwise
 
+import duckdb
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -346,6 +347,23 @@ def test_lines_of_crowded_buckets(spark, monkeypatch):
     assert len(got) == len(set(root)) and len(set(root)) > 1
 
 
+def test_recall_of_bands_and_sketches():
+    """Every pair of distinct lines whose shingle sets have a similarity of 0.8 or more, by brute force, against bands and sketches."""
+    texts = duckdb.sql("SELECT lower(text) FROM '/root/testdata/sf0.001/documents.parquet' WHERE text IS NOT NULL").fetchall()
+    held = sorted({line for (text,) in texts for raw in text.split("\n") if len(line := raw.strip(lines.BLANKS)) >= lines.SHINGLE})
+    sets = [{line[i : i + lines.SHINGLE] for i in range(len(line) - lines.SHINGLE + 1)} for line in held]
+    keys = lines.keys_of(held)
+    places = lines.BANDS * lines.ROWS
+    found = caught = 0
+    for i, j in combinations(range(len(held)), 2):
+        if 0.8 <= len(sets[i]) / len(sets[j]) <= 1.25 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            found += 1
+            apart = int(keys[i, lines.BANDS]) ^ int(keys[j, lines.BANDS])
+            odd = sum((apart >> (2 * k)) & 3 != 0 for k in range(places))
+            caught += bool((keys[i, : lines.BANDS] == keys[j, : lines.BANDS]).any()) and places - odd >= lines.AGREE
+    assert found > 20 and caught >= 0.95 * found
+
+
 def test_lines_of_awkward_rows(awkward):
     assert lines.report(awkward).count() == len(TEXTS) and lines.dedup(awkward).columns == awkward.columns
 
