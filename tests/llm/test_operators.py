@@ -286,6 +286,35 @@ def test_shards_are_contiguous_and_even(spark, sf_dir, awkward):
     assert by_text(sharding.shards(awkward))[8]["text_crc32"] == zlib.crc32(b"short")
 
 
+def test_shards_by_brute_force(spark, sf_dir):
+    """Every column of every row from running sums in plain Python."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted((r["doc_id"], zlib.crc32(t), len(t) + 16) for r in docs.select("doc_id", "text").collect() for t in [(r["text"] or "").encode()])
+    whole, upto, slots, expected = sum(size for _, _, size in rows), 0, Counter(), []
+    for doc_id, crc, size in rows:
+        shard = (2 * upto + size) * 40 // (2 * whole)
+        expected.append((doc_id, size, crc, "bytes", shard, slots[shard], None))
+        upto += size
+        slots[shard] += 1
+    got = sharding.shards(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == expected
+
+
+def test_licence_base_by_brute_force(spark, sf_dir):
+    """The base columns of every document from a plain walk over its words."""
+    phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    expected = {}
+    for r in docs.select("doc_id", "text").collect():
+        lowered = re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+        places = [(i, label) for phrase, label in phrases.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        starts = [i for i, _ in places]
+        expected[r["doc_id"]] = (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in places})))
+    got = licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == expected and any(e[1] for e in expected.values())
+
+
 def test_licences(awkward):
     got = by_text(licenses.scan(awkward))
     assert (got[13]["base_labels"], got[13]["labels"], got[13]["n_base"]) == ("cc-by,reserved", "cc-by,cc-by-nc-4.0,reserved", 2)
