@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sluice.contract import Contract
 from sluice.operators import detect, release
+from sluice.plans import gate
 from sluice.queries import sqltext
 from sluice.queries.gate_queries import APPLIED, LEDGER, analysed, executed, planned
 from sluice.session import work_folder, written
@@ -198,7 +199,7 @@ def quarantine_precedence(spark, folder):
     """Violations are flagged instead of quarantined: quarantine beats exclusion beats flagging."""
     from sluice.operators import decide
 
-    analysis = analysed(spark, folder)
+    analysis = gate.settled(analysed(spark, folder))
     decisions = decide.default_decisions(analysis.findings)
     flag = F.when(F.col("finding_id").startswith("VAL-"), "FLAG_FOR_REVIEW").otherwise(F.col("outcome"))
     counts = written(detect.claim_counts(analysis.annotated), "claim-counts")
