@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from sluice.contract import Contract
 from sluice.functions import dates, hashing, patterns, text
-from sluice.operators import groups
-from sluice.plans import gate
+from sluice.operators import decide, groups
+from sluice.plans import gate, store
 
 CELLS = [
     None, "", " ", "\t", "　", " x", "~", "!", "é", "a", "\x7f", "\x1f", "a@b.cc", "x @ y", "name: B", "姓名：李", "Patient:x", "note: x", "+65 9123 4567", "+6591234567", "+x",
@@ -74,3 +74,13 @@ def test_rules_are_matched_once(spark):
     assert gate.settled(analysis) is analysis
     assert any("/annotated-" in f for f in analysis.annotated.inputFiles()) and any("/findings-" in f for f in analysis.findings.inputFiles())
     assert {r["finding_id"]: r["affected_record_count"] for r in analysis.findings.collect()}["MISS-a"] == 1
+
+
+def test_stored_ledger_is_packed(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"{i:02x}" * 12, str(i % 3) if i else None) for i in range(9)], "ordinal bigint, record_uid string, a string")
+    contract = Contract.from_dict({"id": "c", "version": "1", "business_key": [], "fields": {"a": {"required": True}}})
+    analysis = gate.settled(gate.analyse(rows, contract))
+    decisions = decide.default_decisions(analysis.findings)
+    run = store.stage(gate.execute(gate.dry_run(analysis, decisions)), decisions, str(tmp_path))
+    assert list(tmp_path.glob("runs/*/artifacts/ledger/*/*.json.gz")) and not list(tmp_path.glob("runs/*/artifacts/ledger/*/*.json"))
+    assert run.table(spark, "ledger").filter("finding_id = 'MISS-a'").count() == 1 and store.differences(spark, run).count() == 0
