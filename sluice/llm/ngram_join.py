@@ -36,13 +36,14 @@ from pyspark.sql import types as T
 
 from sluice.llm.common import components, plain_words
 from sluice.llm.lines import keyed
-from sluice.session import written
+from sluice.session import arrow_batches, written
 
 WORDS = 5
 CELL_BITS = 18
 STEPS = 64  # levels of a cell's count per doubling: a frequent shingle stands out of a well filled cell
 LEVEL_BITS = 12
 LEAF = 32
+BATCH_ROWS = 500  # texts, pairs or leaves (each with LEAF bitmaps) that a Python worker holds at once
 LEVEL = 1.26  # sizes of linked sets differ by 1.25 at most, so their levels by 1
 # Odd multipliers of the words of a shingle, and of the mixing steps.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -326,13 +327,14 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents (k1, k2, doc_id, n, class), and class with its component's first key and smallest id."""
-    rows, counts = first_pass(docs)
-    sets = classes(docs, rare_first(counts))
-    buckets = met_in_buckets(sets)
-    links = written(verified(star_pairs(buckets), sets, docs), "links")
-    roots = components(links)
-    crossing = written(trees(buckets, sets, roots), "crossing")
-    more = written(verified(crossing, sets, docs), "links")
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        rows, counts = first_pass(docs)
+        sets = classes(docs, rare_first(counts))
+        buckets = met_in_buckets(sets)
+        links = written(verified(star_pairs(buckets), sets, docs), "links")
+        roots = components(links)
+        crossing = written(trees(buckets, sets, roots), "crossing")
+        more = written(verified(crossing, sets, docs), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     placed = sets.select("class", "key", "doc_id").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))

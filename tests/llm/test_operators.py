@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sluice.llm import bpe, decontaminate, katz, licenses, lines, ngram_join, quality, queries, sharding, urls, winnow
 
 import katz_plain  # noqa: E402
+from sluice.session import BATCH_CONF  # noqa: E402
 
 LONG = " ".join(f"w{i % 997}" for i in range(30_000))
 SAME = "one two three four five six seven eight nine ten eleven twelve thirteen"
@@ -429,3 +430,21 @@ def test_pipeline_of_no_documents(spark, tmp_path, awkward, labels, items):
     labels.write.parquet(f"{folder}/labels.parquet")
     items.write.parquet(f"{folder}/benchmark.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0 and spark.conf.get(corpus_pipeline.BATCH) == before
+
+
+def limits_of(module, spark, monkeypatch):
+    """Rows a Python worker may hold at once in each table that the module writes, filled while it runs."""
+    held, plain = [], module.written
+
+    def watched(df, name):
+        held.append(int(spark.conf.get(BATCH_CONF)))
+        return plain(df, name)
+
+    monkeypatch.setattr(module, "written", watched)
+    return held
+
+
+def test_join_workers_hold_few_rows(spark, awkward, monkeypatch):
+    held, before = limits_of(ngram_join, spark, monkeypatch), spark.conf.get(BATCH_CONF)
+    assert ngram_join.report(awkward).count() == awkward.count()
+    assert held and max(held) <= ngram_join.BATCH_ROWS and spark.conf.get(BATCH_CONF) == before
