@@ -17,11 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.session import written
+from sluice.session import arrow_batches, written
 
 FILE, BLOCK, ROW = "__file", "__block", "__row"
 LEAF_BYTES = 1 << 20
 FANOUT = 1024
+BATCH_LINES = 500  # lines that a Python worker takes at once: a line of HTML may have some 10 KB
 SENT_BLOCKS = 200_000  # facts of so many blocks (some 10 MB) may be sent to every task
 BOM = b"\xef\xbb\xbf"
 
@@ -159,7 +160,8 @@ def file_trees(spark: SparkSession, path: str, leaf_bytes: int = LEAF_BYTES, fan
         pieces.join(facts.select("id", FILE), "id").groupBy(FILE, F.col("leaf").alias("node"))
         .agg(F.coalesce(F.max("digest"), F.sha2(joined, 256)).alias("digest"))
     )
-    nodes = written(nodes, "leaves")
+    with arrow_batches(spark, BATCH_LINES):
+        nodes = written(nodes, "leaves")
     most = listed.agg(F.max("length")).first()[0] or 0
     levels, width = 0, -(-most // leaf_bytes)
     while width > 1:
@@ -257,7 +259,8 @@ def quoted_records(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     """
     scan = lines(spark, path)
     facts = block_facts(scan)
-    pieces = written(in_order(scan, facts, "inside").mapInArrow(record_pieces(encoding), RECORDS), "records")
+    with arrow_batches(spark, BATCH_LINES):
+        pieces = written(in_order(scan, facts, "inside").mapInArrow(record_pieces(encoding), RECORDS), "records")
     whole = pieces.where("part = -1").join(facts.select("id", FILE, BLOCK), "id").select(FILE, BLOCK, F.col("row").alias(ROW), "text")
     parts = pieces.where("part >= 0").join(facts.select("id", FILE, BLOCK, "owner"), "id")
     owned = parts.withColumn("home", F.when(F.col("part") == 0, F.col(BLOCK)).otherwise(F.col("owner")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sluice.contract import Contract
 from sluice.plans import gate
+from sluice.session import BATCH_CONF
 from sluice.sources import blocks, delimited, logs
 from sluice.sources.delimited import IntakeError
 
@@ -270,3 +271,29 @@ def test_many_tasks_for_a_file_with_quoted_breaks(spark, tmp_path, splits):
     assert blocks.lines(spark, path).rdd.getNumPartitions() > 5
     table = delimited.intake(spark, path)[0]
     assert table.filter("ordinal <> CAST(n AS BIGINT) OR t <> 'two\nlines'").count() == 0 and table.count() == 3000
+
+
+@pytest.mark.parametrize("step", ["record_pieces", "leaf_pieces"])
+def test_workers_hold_few_lines_at_once(spark, tmp_path, monkeypatch, step):
+    make, most = getattr(blocks, step), blocks.BATCH_LINES
+
+    def watched(given):
+        run = make(given)
+
+        def small(batches):
+            for batch in batches:
+                if batch.num_rows > most:
+                    raise ValueError(f"{batch.num_rows} rows at once")
+                yield batch
+
+        return lambda batches: run(small(batches))
+
+    monkeypatch.setattr(blocks, step, watched)
+    before = spark.conf.get(BATCH_CONF)
+    n = 4 * most
+    path = put(tmp_path, "a.csv", "a,b\n" + "".join(f'{i},"x\ny"\n' for i in range(n)))
+    if step == "record_pieces":
+        assert blocks.quoted_records(spark, path, "utf-8").count() == n + 1
+    else:
+        assert blocks.file_trees(spark, path).first()["leaves"] == 1
+    assert spark.conf.get(BATCH_CONF) == before
