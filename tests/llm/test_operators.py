@@ -448,3 +448,9 @@ def test_join_workers_hold_few_rows(spark, awkward, monkeypatch):
     held, before = limits_of(ngram_join, spark, monkeypatch), spark.conf.get(BATCH_CONF)
     assert ngram_join.report(awkward).count() == awkward.count()
     assert held and max(held) <= ngram_join.BATCH_ROWS and spark.conf.get(BATCH_CONF) == before
+
+
+def test_katz_workers_hold_one_block(spark, awkward, monkeypatch):
+    held, before = limits_of(katz, spark, monkeypatch), spark.conf.get(BATCH_CONF)
+    assert katz.score(awkward).count() == awkward.count()
+    assert held and max(held) <= katz.BATCH_BLOCKS and spark.conf.get(BATCH_CONF) == before
