@@ -119,15 +119,30 @@ def blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[
     yield block
 
 
-def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with the struct ``FOUND``: n_words, spans (flat word positions), items (sorted ids)."""
-    kind = "n_words long, spans array<int>, items array<string>"
+def ended(elements: Iterator) -> Iterator[tuple]:
+    """Every element of some, with whether it is the last one."""
+    before = next(elements)
+    for element in elements:
+        yield before, False
+        before = element
+    yield before, True
+
+
+def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False) -> DataFrame:
+    """``docs`` with the struct ``FOUND``: n_words, spans (flat word positions), items (sorted ids), and kept: with
+    ``cut``, a text with hits without its spans, else null.
+
+    The pass over the last block also cuts, so a task needs one Python worker. Spark would run a deterministic
+    function once more, in further workers, for a filter on its result.
+    """
+    kind = "n_words long, spans array<int>, items array<string>, kept string"
     out = docs.withColumn(FOUND, F.lit(None).cast(f"struct<{kind}>"))
-    for number, block in enumerate(blocks(items, block_words)):
+    for number, (block, last) in enumerate(ended(blocks(items, block_words))):
         if number:
             out = written(out, "decontaminate")
         spark = docs.sparkSession
         shared = spark.sparkContext.broadcast(Items(block, window))
+        cuts = cut and last
 
         @F.pandas_udf(kind)
         def found(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
@@ -140,10 +155,11 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
                     if old_spans is not None and len(old_spans):
                         spans = merged([*spans, *zip(old_spans[::2], old_spans[1::2])])
                         ids = ids | set(old_items)
-                    rows.append((len(words), [int(x) for span in spans for x in span], sorted(ids)))
-                yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+                    kept = without(text, spans).decode("utf-8", "replace") if cuts and spans else None
+                    rows.append((len(words), [int(x) for span in spans for x in span], sorted(ids), kept))
+                yield pd.DataFrame(rows, columns=["n_words", "spans", "items", "kept"])
 
-        out = out.withColumn(FOUND, found(utf8(), F.col(FOUND)))
+        out = out.withColumn(FOUND, found.asNondeterministic()(utf8(), F.col(FOUND)))
     return out
 
 
@@ -170,15 +186,9 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage:
 
     ``n_chars``, if there, is counted anew for texts that were cut; null texts stay null.
     """
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([without(t, [list(p) for p in zip(s[::2], s[1::2])]).decode("utf-8", "replace") for t, s in zip(texts, spans)], dtype=object)
-
     spans = F.col(f"{FOUND}.spans")
-    found = scan(docs, items, window).where(hit_words() <= F.col(f"{FOUND}.n_words") * F.lit(max_coverage))
-    text = F.when(F.size(spans) > 0, cut(utf8(), spans)).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
+    out = scan(docs, items, window, cut=True).where(hit_words() <= F.col(f"{FOUND}.n_words") * F.lit(max_coverage))
+    out = out.withColumn("text", F.when(F.size(spans) > 0, F.col(f"{FOUND}.kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -227,6 +227,19 @@ def test_cut_spans(spark):
     assert out["text"] == "Begin here: . And so many other words, that it stays on and on, in full as it is!" and out["n_chars"] == len(out["text"])
 
 
+def test_cutting_takes_one_worker_a_task(awkward, items, capsys):
+    decontaminate.clean(awkward, items).explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
+def test_cut_after_the_last_block(awkward, items):
+    kept = lambda block_words: decontaminate.scan(awkward, items, block_words=block_words, cut=True).select("text", f"{decontaminate.FOUND}.*").collect()
+    assert sorted(map(str, kept(5))) == sorted(map(str, kept(500_000)))
+    for r in kept(5):
+        spans = [list(p) for p in zip(r["spans"][::2], r["spans"][1::2])]
+        assert r["kept"] == (decontaminate.without(r["text"].encode(), spans).decode() if spans else None)
+
+
 def test_hosts_and_rules(spark, labels):
     urls_seen = ["http://A.example.NET/en/1?x", "https://b.net/x", "http://example.com/de/2#t", "x.org/fr/", None, "http://s.org/fr/3", "ftp://h", "http://net/", "http://a.b/en/4?://c"]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls_seen)], "page_id long, url string, host string")
