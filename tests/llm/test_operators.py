@@ -4,11 +4,15 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
+import types
 import zlib
 from collections import Counter
 from itertools import combinations, pairwise
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -467,3 +471,33 @@ def test_katz_workers_hold_one_block(spark, awkward, monkeypatch):
     held, before = limits_of(katz, spark, monkeypatch), spark.conf.get(BATCH_CONF)
     assert katz.score(awkward).count() == awkward.count()
     assert held and max(held) <= katz.BATCH_BLOCKS and spark.conf.get(BATCH_CONF) == before
+
+
+def peak_mb(action):
+    """The most memory that an action holds at once beyond what was there before, and its result."""
+    tracemalloc.start()
+    try:
+        result = action()
+        return tracemalloc.get_traced_memory()[1] / 2**20, result
+    finally:
+        tracemalloc.stop()
+
+
+def test_katz_numbers_keys_like_unique():
+    for keys in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.random.default_rng(1).integers(0, 300, 5000).astype(np.uint64)):
+        _, first, number = np.unique(keys, return_index=True, return_inverse=True)
+        assert all(np.array_equal(x, y) for x, y in zip(katz.numbered(keys), (first, number)))
+
+
+def test_katz_block_memory():
+    rng = np.random.default_rng(2)
+    vocabulary = np.unique(rng.integers(1, 2**63, 50_000, dtype=np.uint64))
+    local = np.minimum(rng.zipf(1.2, 1_000_000), len(vocabulary)) - 1
+    row = types.SimpleNamespace(
+        vocabulary=katz.pack_sorted(vocabulary), local=katz.pack(local.astype(np.uint64), 4), sizes=[1000] * 1000, held_out=[i % 5 == 1 for i in range(1000)]
+    )
+    answers = pd.DataFrame({"bucket": [0], "answer": [katz.pack(np.bincount(local, minlength=len(vocabulary)).astype(np.uint64))]})
+    used, block = peak_mb(lambda: katz.Block(row, answers))
+    assert used < 50  # 65 with np.unique
+    pairs = np.stack([block.history, block.word])[:, block.bigram]
+    assert (pairs[1] == local).all() and (pairs[0][::1000] == len(vocabulary)).all() and (pairs[0][1:1000] == local[:999]).all()
