@@ -34,6 +34,7 @@ NEIGHBOURS = 5
 POWER = 8
 BLOCK = 256
 GOOD = 0.5
+GRAM_ROWS = 1000  # rows taken at once for the terms' Gram matrix
 
 # Term of every byte pair, by multiplicative hashing.
 PAIR_TERM = ((np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)).astype(np.int32) % TERMS
@@ -70,9 +71,13 @@ class Space:
     @classmethod
     def fit(cls, rows: np.ndarray, labels: np.ndarray, dimensions: int) -> Space:
         idf = np.log((1 + len(rows)) / (1 + (rows[:, :TERMS] > 0).sum(0))) + 1
-        weighed = cls.weigh(rows, idf)
-        # Right singular vectors through the terms' Gram matrix, whose size is fixed.
-        values, axes = np.linalg.eigh(weighed.T.astype(np.float64) @ weighed)
+        # Right singular vectors through the terms' Gram matrix, whose size is fixed; the driver widens some rows at a time.
+        weighed = np.empty(rows.shape, np.float32)
+        gram = np.zeros((rows.shape[1],) * 2)
+        for at in range(0, len(rows), GRAM_ROWS):
+            weighed[at : at + GRAM_ROWS] = some = cls.weigh(rows[at : at + GRAM_ROWS], idf)
+            gram += some.T.astype(np.float64) @ some
+        values, axes = np.linalg.eigh(gram)
         axes = axes[:, np.argsort(-values)[:dimensions]].astype(np.float32)
         return cls(idf.astype(np.float32), axes, unit(weighed @ axes), labels.astype(np.float32), float(labels.mean()) if len(labels) else 0.5)
 
@@ -107,7 +112,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions:
     texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", utf8().alias("text"))
     once = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = once.select("label", packed("text").alias("terms"), "doc_id").orderBy("doc_id").toPandas()
-    terms = np.stack([np.frombuffer(t, np.float32) for t in rows["terms"]]) if len(rows) else np.zeros((0, TERMS + 2), np.float32)
+    terms = np.stack([np.frombuffer(t, np.float32) for t in rows.pop("terms")]) if len(rows) else np.zeros((0, TERMS + 2), np.float32)
     return Space.fit(terms, rows["label"].to_numpy(float), dimensions)
 
 

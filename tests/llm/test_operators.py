@@ -501,3 +501,12 @@ def test_katz_block_memory():
     assert used < 50  # 65 with np.unique
     pairs = np.stack([block.history, block.word])[:, block.bigram]
     assert (pairs[1] == local).all() and (pairs[0][::1000] == len(vocabulary)).all() and (pairs[0][1:1000] == local[:999]).all()
+
+
+def test_quality_fit_memory():
+    rng = np.random.default_rng(3)
+    rows, marks = rng.poisson(0.5, (quality.SAMPLE, quality.TERMS + 2)).astype(np.float32), rng.integers(0, 2, quality.SAMPLE)
+    used, space = peak_mb(lambda: quality.Space.fit(rows, marks, quality.DIMENSIONS))
+    assert used < 150  # 188 with all rows widened at once
+    weighed = quality.Space.weigh(rows, space.idf).astype(float)
+    assert np.allclose(np.linalg.norm(weighed @ space.axes, axis=0) ** 2, np.linalg.eigvalsh(weighed.T @ weighed)[::-1][: quality.DIMENSIONS], rtol=1e-3)
