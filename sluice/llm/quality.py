@@ -15,7 +15,7 @@ repeated rows are scored alike. Language, source, id and labels of a document ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from operator import eq
 
@@ -34,7 +34,10 @@ NEIGHBOURS = 5
 POWER = 8
 BLOCK = 256
 GOOD = 0.5
-GRAM_ROWS = 1000  # rows taken at once for the terms' Gram matrix
+GRAM_ROWS = 250  # rows widened at once for the terms' Gram matrix, and its columns added up at once
+GUARD = 96  # further directions that subspace iteration carries
+ROUNDS = 300
+CONVERGED = 1e-12  # residual over the largest eigenvalue
 
 # Term of every byte pair, by multiplicative hashing.
 PAIR_TERM = ((np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(53)).astype(np.int32) % TERMS
@@ -52,6 +55,42 @@ def counts(text: bytes) -> np.ndarray:
     return out
 
 
+def narrow(row: np.ndarray) -> bytes:
+    """The counts that aren't 0 after their places: most texts have a few hundred of all terms."""
+    at = np.flatnonzero(row).astype("<u2")
+    return at.tobytes() + row[at].astype("<f4").tobytes()
+
+
+def widen(packed: Sequence[bytes]) -> np.ndarray:
+    rows = np.zeros((len(packed), TERMS + 2), np.float32)
+    for row, data in zip(rows, packed):
+        n = len(data) // 6
+        row[np.frombuffer(data, "<u2", n)] = np.frombuffer(data, "<f4", n, 2 * n)
+    return rows
+
+
+def leading(gram: np.ndarray, dimensions: int) -> np.ndarray:
+    """Unit eigenvectors of the largest eigenvalues, largest first, by subspace iteration to ``CONVERGED``.
+
+    It holds some columns beside ``gram``; a full decomposition, which needs five times as much, is left
+    to small matrices and to those whose eigenvalues lie too close.
+    """
+    wide = dimensions + GUARD
+    if len(gram) > 2 * wide:
+        basis = np.linalg.qr(np.random.default_rng(0).standard_normal((len(gram), wide)))[0]
+        for _ in range(ROUNDS):
+            image = gram @ basis
+            values, turn = np.linalg.eigh(basis.T @ image)
+            values, turn = values[::-1][:dimensions], turn[:, ::-1]
+            found = basis @ turn[:, :dimensions]
+            residual = np.linalg.norm(image @ turn[:, :dimensions] - found * values, axis=0)
+            if residual.max(initial=0.0) <= CONVERGED * max(values.max(initial=0.0), 1e-300):
+                return found
+            basis = np.linalg.qr(image)[0]
+    values, axes = np.linalg.eigh(gram)
+    return axes[:, np.argsort(-values)[:dimensions]]
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
@@ -69,17 +108,25 @@ class Space:
         return np.hstack([unit(np.log1p(rows[:, :TERMS]) * idf), unit(rows[:, TERMS:])]).astype(np.float32)
 
     @classmethod
-    def fit(cls, rows: np.ndarray, labels: np.ndarray, dimensions: int) -> Space:
-        idf = np.log((1 + len(rows)) / (1 + (rows[:, :TERMS] > 0).sum(0))) + 1
-        # Right singular vectors through the terms' Gram matrix, whose size is fixed; the driver widens some rows at a time.
-        weighed = np.empty(rows.shape, np.float32)
-        gram = np.zeros((rows.shape[1],) * 2)
-        for at in range(0, len(rows), GRAM_ROWS):
-            weighed[at : at + GRAM_ROWS] = some = cls.weigh(rows[at : at + GRAM_ROWS], idf)
-            gram += some.T.astype(np.float64) @ some
-        values, axes = np.linalg.eigh(gram)
-        axes = axes[:, np.argsort(-values)[:dimensions]].astype(np.float32)
-        return cls(idf.astype(np.float32), axes, unit(weighed @ axes), labels.astype(np.float32), float(labels.mean()) if len(labels) else 0.5)
+    def fit(cls, rows: np.ndarray | list[bytes], labels: np.ndarray, dimensions: int) -> Space:
+        """From rows of counts, or ``narrow`` ones: the driver widens ``GRAM_ROWS`` of them at a time."""
+
+        def parts() -> Iterator[np.ndarray]:
+            for at in range(0, len(rows), GRAM_ROWS):
+                some = rows[at : at + GRAM_ROWS]
+                yield some if isinstance(some, np.ndarray) else widen(some)
+
+        met = sum(((some[:, :TERMS] > 0).sum(0) for some in parts()), np.zeros(TERMS, np.int64))
+        idf = np.log((1 + len(rows)) / (1 + met)) + 1
+        # Right singular vectors through the terms' Gram matrix, whose size is fixed.
+        gram = np.zeros((TERMS + 2,) * 2)
+        for some in parts():
+            weighed = cls.weigh(some, idf).astype(np.float64)
+            for at in range(0, len(gram), GRAM_ROWS):
+                gram[at : at + GRAM_ROWS] += weighed[:, at : at + GRAM_ROWS].T @ weighed
+        axes = leading(gram, dimensions).astype(np.float32)
+        vectors = np.concatenate([np.zeros((0, axes.shape[1]), np.float32), *[cls.weigh(some, idf) @ axes for some in parts()]])
+        return cls(idf.astype(np.float32), axes, unit(vectors), labels.astype(np.float32), float(labels.mean()) if len(labels) else 0.5)
 
     def scores(self, rows: np.ndarray, neighbours: int, power: int) -> np.ndarray:
         out = np.full(len(rows), self.share)
@@ -107,13 +154,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions:
 
     @F.pandas_udf(T.BinaryType())
     def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([counts(t).tobytes() for t in texts], dtype=object)
+        return pd.Series([narrow(counts(t)) for t in texts], dtype=object)
 
     texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", utf8().alias("text"))
     once = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = once.select("label", packed("text").alias("terms"), "doc_id").orderBy("doc_id").toPandas()
-    terms = np.stack([np.frombuffer(t, np.float32) for t in rows.pop("terms")]) if len(rows) else np.zeros((0, TERMS + 2), np.float32)
-    return Space.fit(terms, rows["label"].to_numpy(float), dimensions)
+    return Space.fit(list(rows.pop("terms")), rows["label"].to_numpy(float), dimensions)
 
 
 def score_of(space: Space, docs: DataFrame, neighbours: int = NEIGHBOURS, power: int = POWER) -> Column:

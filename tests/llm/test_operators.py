@@ -510,3 +510,27 @@ def test_quality_fit_memory():
     assert used < 150  # 188 with all rows widened at once
     weighed = quality.Space.weigh(rows, space.idf).astype(float)
     assert np.allclose(np.linalg.norm(weighed @ space.axes, axis=0) ** 2, np.linalg.eigvalsh(weighed.T @ weighed)[::-1][: quality.DIMENSIONS], rtol=1e-3)
+
+
+def test_quality_fit_of_narrow_rows():
+    rng = np.random.default_rng(4)
+    rows, marks = rng.poisson(0.2, (quality.SAMPLE, quality.TERMS + 2)).astype(np.float32), rng.integers(0, 2, quality.SAMPLE)
+    packed = [quality.narrow(row) for row in rows]
+    assert np.array_equal(quality.widen(packed[:100]), rows[:100])
+    used, space = peak_mb(lambda: quality.Space.fit(packed, marks, quality.DIMENSIONS))
+    assert used < 80  # 134 with all rows widened beside the Gram matrix
+    assert np.abs(quality.Space.fit(rows, marks, quality.DIMENSIONS).vectors - space.vectors).max() < 1e-5
+
+
+def test_leading_directions(monkeypatch):
+    rng = np.random.default_rng(5)
+    for ranks in (300, 10, 0):  # many directions, fewer than asked, none
+        axes = np.linalg.qr(rng.standard_normal((400, 300)))[0][:, :ranks]
+        sizes = 0.9 ** np.arange(ranks)
+        gram = (axes * sizes) @ axes.T
+        found = quality.leading(gram, 32)
+        k = min(32, ranks)
+        assert found.shape == (400, 32) and np.allclose(found.T @ found, np.eye(32))
+        assert np.allclose(found[:, :k] @ found[:, :k].T, axes[:, :k] @ axes[:, :k].T, atol=1e-7)
+    monkeypatch.setattr(quality, "ROUNDS", 0)
+    assert np.allclose(np.abs(quality.leading(np.diag(np.arange(400.0)), 2)).sum(), 2)
