@@ -534,3 +534,29 @@ def test_leading_directions(monkeypatch):
         assert np.allclose(found[:, :k] @ found[:, :k].T, axes[:, :k] @ axes[:, :k].T, atol=1e-7)
     monkeypatch.setattr(quality, "ROUNDS", 0)
     assert np.allclose(np.abs(quality.leading(np.diag(np.arange(400.0)), 2)).sum(), 2)
+
+
+def test_katz_narrow_numbers():
+    for values in (np.zeros(0, np.uint64), np.zeros(3, np.uint64), np.array([255, 0], np.uint64), np.array([256, 1], np.uint64), np.array([2**64 - 1], np.uint64)):
+        assert np.array_equal(np.broadcast_to(katz.unpack_narrow(katz.pack_narrow(values)), len(values)), values)
+    assert len(katz.pack_narrow(np.arange(300, dtype=np.uint64))) == 601
+
+
+def test_katz_bucket_memory():
+    rng, rows, seen = np.random.default_rng(6), [], {}
+    for block in range(20):
+        pairs = np.unique(rng.integers(0, 1 << 36, 50_000, dtype=np.uint64) >> np.uint64(18) if block % 2 else rng.integers(0, 1 << 40, 50_000, dtype=np.uint64))
+        histories, sizes = np.unique(pairs >> np.uint64(24), return_counts=True)
+        each, counts = rng.integers(0, 4, len(pairs)).astype(np.uint64), rng.integers(1, 1000, len(pairs)).astype(np.uint64)
+        rows.append((7, block, katz.pack_sorted(histories), katz.pack(sizes.astype(np.uint64)), katz.pack(pairs & np.uint64((1 << 24) - 1), 6), katz.pack_narrow(each), katz.pack_narrow(counts)))
+        for pair, n in zip(pairs.tolist(), each.tolist()):
+            seen[pair] = seen.get(pair, 0) + n
+        last = pairs
+    asked = pd.DataFrame(rows, columns=["bucket", "block", "histories", "sizes", "words", "seen", "counts"])
+    model = katz.Words.of([5, 4, 3, 2, 1, 1, 100, 10_000])
+    bigrams = sum(map(len, asked["words"])) // 6
+    used, answers = peak_mb(lambda: katz.add_bigrams(asked, model))
+    assert used * 2**20 < 75 * bigrams  # 97 bytes a bigram with two copies of all histories, words and counts
+    n, packed = np.frombuffer(answers["answer"].iloc[-1], np.uint64, 2).tolist()
+    assert n == len(last) and katz.unpack_narrow(answers["answer"].iloc[-1][16 : 16 + packed]).tolist() == [seen[p] for p in last.tolist()]
+    assert answers["stats"].iloc[0][-1] == sum(seen.values()) and answers["stats"].iloc[1:].isna().all()
