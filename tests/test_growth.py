@@ -1,11 +1,14 @@
 """Shortcuts that keep large tables cheap give what the plain rules give."""
 
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from sluice.contract import Contract
 from sluice.functions import dates, hashing, patterns, text
-from sluice.operators import decide, groups
+from sluice.operators import decide, groups, profile
 from sluice.plans import gate, store
 
 CELLS = [
@@ -84,3 +87,24 @@ def test_stored_ledger_is_packed(spark, tmp_path):
     run = store.stage(gate.execute(gate.dry_run(analysis, decisions)), decisions, str(tmp_path))
     assert list(tmp_path.glob("runs/*/artifacts/ledger/*/*.json.gz")) and not list(tmp_path.glob("runs/*/artifacts/ledger/*/*.json"))
     assert run.table(spark, "ledger").filter("finding_id = 'MISS-a'").count() == 1 and store.differences(spark, run).count() == 0
+
+
+def test_counts_group_by_three_keys(spark):
+    note, blank = "name: " + "word " * 40, " " * 200
+    texts = [note, note, note + "x", blank, "a" * 128, "1" * 129, "7", "7", " ", None, None]
+    counts = profile.cell_counts(spark.createDataFrame([(t, "c") for t in texts], "v string, w string"), ["v", "w"])
+    aggregate = re.search(r"Aggregate \[([^]]*)\]", counts._jdf.queryExecution().optimizedPlan().toString())
+    assert aggregate[1].count(",") == 2  # not eight: they are the rows of the hash table
+    found = {(r["column"], r["value"]): tuple(r)[2:] for r in counts.collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert found == {
+        ("v", digest(note)): (True, note[:128], 2, False, "mixed", "name_label", len(note)),
+        ("v", digest(note + "x")): (True, note[:128], 1, False, "mixed", "name_label", len(note) + 1),
+        ("v", digest(blank)): (True, blank[:128], 1, True, "text", None, 200),
+        ("v", "a" * 128): (False, "a" * 128, 1, False, "text", None, 128),
+        ("v", "1" * 129): (False, "1" * 129, 1, False, "digits", None, 129),
+        ("v", "7"): (False, "7", 2, False, "digits", None, 1),
+        ("v", " "): (False, " ", 1, True, "text", None, 1),
+        ("v", None): (False, None, 2, True, "mixed", None, None),
+        ("w", "c"): (False, "c", len(texts), False, "text", None, 1),
+    }
