@@ -1,12 +1,15 @@
 """Planted defects end to end: exact findings, metrics, release and reconciliation."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 import samples
 from sluice.contract import Contract
-from sluice.operators import decide, detect, metrics
+from sluice.operators import decide, detect, metrics, release
 from sluice.plans import gate
+from sluice.session import CLEANUP_CONF, work_folder
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +66,41 @@ def test_clinical_release(spark, clinical):
     assert [c for c in again if not c[1]] == []
 
 
+def listing(spark):
+    return sorted(p.name for p in Path(work_folder(spark)).iterdir())
+
+
+def test_verification_leaves_no_tables_and_no_shuffles(spark, clinical, monkeypatch):
+    """The second execution meets the claims once, and its tables and shuffle files don't stay on disk."""
+    decisions = gate.written(decide.default_decisions(clinical.findings), "decisions")
+    outcome = gate.execute(gate.dry_run(clinical, decisions))
+    before, cleaning = listing(spark), []
+    again = gate.execute
+    monkeypatch.setattr(gate, "execute", lambda *a: cleaning.append(spark.conf.get(CLEANUP_CONF, "false")) or again(*a))
+    assert [c for c in gate.verify(outcome, clinical.source, decisions, gate.stored_hashes(outcome)) if not c[1]] == []
+    assert listing(spark) == before
+    assert cleaning == ["true"] and spark.conf.get(CLEANUP_CONF, "false") == "false"
+
+
+def test_reconciliation_of_altered_records(spark, clinical):
+    """Missing, altered, repeated and nameless records count as a plain join of all cells counts them."""
+    plan = gate.dry_run(clinical, decide.default_decisions(clinical.findings))
+    known, done = clinical.known, plan.changes
+    some = plan.rows.filter("ordinal BETWEEN 100 AND 160 OR ordinal BETWEEN 330 AND 380")
+    rows = gate.written(some.unionByName(some.filter("ordinal IN (110, 340)")).withColumn("record_uid", F.when(F.col("ordinal") != 120, F.col("record_uid"))), "rows")
+    due = release.candidate(rows, done, known)
+    stored = due.filter("ordinal <> 130").withColumn("region", F.when(F.col("ordinal").isin(110, 350), "x").otherwise(F.col("region")))
+    stored = gate.written(stored.unionByName(due.filter("ordinal IN (110, 345)")), "stored")
+    names, edits = known.columns, release.edited_columns(done)
+    for kept in (stored, due.dropDuplicates(["record_uid"])):
+        pairs = rows.join(kept.select("record_uid", F.struct(*names).alias("stored")), "record_uid", "left").collect()
+        differ = [c for r in pairs for c in names if r[c] != (r["stored"] and r["stored"][c])]
+        got = release.reconciliation(rows, kept, done, clinical.contract, known).first()
+        assert got["changed_cells"] == len(differ)
+        assert got["unapproved_cells"] >= sum(c not in edits for c in differ) > 0
+        assert got["filled_after"] == sum(bool(r["stored"] and (r["stored"]["diagnosis_code"] or "").strip()) for r in pairs)
+
+
 def test_clinical_tamper(clinical):
     plan = gate.dry_run(clinical, decide.default_decisions(clinical.findings))
     changed = clinical.source.withColumn("region", F.when(F.col("ordinal") == 4000, "South!").otherwise(F.col("region")))
