@@ -394,6 +394,31 @@ def test_lines_of_crowded_buckets(spark, monkeypatch):
     assert len(got) == len(set(root)) and len(set(root)) > 1
 
 
+def test_lines_apart_are_no_pairs(spark, monkeypatch):
+    """Lines of a bucket that all agree but belong to different components travel as lines, not as the square of them."""
+    monkeypatch.setattr(lines, "BLOCK", 20)
+    rows = spark.range(60).selectExpr("1L AS key", "id AS h", "0L AS sketch")
+    found = lines.apart(rows, rows.selectExpr("h AS a", "h AS b").limit(0))
+    blocks = 3
+    assert 0 < found.count() <= 2 * 60 * blocks < 60 * 59 // 2
+
+
+def test_lines_told_crosswise():
+    """Similar pairs of groups that go over several frames, as by brute force."""
+    draw = random.Random(3)
+    stems = ["".join(draw.choices("abcdef", k=80)) for _ in range(3)]
+    held = [(key, 0, 0, i, i % 5, 0, i % 2 == 0, stems[i % 3][: 60 + draw.randrange(20)] + draw.choice(["", "xyz"])) for key in range(3) for i in range(key * 30, key * 30 + 30)]
+    frame = pd.DataFrame(held, columns=["key", "block", "turn", "h", "root", "sketch", "outside", "line"])
+    got = pd.concat(list(lines.crosswise(frame.iloc[i : i + 7].reset_index(drop=True) for i in range(0, len(frame), 7))))
+    due = []
+    for one in held:
+        for other in held:
+            x, y = ({r[7][i : i + 5] for i in range(len(r[7]) - 4)} for r in (one, other))
+            if one[0] == other[0] and one[6] and not other[6] and one[4] != other[4] and len(x & y) >= 0.8 * len(x | y):
+                due.append((max(one[3], other[3]), min(one[3], other[3])))
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(due) and due
+
+
 def test_recall_of_bands_and_sketches():
     """Every pair of distinct lines whose shingle sets have a similarity of 0.8 or more, by brute force, against bands and sketches."""
     texts = duckdb.sql("SELECT lower(text) FROM '/root/testdata/sf0.001/documents.parquet' WHERE text IS NOT NULL").fetchall()
