@@ -1,15 +1,14 @@
 """Planted defects end to end: exact findings, metrics, release and reconciliation."""
 
-from pathlib import Path
-
 import pytest
 from pyspark.sql import functions as F
 
 import samples
+from sluice import session
 from sluice.contract import Contract
 from sluice.operators import decide, detect, metrics, release
 from sluice.plans import gate
-from sluice.session import CLEANUP_CONF, work_folder
+from sluice.session import CLEANUP_CONF
 
 
 @pytest.fixture(scope="module")
@@ -66,19 +65,20 @@ def test_clinical_release(spark, clinical):
     assert [c for c in again if not c[1]] == []
 
 
-def listing(spark):
-    return sorted(p.name for p in Path(work_folder(spark)).iterdir())
+def listing(folder):
+    return sorted(p.name for p in folder.iterdir())
 
 
-def test_verification_leaves_no_tables_and_no_shuffles(spark, clinical, monkeypatch):
+def test_verification_leaves_no_tables_and_no_shuffles(spark, clinical, monkeypatch, tmp_path):
     """The second execution meets the claims once, and its tables and shuffle files don't stay on disk."""
+    monkeypatch.setattr(session, "work_folder", lambda spark: str(tmp_path))
     decisions = gate.written(decide.default_decisions(clinical.findings), "decisions")
     outcome = gate.execute(gate.dry_run(clinical, decisions))
-    before, cleaning = listing(spark), []
+    before, cleaning = listing(tmp_path), []
     again = gate.execute
     monkeypatch.setattr(gate, "execute", lambda *a: cleaning.append(spark.conf.get(CLEANUP_CONF, "false")) or again(*a))
     assert [c for c in gate.verify(outcome, clinical.source, decisions, gate.stored_hashes(outcome)) if not c[1]] == []
-    assert listing(spark) == before
+    assert listing(tmp_path) == before
     assert cleaning == ["true"] and spark.conf.get(CLEANUP_CONF, "false") == "false"
 
 
